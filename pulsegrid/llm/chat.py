@@ -92,10 +92,8 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", record_col: str
     ``layout`` and ``idx``, so nothing is lost silently.
     """
     spark = records.sparkSession
-    known = [(name, text) for name, (examples, _) in LAYOUTS.items() for text in examples]
-    registry = spark.createDataFrame(known, "layout string, example string").select(
-        "layout", fingerprint(F.parse_json("example")).alias("fingerprint")
-    )
+    known = [F.struct(F.lit(name).alias("layout"), F.lit(text).alias("example")) for name, (examples, _) in LAYOUTS.items() for text in examples]
+    registry = spark.range(1).select(F.inline(F.array(*known))).select("layout", fingerprint(F.parse_json("example")).alias("fingerprint"))
     parsed = records.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(record_col)).alias("v"))
     parsed = parsed.withColumn("fingerprint", fingerprint(F.col("v")))
     chosen = parsed.join(F.broadcast(registry), "fingerprint", "left")  # the registry is the constant above
