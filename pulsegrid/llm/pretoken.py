@@ -12,8 +12,7 @@ import os
 import re
 from array import array as pack
 
-import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 CACHE = 500_000
 #: The public byte-level pattern, in the form of Python's re for PLAIN characters.
@@ -24,41 +23,65 @@ END_OF_TEXT = 2
 
 
 class PretokenEncoder:
+    """Two caches: ids of pre-tokens, and ids of what stands between single blanks (with the blank before it)."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.single = Tokenizer.from_file(path)  # for what is one pre-token already
+        self.single.encode_special_tokens = True
+        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return pack("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, pretokens: set[str]) -> None:
         """Encode what the cache does not hold."""
-        new = [p for p in pretokens if p not in self.cache]
+        new = list(pretokens - self.cache.keys())
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
             new = list(pretokens)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            for word, e in zip(part, self.single.encode_batch_fast(part, add_special_tokens=False)):
                 self.cache[word] = pack("I", e.ids).tobytes()
 
+    def _learn_chunks(self, chunks: set[str]) -> None:
+        new = list(chunks - self.chunks.keys())
+        if len(self.chunks) + len(new) > CACHE:
+            self.chunks.clear()
+            new = list(chunks)
+        parts = [PATTERN.findall(" " + c) for c in new]
+        self.learn({p for ps in parts for p in ps})
+        get = self.cache.__getitem__
+        for chunk, ps in zip(new, parts):
+            self.chunks[chunk] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; null is empty."""
-        cut: list[list[str] | None] = []
+        cut: list[tuple[list[str], list[str]] | None] = []
         words: set[str] = set()
+        chunks: set[str] = set()
         for text in texts:
-            if text and not NOT_PLAIN.search(text):
-                parts = PATTERN.findall(text)
-                words.update(parts)
-                cut.append(parts)
-            else:
+            if not text or NOT_PLAIN.search(text):
                 cut.append(None)
+                continue
+            if "  " in text or "\n " in text or " \n" in text or "\t" in text or text[0] == " " or text[-1] == " ":
+                head, tail = PATTERN.findall(text), []
+            else:  # no white space beside a blank: every blank starts a pre-token, and no pre-token spans it
+                first, *tail = text.split(" ")
+                head = PATTERN.findall(first)
+                chunks.update(tail)
+            words.update(head)
+            cut.append((head, tail))
+        self._learn_chunks(chunks)
         self.learn(words)
-        get = self.cache.__getitem__
+        get, of = self.cache.__getitem__, self.chunks.__getitem__
         return [
-            b"".join(map(get, parts)) if parts is not None else self.whole(text) if text else b""
+            b"".join([*map(get, parts[0]), *map(of, parts[1])]) if parts else self.whole(text) if text else b""
             for text, parts in zip(texts, cut)
         ]
 
