@@ -40,7 +40,7 @@ class PretokenEncoder:
 
     def learn(self, pretokens: set[str]) -> None:
         """Encode what the cache does not hold."""
-        new = list(pretokens - self.cache.keys())
+        new = list(pretokens.difference(self.cache))
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
             new = list(pretokens)
@@ -50,7 +50,7 @@ class PretokenEncoder:
                 self.cache[word] = pack("I", e.ids).tobytes()
 
     def _learn_chunks(self, chunks: set[str]) -> None:
-        new = list(chunks - self.chunks.keys())
+        new = list(chunks.difference(self.chunks))
         if len(self.chunks) + len(new) > CACHE:
             self.chunks.clear()
             new = list(chunks)
