@@ -39,7 +39,7 @@ class PretokenTree:
         self.tokens = np.zeros(2 * self.width, np.int64)
         self.chars[self.width : self.width + len(self.leaves)] = [len(p) for p in self.leaves]
         get = enc.cache.__getitem__
-        self.tokens[self.width : self.width + len(self.leaves)] = [len(get(p)) // 4 for p in self.leaves]
+        self.tokens[self.width : self.width + len(self.leaves)] = [get(p) for p in self.leaves]
         level = self.width
         while level > 1:
             for sums in (self.chars, self.tokens):
@@ -76,7 +76,7 @@ class PretokenTree:
     def _count(self, parts: list[str]) -> int:
         self.enc.learn(set(parts))
         self.encoded += len(parts)
-        return sum(len(self.enc.cache[p]) for p in parts) // 4
+        return sum(self.enc.cache[p] for p in parts)
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace characters ``start`` to ``end`` (exclusive) of the current text."""
