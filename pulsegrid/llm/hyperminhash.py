@@ -11,9 +11,13 @@ Recall: with 40 bands of 5 registers a pair at Jaccard 0.8 shares a band with
 probability 1 - (1 - 0.8**5)**40 > 0.9999998.
 
 Groups are never expanded into all pairs.  Exactly equal sets collapse first.
-Then, in each band key, members are compared with one centre (two rounds with
-different centres); confirmed links merge classes.  What remains are members of
-one key in different classes, and only these are compared with each other.
+Each band key names a centre, the member that meets most others, and every
+member is compared with it: one row a member.  Members u and v of one centre c
+that this leaves in different classes can only be similar if
+``|u & c|`` and ``|v & c|`` are both large enough, or if they share shingles
+outside c, at least as many as are missing.  The first are few and known by
+their counts; the second meet by an exact prefix join on the shingles outside
+the centre.  What meets passes the register estimate before its sets are read.
 """
 
 from __future__ import annotations
@@ -159,6 +163,48 @@ def _plausible(least_estimate: float):
     return run
 
 
+def unlinked_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` that can be linked among members of one centre that are in different classes.
+
+    ``rest``: node, c, n, inside, outside, class, least_n.  Two members need
+    ``need = percent / (100 + percent) * (n + n')`` shingles in common.  At most
+    the smaller ``inside`` lie in the centre; the others are shared outside, so
+    the pair meets in a prefix of its outside shingles, in any fixed order.
+    """
+    share = percent / (100 + percent)
+    least = F.ceil(share * (F.col("n") + F.col("least_n")) - 1e-6) - F.col("inside")  # outside shingles a partner must share
+    size = F.size("outside")
+    rest = rest.withColumn("prefix", size - F.greatest(least, F.lit(1)) + 1).withColumn("size", size)
+    flat = ["c", "node", "class", "n", "inside", "size"]
+    other = lambda df, *on: df.select(*on, *[F.col(x).alias(f"o_{x}") for x in flat if x not in on])
+    need = share * (F.col("n") + F.col("o_n")) - 1e-6
+    inside = F.least("inside", "o_inside")
+    fits = (F.col("node") < F.col("o_node")) & (F.col("class") != F.col("o_class"))
+    fits &= 100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")
+    # enough in the centre: both counts suffice, which is rare between classes
+    able = rest.where(F.col("inside") >= F.ceil(share * (F.col("n") + F.col("least_n")) - 1e-6)).select(*flat)
+    both = able.join(other(able, "c"), "c").where(fits & (inside >= need))
+    listed = rest.where("prefix > 0").select(*flat, F.explode(F.slice(F.sort_array("outside"), 1, F.col("prefix").cast("int"))).alias("token"))
+    met = listed.join(other(listed, "c", "token"), ["c", "token"])
+    met = met.where(fits & (inside < need) & (inside + F.least("size", "o_size") >= need))
+    pairs = both.select("node", "o_node").unionByName(met.select("node", "o_node"))
+    return pairs.distinct().withColumnsRenamed({"node": "a", "o_node": "b"})
+
+
+def confirm(pairs: DataFrame, side: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose estimate is plausible and whose whole sets are similar enough."""
+    t = percent / 100
+    margin = t - 5 * (t * (1 - t) / REGISTERS) ** 0.5
+    a = side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+    b = side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    likely = pairs.join(a, "a").join(b, "b").mapInArrow(_plausible(margin), "a long, b long, na long, nb long")
+    sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    sb = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    met = F.size(F.array_intersect("sa", "sb"))
+    sure = likely.join(sa, "a").join(sb, "b").where(100 * met >= percent * (F.size("sa") + F.size("sb") - met))
+    return cut_lineage(sure.select("a", "b"))
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -167,8 +213,8 @@ def near_duplicates(
     Returns ``doc_id, n_shingles, component_id, kept``, one row per input row:
     ``component_id`` is the smallest id reachable over links, ``kept`` marks the
     document of that id.  Null or blank texts have no shingles and link with
-    nothing.  Rows that repeat an id belong to that document: they share its
-    class.  A row with a null id is its own class with a null ``component_id``
+    nothing.  Rows that repeat an id and text share its class; an id is taken to
+    name one text, and of several texts of one id one stands for it.  A row with a null id is its own class with a null ``component_id``
     and is kept.  Other columns of the input, whatever their names, are ignored.
     """
     spark = docs.sparkSession
@@ -180,57 +226,38 @@ def near_duplicates(
     reps = lone.join(groups, ["set_key", "node"], "left_semi").dropDuplicates(["node"])
     reps = cut_lineage(reps.select("node", F.col("n_shingles").alias("n"), "bands", "registers"))
 
-    keyed = reps.select(F.explode("bands").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    keyed = cut_lineage(keyed.join(shared.select("key"), "key", "left_semi"))
-    touched = keyed.select("node").distinct()
+    keyed = reps.select(F.explode("bands").alias("key"), "node", "n")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    keyed = cut_lineage(keyed.join(shared.select("key", "size"), "key"))
+    touched = keyed.groupBy("node").agg(F.first("n").alias("n"), F.sum("size").alias("met"))
     wanted = spark.sparkContext.broadcast(id_filter(touched, "node"))
-    # duplicates of an id: the row whose set was chosen is not known here, so all its sets take part
-    sets = cut_lineage(
-        plain.where("doc_id is not null").mapInArrow(_sets(shingle, wanted), "node long, shingles array<long>")
-        .join(touched, "node", "left_semi")
-    )
-    side = reps.select("node", "n", "registers")
-    margin = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a = side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-        b = side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-        likely = (
-            pairs.join(a, "a").join(b, "b")
-            .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            .mapInArrow(_plausible(margin), "a long, b long, na long, nb long")
-        )
-        sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        sb = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        met = F.size(F.array_intersect("sa", "sb"))
-        return (
-            likely.join(sa, "a").join(sb, "b")
-            .where(100 * met >= percent * (F.size("sa") + F.size("sb") - met)).select("a", "b").distinct()
-        )
-
-    classes = touched.withColumn("class", F.col("node"))
-    links = None
-    for turn in range(3):
-        member = keyed.join(classes, "node")
-        if turn < 2:
-            rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            centre = member.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node", "class")).alias("c"))
-            pairs = member.join(centre, "key").where("class <> c.class")
-            pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-        else:
-            mixed = member.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-            member = member.join(mixed.where("lo < hi").select("key"), "key", "left_semi")
-            other = member.select("key", F.col("node").alias("b"), F.col("class").alias("class_b"))
-            pairs = member.select("key", F.col("node").alias("a"), "class").join(other, "key")
-            pairs = pairs.where("a < b and class <> class_b").select("a", "b")
-        found = cut_lineage(confirmed(pairs.distinct()))
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            part = connected_components(links).withColumnRenamed("component", "joined")
-            classes = cut_lineage(
-                touched.join(part, "node", "left").select("node", F.coalesce("joined", "node").alias("class"))
-            )
+    # an id may stand in several rows: the set of the size that was chosen is taken
+    sets = plain.where("doc_id is not null").mapInArrow(_sets(shingle, wanted), "node long, shingles array<long>")
+    sets = cut_lineage(sets.join(touched, "node").where(F.size("shingles") == F.col("n")).dropDuplicates(["node"]))
+
+    # one comparison for each member of a key, with the key's centre
+    member = keyed.join(touched.select("node", "met"), "node")
+    centre = member.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("c"))
+    star = member.join(centre.select("key", (-F.col("c.minus")).alias("c")), "key").where("node <> c").select("node", "c").distinct()
+    of_centre = sets.select(F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("shingles").alias("c_set"))
+    star = star.join(sets.select("node", "n", "shingles"), "node").join(of_centre, "c")
+    outside = F.array_except("shingles", "c_set")
+    star = star.select("node", "c", "n", "c_n", outside.alias("outside"), (F.col("n") - F.size(outside)).alias("inside"))
+    star = cut_lineage(star)
+    met = F.col("inside")
+    linked = star.where(100 * met >= percent * (F.col("n") + F.col("c_n") - met)).select(F.col("node").alias("a"), F.col("c").alias("b"))
+
+    def classes_of(links: DataFrame) -> DataFrame:
+        part = connected_components(links).withColumnRenamed("component", "joined")
+        return cut_lineage(touched.select("node").join(part, "node", "left").select("node", F.coalesce("joined", "node").alias("class")))
+
+    classes = classes_of(linked)
+    rest = star.join(classes, "node").join(classes.select(F.col("node").alias("c"), F.col("class").alias("c_class")), "c")
+    mixed = rest.groupBy("c").agg(F.min(F.least("class", "c_class")).alias("lo"), F.max(F.greatest("class", "c_class")).alias("hi"), F.min("n").alias("least_n"))
+    rest = cut_lineage(rest.join(mixed.where("lo < hi").select("c", "least_n"), "c"))
+    more = confirm(unlinked_pairs(rest, percent), reps, sets, percent)
+    if not more.isEmpty():
+        classes = classes_of(linked.unionByName(more))
     at = F.when(F.col("n_shingles") > 0, F.coalesce("class", "node")).otherwise(F.col("doc_id"))
     return (
         sketch.select("doc_id", "n_shingles", "set_key")
