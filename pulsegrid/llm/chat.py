@@ -20,7 +20,7 @@ OPEN, MIDDLE, CLOSE = "<s>", "[INST]", "</s>"
 #: ``$`` paths are read as strings; optional fields are further examples of the same layout.
 LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
     "messages": (
-        ('{"messages":[{"role":"a","content":"a"}]}', '{"messages":[{"role":"a"}]}', '{"messages":[{"content":"a"}]}', '{"messages":[]}'),
+        ('{"messages":[{"role":"a","content":"a"}]}', '{"messages":[{"role":"a"}]}', '{"messages":[{"content":"a"}]}', '{"messages":[{}]}', '{"messages":[]}'),
         f"variant_get(v, '$.messages', '{_TURNS}')",
     ),
     "sharegpt": (
