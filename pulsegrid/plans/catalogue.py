@@ -1,6 +1,9 @@
-"""Registered queries of the incident operators."""
+"""All queries of the library but those of the optional subpackage."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pulsegrid.plans import analytics, incidents
+
+flagship = analytics.ask_breakdown
+QUERIES = analytics.QUERIES | incidents.QUERIES
+ORACLE_SQL = analytics.ORACLE_SQL | incidents.ORACLE_SQL
