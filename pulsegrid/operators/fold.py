@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pulsegrid.operators.scoring import AFFINITY, BACK, CODE_OVERRIDES, MERGE, M
 from pulsegrid.sources.observations import AGENCIES, agency_of
 
 _RESULT = "observation_id long, incident_id long, decision string, score double, probable_incident_id long, agencies array<string>, units array<string>, primary_type string"
+_COLUMNS = [c.split()[0] for c in _RESULT.split(", ")]
 
 
 def blocking_pairs(observations: DataFrame) -> DataFrame:
@@ -65,12 +67,15 @@ def _score(o, incident: dict) -> tuple[float, float | None] | None:
     return (raw if {"type", "units"} & used.keys() else min(raw, THIN_EVIDENCE)), place
 
 
-def fold_component(rows: pd.DataFrame) -> pd.DataFrame:
-    """Decisions of one component, in order of time and id."""
-    incidents: list[dict] = []
-    out = []
-    for o in rows.sort_values(["us", "id"]).itertuples(index=False):
-        scored = [(s[0], s[1], -i["first"], -i["id"], i) for i in incidents if (s := _score(o, i))]
+class Fold:
+    """Decisions in the order of time and id; of incidents only those that may still be met are held."""
+
+    def __init__(self):
+        self.component, self.incidents = None, []
+
+    def decide(self, o) -> tuple:
+        self.incidents = [i for i in self.incidents if i["first"] >= o.us - BACK * MINUTE]
+        scored = [(s[0], s[1], -i["first"], -i["id"], i) for i in self.incidents if (s := _score(o, i))]
         best = max(scored, key=lambda s: s[:4], default=None)
         score = best[0] if best else None
         agency = AGENCIES.get(o.source, o.source)
@@ -84,10 +89,20 @@ def fold_component(rows: pd.DataFrame) -> pd.DataFrame:
         else:
             verdict = "probable" if best and score >= PROBABLE - SLACK else "created"
             incident = {"id": o.id, "first": o.us, "last": o.us, "lat": o.lat, "lng": o.lng, "area": o.neighborhood, "type": o.type or "unknown", "code": o.raw_type, "units": set(o.units), "agencies": {agency}}
-            incidents.append(incident)
+            self.incidents.append(incident)
         maybe = best[4]["id"] if verdict == "probable" else None
-        out.append((o.id, incident["id"], verdict, score, maybe, sorted(incident["agencies"]), sorted(incident["units"]), incident["type"]))
-    return pd.DataFrame(out, columns=["observation_id", "incident_id", "decision", "score", "probable_incident_id", "agencies", "units", "primary_type"])
+        return o.id, incident["id"], verdict, score, maybe, sorted(incident["agencies"]), sorted(incident["units"]), incident["type"]
+
+    def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by component, time and id, in any batches."""
+        for rows in batches:
+            out = []
+            for o in rows.assign(neighborhood=rows["neighborhood"].astype(object).where(rows["neighborhood"].notna(), None)).itertuples(index=False):
+                if o.component != self.component:
+                    self.component, self.incidents = o.component, []
+                out.append(self.decide(o))
+            done = pd.DataFrame(out, columns=_COLUMNS)
+            yield done.assign(probable_incident_id=done["probable_incident_id"].astype("Int64"))
 
 
 def correlate(observations: DataFrame) -> DataFrame:
@@ -102,9 +117,9 @@ def correlate(observations: DataFrame) -> DataFrame:
     rows = observations.select(*columns)
     parts = connected_components(blocking_pairs(rows)).withColumnRenamed("node", "id")
     joined = rows.join(parts, "id", "left")
-    met = joined.where("component is not null").groupBy("component").applyInPandas(
-        lambda p: fold_component(p.assign(units=p["units"].map(list), neighborhood=p["neighborhood"].where(p["neighborhood"].notna(), None))), _RESULT
-    )
+    # a component is read in order within its partition, batch by batch, and never held whole
+    dealt = joined.where("component is not null").repartition("component").sortWithinPartitions("component", "us", "id")
+    met = dealt.mapInPandas(lambda batches: Fold().run(batches), _RESULT)
     alone = joined.where("component is null").select(
         F.col("id").alias("observation_id"), F.col("id").alias("incident_id"), F.lit("created").alias("decision"), F.lit(None).cast("double").alias("score"),
         F.lit(None).cast("long").alias("probable_incident_id"), F.array(agency_of(F.col("source"))).alias("agencies"), F.array_sort("units").alias("units"),

@@ -92,7 +92,8 @@ def test_components_fold_as_one_sequence(spark):
         rows.append((i, r.randrange(90) * MINUTE, r.choice(["sf_police_cad", "sf_ems_cad"]), r.choice(["collision", "medical", "unknown"]), "x", lat, -122.4 if located else None, r.choice(["A", "B", None]), r.sample(["M1", "M2"], 1)))
     import pandas as pd
 
-    whole = fold.fold_component(pd.DataFrame(rows, columns=[c.split()[0] for c in OBS.split(", ")]))
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in OBS.split(", ")]).sort_values(["us", "id"]).assign(component=0)
+    whole = pd.concat(fold.Fold().run(frame.iloc[k : k + 30] for k in range(0, len(frame), 30)))
     got = fold_of(spark, rows)
     assert {x.observation_id: (x.incident_id, x.decision) for x in whole.itertuples()} == {k: (v.incident_id, v.decision) for k, v in got.items()}
 
