@@ -113,14 +113,15 @@ def _index(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_c
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null")
     kind = items.schema["item_id"].dataType.simpleString()
-    windows = cut_lineage(items.mapInArrow(_windows(size), f"item_id {kind}, first int, terms array<long>"))
-    terms = windows.select("item_id", "first", "terms", F.posexplode("terms").alias("at", "term"))
+    windows = items.mapInArrow(_windows(size), f"item_id {kind}, first int, terms array<long>")
+    windows = cut_lineage(windows.select("item_id", "terms").distinct())  # an id may stand for several texts
+    terms = windows.select("item_id", "terms", F.posexplode("terms").alias("at", "term"))
     wanted = spark.sparkContext.broadcast(id_filter(terms, "term"))
     counts = plain.select("text").mapInArrow(_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     rarest = (
         terms.join(counts, "term")
-        .groupBy("item_id", "first")
-        .agg(F.min(F.struct("n", "at", "term")).alias("r"), F.count("*").alias("known"), F.first("terms").alias("terms"))
+        .groupBy("item_id", "terms")
+        .agg(F.min(F.struct("n", "at", "term")).alias("r"), F.count("*").alias("known"))
         .where("known = size(terms)")
     )
     anchors = cut_lineage(rarest.select("item_id", "terms", F.col("r.at").alias("at"), F.col("r.term").alias("term")))
