@@ -7,8 +7,8 @@ LEAST_WORDS words are left alone: so little text repeats without being copied.
 Equal texts are classes; only a class's first line takes part in the join.
 Tokens are ordered by rarity: how often the slot of a token's hash is used in
 the whole corpus, then the hash.  Sets that similar share a token among the
-first n - ceil(t * n) + 1, so lines meet on these alone, and sizes and places
-bound the overlap before any set is read.  Lists are not expanded into pairs at
+first n - ceil(t * n) + 1, so lines meet on these alone, and sizes, places and
+64 marks of the tokens bound the overlap before any set is read.  Lists are not expanded into pairs at
 once: each class is first compared with the earliest of its token's list, and
 only classes that this does not remove are compared with the rest.
 """
@@ -22,126 +22,132 @@ from pulsegrid.session import cut_lineage
 
 THRESHOLD = 0.8
 LEAST_WORDS = 3
-#: Slots of the frequency table (2**9 rows of 2**9): its size does not depend on the input.
-SIDE = 1 << 9
-#: Words of the class filter, 64 slots each: 1 MB whatever the input.
-FILTER_WORDS = 1 << 17
+#: Slots of the frequency table, the top bits of a token's hash: 64 KB whatever the input.
+SLOT_BITS = 16
+#: Characters of the class filter, 6 slots each: 170 KB whatever the input.
+FILTER_CHARS = 174_763
 _SPACE = r"[\x20\x09-\x0D]"
 _ENOUGH = rf"^{_SPACE}*(?:[^\x20\x09-\x0D]+{_SPACE}+){{{LEAST_WORDS - 1}}}[^\x20\x09-\x0D]"
 
 
-def _words(line: Column) -> Column:
-    """Lower-cased words; the plain split is enough where blanks are the only white space."""
-    lower = F.lower(line)
-    odd = lower.rlike(r"[\x09-\x0D]")
-    return F.when(odd, F.split(lower, rf"{_SPACE}+", -1)).otherwise(F.split(lower, " ", -1))
+def _words(text: Column) -> Column:
+    """Lower-cased words, with empty ones between white space."""
+    return F.split(F.translate(F.lower(text), "\t\n\r\x0b\x0c", "     "), " ", -1)
 
 
 def _slot(token: Column) -> Column:
-    return F.pmod(token, F.lit(SIDE * SIDE)).cast("int")
+    return F.shiftrightunsigned(token, 64 - SLOT_BITS).cast("int")
+
+
+def _byte(table: bytes, at: Column) -> Column:
+    """The value, below 128, of a byte of a constant table."""
+    return F.ascii(F.substring(F.lit(table), at + 1, F.lit(1)).cast("string"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, line_no, line`` of the lines that are judged; ``at`` orders them."""
+    """``doc_id, text_key, line_no, line, key`` of the lines that are judged; ``at`` orders them."""
     split = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     at = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line_no")
-    key = F.xxhash64("line")
     return split.where(F.col("line").rlike(_ENOUGH)).select(
-        "doc_id", "text_key", "line_no", "line", at.cast("decimal(38,0)").alias("at"), key.alias("key")
+        "doc_id", "text_key", "line_no", "line", at.cast("decimal(38,0)").alias("at"), F.xxhash64("line").alias("key")
     )
 
 
-def _rarity(lines: DataFrame) -> DataFrame:
-    """One row: for every slot the logarithm of its use, in quarters, as rows of bytes."""
-    spark = lines.sparkSession
-    used = (
-        lines.select(F.explode(_words(F.col("line"))).alias("w")).where("w <> ''")
-        .groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
-    )
-    every = spark.range(SIDE * SIDE).select(F.col("id").cast("int").alias("slot")).join(used, "slot", "left")
-    level = F.least(F.lit(126.0), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("tinyint")
-    every = every.select((F.col("slot") / SIDE).cast("int").alias("high"), (F.col("slot") % SIDE).alias("low"), level.alias("level"))
-    rows = every.groupBy("high").agg(F.array_sort(F.collect_list(F.struct("low", "level"))).alias("r"))
-    rows = rows.select("high", F.transform("r", lambda x: x["level"]).alias("r"))
-    whole = rows.agg(F.array_sort(F.collect_list(F.struct("high", "r"))).alias("r"))
-    return cut_lineage(whole.select(F.lit(1).alias("one"), F.transform("r", lambda x: x["r"]).alias("rarity")))
+def _rarity(docs: DataFrame) -> bytes:
+    """For every slot the logarithm of its use in all texts, in quarters, from 1 on; the driver gets a row a slot at most."""
+    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
+    used = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
+    level = F.least(F.lit(126), F.floor(4 * F.log2(F.col("count") + 1)) + 1).cast("int")
+    out = bytearray(b"\x01" * (1 << SLOT_BITS))
+    for row in used.select("slot", level.alias("level")).collect():
+        out[row["slot"]] = row["level"]
+    return bytes(out)
 
 
-def _ordered(lines: DataFrame, rarity: DataFrame) -> DataFrame:
+def _ordered(lines: DataFrame, rarity: bytes) -> DataFrame:
     """Adds ``tokens``: the distinct tokens, rarest first, as longs of rarity and hash."""
-    hashed = F.transform(F.filter(_words(F.col("line")), lambda w: w != ""), lambda w: F.xxhash64(w))
-    at = lambda t: F.get(F.get(F.col("rarity"), F.floor(_slot(t) / SIDE).cast("int")), (_slot(t) % SIDE))
-    packed = lambda t: F.shiftleft(at(t).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
-    placed = lines.withColumn("one", F.lit(1)).join(F.broadcast(rarity), "one")  # one row of SIDE * SIDE bytes
-    return placed.withColumn("tokens", F.sort_array(F.transform(F.array_distinct(hashed), packed))).drop("one", "rarity")
-
-
-def _class_filter(classes: DataFrame) -> DataFrame:
-    """One row: the bits of the class keys, for a test before the exact join."""
-    slot = F.pmod(F.col("key"), F.lit(FILTER_WORDS * 64))
-    bits = classes.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")
+    hashed = F.transform(F.array_remove(_words(F.col("line")), ""), lambda w: F.xxhash64(w))
+    packed = lambda t: F.shiftleft(_byte(rarity, _slot(t)).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
+    return lines.withColumn("tokens", F.sort_array(F.transform(F.array_distinct(hashed), packed)))
+
+
+def _marks(tokens: str) -> Column:
+    """64 bits, one of which each token sets."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _class_filter(classes: DataFrame) -> bytes:
+    """Six bits of class keys a byte, for a test before the exact join; full at many classes, and still right."""
+    slot = F.pmod(F.col("key"), F.lit(FILTER_CHARS * 6))
+    bits = classes.select((slot / 6).cast("int").alias("at"), (slot % 6).cast("int").alias("bit")).groupBy("at").agg(
+        F.bit_or(F.expr("shiftleft(1, bit)")).alias("bits")
     )
-    every = classes.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
-    every = every.select((F.col("word") / 512).cast("int").alias("high"), (F.col("word") % 512).alias("low"), F.coalesce("bits", F.lit(0)).alias("bits"))
-    rows = every.groupBy("high").agg(F.array_sort(F.collect_list(F.struct("low", "bits"))).alias("r"))
-    rows = rows.select("high", F.transform("r", lambda x: x["bits"]).alias("r"))
-    whole = rows.agg(F.array_sort(F.collect_list(F.struct("high", "r"))).alias("r"))
-    return cut_lineage(whole.select(F.lit(1).alias("one"), F.transform("r", lambda x: x["r"]).alias("known")))
-
-
-def _passes(lines: DataFrame, known: DataFrame) -> DataFrame:
-    word = F.shiftright(F.pmod(F.col("key"), F.lit(FILTER_WORDS * 64)), 6).cast("int")
-    bit = F.pmod(F.col("key"), F.lit(64)).cast("int")
-    row = F.get(F.get(F.col("known"), (word / 512).cast("int")), word % 512)
-    marked = lines.withColumn("one", F.lit(1)).join(F.broadcast(known), "one")  # one row of 1 MB
-    return marked.where(F.call_function("getbit", row, bit) == 1).drop("one", "known")
-
-
-def _similar(pairs: DataFrame, lines: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
-    """``key`` of the later class of each pair whose sets are similar enough."""
-    pairs = cut_lineage(pairs.select("key", "at", "other", "other_at").distinct())
-    named = pairs.select("key", "at").unionByName(pairs.select(F.col("other").alias("key"), F.col("other_at").alias("at"))).distinct()
-    chosen = _passes(lines, _class_filter(named)).join(named, ["key", "at"], "left_semi").dropDuplicates(["key"])
-    sets = cut_lineage(_ordered(chosen, rarity).select("key", "tokens"))
-    other = sets.select(F.col("key").alias("other"), F.col("tokens").alias("other_tokens"))
+    out = bytearray(FILTER_CHARS)
+    for row in bits.collect():
+        out[row["at"]] = row["bits"]
+    return bytes(out)
+
+
+def _passes(lines: DataFrame, known: bytes) -> DataFrame:
+    slot = F.pmod(F.col("key"), F.lit(FILTER_CHARS * 6))
+    bits = _byte(known, (slot / 6).cast("int"))
+    return lines.where(F.call_function("getbit", bits, (slot % 6).cast("int")) == 1)
+
+
+def _similar(pairs: DataFrame, lines: DataFrame, rarity: bytes, first: DataFrame, threshold: float) -> DataFrame:
+    """``key`` of the later class of each pair ``key, other`` whose sets are similar enough."""
+    pairs = cut_lineage(pairs.select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other")).distinct())
+    named = pairs.select("key").unionByName(pairs.select(F.col("other").alias("key"))).distinct()
+    chosen = _passes(lines.select("key", "line"), _class_filter(named)).join(named, "key", "left_semi").dropDuplicates(["key"])
+    sets = cut_lineage(_ordered(chosen, rarity).select("key", "tokens").join(first, "key"))
+    other = sets.select(F.col("key").alias("other"), F.col("tokens").alias("other_tokens"), F.col("first_at").alias("other_at"))
     met = F.size(F.array_intersect("tokens", "other_tokens"))
     enough = met >= threshold * (F.size("tokens") + F.size("other_tokens") - met) - 1e-9
-    return pairs.join(sets, "key").join(other, "other").where(enough).select("key").distinct()
+    later = F.when(F.col("first_at") > F.col("other_at"), F.col("key")).otherwise(F.col("other"))
+    return pairs.join(sets, "key").join(other, "other").where(enough).select(later.alias("key")).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, text_key, line_no`` of every line to remove; ``docs``: doc_id, text_key, text."""
     lines = _lines(docs)
     first = lines.groupBy("key").agg(F.min("at").alias("first_at"))
-    rarity = _rarity(lines)
+    rarity = _rarity(docs)
     n = F.size("tokens")
-    prefix = _ordered(lines.select("key", "at", "line"), rarity).select(
-        "key", "at", n.alias("n"), F.posexplode(F.slice("tokens", 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)).alias("pos", "token")
+    # a short form of the order, which only chooses the class that a list is first compared with
+    rough = F.shiftleft("doc_id", 20).bitwiseOR(F.least("line_no", F.lit((1 << 20) - 1)).cast("long"))
+    prefix = _ordered(lines.select("key", rough.alias("rough"), "line"), rarity).select(
+        "key", "rough", n.alias("n"), _marks("tokens").alias("marks"), F.posexplode(F.slice("tokens", 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)).alias("pos", "token")
     )
     # dealt by token once: equal texts then collapse, and lists are read, in place
     listed = prefix.repartition("token").groupBy("token", "key").agg(
-        F.min("at").alias("at"), F.min("n").alias("n"), F.min("pos").alias("pos")
+        F.min("rough").alias("rough"), F.min("marks").alias("marks"), F.min(F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("n_pos")
+    )
+    shared = listed.groupBy("token").agg(
+        F.count("*").alias("classes"), F.min("rough").alias("least"), F.min_by("key", "rough").alias("other"), F.min_by("n_pos", "rough").alias("other_n_pos"),
+        F.min_by("marks", "rough").alias("other_marks"),
     )
-    shared = listed.groupBy("token").agg(F.min(F.struct("at", "key", "n", "pos")).alias("first"), F.count("*").alias("classes"))
-    met = cut_lineage(listed.join(shared.where("classes > 1"), "token"))
+    # the lists are read with the same columns on either side, so that the exchange is made once
+    met = listed.join(shared.where("classes > 1"), "token").where("key <> other and rough >= least")
+    met = cut_lineage(met.select("token", "key", "n_pos", "marks", "other", "other_n_pos", "other_marks", (F.col("classes") > 2).alias("more")))
 
     def bounded(rows: DataFrame) -> DataFrame:
-        need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("other_n")) - 1e-9)
-        room = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("other_n") - F.col("other_pos") - 1)
-        sizes = F.least("n", "other_n") >= threshold * F.greatest("n", "other_n") - 1e-9
-        return rows.where(sizes & (room >= need)).select("key", "at", "other", "other_at")
-
-    star = met.where("key <> first.key").select(
-        "key", "at", "n", "pos", F.col("first.key").alias("other"), F.col("first.at").alias("other_at"), F.col("first.n").alias("other_n"), F.col("first.pos").alias("other_pos")
-    )
-    gone = cut_lineage(_similar(bounded(star), lines, rarity, threshold))
-    left = met.join(gone, "key", "left_anti").select("token", "key", "at", "n", "pos")
-    rest = met.where("key <> first.key").select(
-        "token", F.col("key").alias("other"), F.col("at").alias("other_at"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos")
-    )
-    late = _similar(bounded(left.join(rest, "token").where("other_at < at")), lines, rarity, threshold)
-    gone = gone.unionByName(late).withColumn("gone", F.lit(True))
+        low = F.lit((1 << 32) - 1)
+        n, pos = F.shiftright("n_pos", 32), F.col("n_pos").bitwiseAND(low)
+        other_n, other_pos = F.shiftright("other_n_pos", 32), F.col("other_n_pos").bitwiseAND(low)
+        need = F.ceil(threshold / (1 + threshold) * (n + other_n) - 1e-9)
+        room = 1 + F.least(n - pos - 1, other_n - other_pos - 1)
+        sizes = F.least(n, other_n) >= threshold * F.greatest(n, other_n) - 1e-9
+        # a mark of one side alone is a token of one side alone, of which there may be few
+        apart = F.bit_count(F.col("marks").bitwiseXOR(F.col("other_marks"))) <= (1 - threshold) / (1 + threshold) * (n + other_n) + 1e-9
+        return rows.where((F.col("key") != F.col("other")) & sizes & (room >= need) & apart).select("key", "other")
+
+    gone = cut_lineage(_similar(bounded(met), lines, rarity, first, threshold))
+    # pairs of a list without its first class: one side at least is not yet gone
+    rest = met.where("more").select("token", "key", "n_pos", "marks")
+    other = rest.select("token", F.col("key").alias("other"), F.col("n_pos").alias("other_n_pos"), F.col("marks").alias("other_marks"))
+    left = rest.join(gone, "key", "left_anti")
+    late = _similar(bounded(left.join(other, "token")), lines, rarity, first, threshold)
+    gone = gone.unionByName(late).distinct().withColumn("gone", F.lit(True))
     judged = first.join(gone, "key", "left")
     return (
         lines.select("doc_id", "text_key", "line_no", "at", "key").join(judged, "key")
