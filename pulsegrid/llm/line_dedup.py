@@ -4,13 +4,15 @@ A line is removed where an earlier line (by document id, then place) has the
 same text, or a token set at Jaccard THRESHOLD or more.  Lines of fewer than
 LEAST_WORDS words are left alone: so little text repeats without being copied.
 
-Equal texts are classes; only a class's first line takes part in the join.
-Tokens are ordered by rarity: how often the slot of a token's hash is used in
-the whole corpus, then the hash.  Sets that similar share a token among the
-first n - ceil(t * n) + 1, so lines meet on these alone, and sizes, places and
-64 marks of the tokens bound the overlap before any set is read.  Lists are not expanded into pairs at
-once: each class is first compared with the earliest of its token's list, and
-only classes that this does not remove are compared with the rest.
+Equal texts collapse into classes first, combined before the shuffle, so a very
+common line is one row.  Tokens are ordered by rarity: how often the slot of a
+token's hash is used in the whole corpus, then the hash.  Sets that similar share
+a token among the first n - ceil(t * n) + 1, so classes meet on these alone, and
+sizes, places and 64 marks of the tokens bound the overlap before any set is read.
+
+Groups of near copies are not expanded into pairs: a first pass over the
+CENTRE_TOKENS rarest tokens compares each class with the earliest of its lists,
+and only classes that this does not remove look for further earlier ones.
 """
 
 from __future__ import annotations
@@ -22,17 +24,22 @@ from pulsegrid.session import cut_lineage
 
 THRESHOLD = 0.8
 LEAST_WORDS = 3
+#: Rarest tokens whose lists are compared with their earliest class first.
+CENTRE_TOKENS = 3
 #: Slots of the frequency table, the top bits of a token's hash: 64 KB whatever the input.
 SLOT_BITS = 16
 #: Characters of the class filter, 6 slots each: 170 KB whatever the input.
 FILTER_CHARS = 174_763
+#: Mark of a class that is gone, above the places of its tokens.
+_GONE = 1 << 31
 _SPACE = r"[\x20\x09-\x0D]"
 _ENOUGH = rf"^{_SPACE}*(?:[^\x20\x09-\x0D]+{_SPACE}+){{{LEAST_WORDS - 1}}}[^\x20\x09-\x0D]"
 
 
 def _words(text: Column) -> Column:
-    """Lower-cased words, with empty ones between white space."""
-    return F.split(F.translate(F.lower(text), "\t\n\r\x0b\x0c", "     "), " ", -1)
+    """Lower-cased words of a text, with empty ones between white space."""
+    spaced = F.when(text.rlike(r"[\t\n\r\x0b\x0c]"), F.translate(text, "\t\n\r\x0b\x0c", "     ")).otherwise(text)
+    return F.split(F.lower(spaced), " ", -1)
 
 
 def _slot(token: Column) -> Column:
@@ -54,8 +61,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _rarity(docs: DataFrame) -> bytes:
-    """For every slot the logarithm of its use in all texts, in quarters, from 1 on; the driver gets a row a slot at most."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
+    """For every slot the logarithm of its use in all texts, in quarters, from 1 on; the driver gets a row a slot at most.
+
+    It only orders tokens, so rare white space need not be told apart here.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ", -1)).alias("w")).where("w <> ''")
     used = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
     level = F.least(F.lit(126), F.floor(4 * F.log2(F.col("count") + 1)) + 1).cast("int")
     out = bytearray(b"\x01" * (1 << SLOT_BITS))
@@ -94,12 +104,12 @@ def _passes(lines: DataFrame, known: bytes) -> DataFrame:
     return lines.where(F.call_function("getbit", bits, (slot % 6).cast("int")) == 1)
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, rarity: bytes, first: DataFrame, threshold: float) -> DataFrame:
+def _similar(pairs: DataFrame, lines: DataFrame, rarity: bytes, classes: DataFrame, threshold: float) -> DataFrame:
     """``key`` of the later class of each pair ``key, other`` whose sets are similar enough."""
     pairs = cut_lineage(pairs.select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other")).distinct())
     named = pairs.select("key").unionByName(pairs.select(F.col("other").alias("key"))).distinct()
     chosen = _passes(lines.select("key", "line"), _class_filter(named)).join(named, "key", "left_semi").dropDuplicates(["key"])
-    sets = cut_lineage(_ordered(chosen, rarity).select("key", "tokens").join(first, "key"))
+    sets = cut_lineage(_ordered(chosen, rarity).select("key", "tokens").join(classes.select("key", "first_at"), "key"))
     other = sets.select(F.col("key").alias("other"), F.col("tokens").alias("other_tokens"), F.col("first_at").alias("other_at"))
     met = F.size(F.array_intersect("tokens", "other_tokens"))
     enough = met >= threshold * (F.size("tokens") + F.size("other_tokens") - met) - 1e-9
@@ -107,48 +117,56 @@ def _similar(pairs: DataFrame, lines: DataFrame, rarity: bytes, first: DataFrame
     return pairs.join(sets, "key").join(other, "other").where(enough).select(later.alias("key")).distinct()
 
 
+def _listed(classes: DataFrame) -> DataFrame:
+    """A row for each prefix token of a class, dealt by token: both sides of a join read the same few columns and share one exchange.
+
+    ``packed`` holds the set's size, whether the class is gone, and the token's place.
+    """
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.when(F.col("gone"), F.lit(_GONE)).otherwise(F.lit(0)) + F.col("pos")
+    spread = classes.select("*", F.posexplode("prefix").alias("pos", "token")).select("token", "key", "rough", "marks", packed.alias("packed"))
+    # told here, these need not be inferred for one side alone
+    return spread.where(" and ".join(f"{c} is not null" for c in spread.columns)).repartition("token")
+
+
+def _bounded(rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``key, other`` that sizes, places and marks leave possible."""
+    low = F.lit(_GONE - 1)
+    n, pos = F.shiftright("packed", 32), F.col("packed").bitwiseAND(low)
+    other_n, other_pos = F.shiftright("other_packed", 32), F.col("other_packed").bitwiseAND(low)
+    need = F.ceil(threshold / (1 + threshold) * (n + other_n) - 1e-9)
+    room = 1 + F.least(n - pos - 1, other_n - other_pos - 1)
+    sizes = F.least(n, other_n) >= threshold * F.greatest(n, other_n) - 1e-9
+    # a mark of one side alone is a token of one side alone, of which there may be few
+    apart = F.bit_count(F.col("marks").bitwiseXOR(F.col("other_marks"))) <= (1 - threshold) / (1 + threshold) * (n + other_n) + 1e-9
+    return rows.where((F.col("key") != F.col("other")) & sizes & (room >= need) & apart).select("key", "other")
+
+
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, text_key, line_no`` of every line to remove; ``docs``: doc_id, text_key, text."""
     lines = _lines(docs)
-    first = lines.groupBy("key").agg(F.min("at").alias("first_at"))
     rarity = _rarity(docs)
     n = F.size("tokens")
-    # a short form of the order, which only chooses the class that a list is first compared with
-    rough = F.shiftleft("doc_id", 20).bitwiseOR(F.least("line_no", F.lit((1 << 20) - 1)).cast("long"))
-    prefix = _ordered(lines.select("key", rough.alias("rough"), "line"), rarity).select(
-        "key", "rough", n.alias("n"), _marks("tokens").alias("marks"), F.posexplode(F.slice("tokens", 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)).alias("pos", "token")
-    )
-    # dealt by token once: equal texts then collapse, and lists are read, in place
-    listed = prefix.repartition("token").groupBy("token", "key").agg(
-        F.min("rough").alias("rough"), F.min("marks").alias("marks"), F.min(F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("n_pos")
-    )
-    shared = listed.groupBy("token").agg(
-        F.count("*").alias("classes"), F.min("rough").alias("least"), F.min_by("key", "rough").alias("other"), F.min_by("n_pos", "rough").alias("other_n_pos"),
-        F.min_by("marks", "rough").alias("other_marks"),
+    prefix = F.slice("tokens", 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
+    found = _ordered(lines.select("key", "at", "line"), rarity)
+    found = found.select("key", "at", n.alias("n"), _marks("tokens").alias("marks"), prefix.alias("prefix"))
+    classes = cut_lineage(
+        found.groupBy("key").agg(F.min("at").alias("first_at"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
     )
-    # the lists are read with the same columns on either side, so that the exchange is made once
-    met = listed.join(shared.where("classes > 1"), "token").where("key <> other and rough >= least")
-    met = cut_lineage(met.select("token", "key", "n_pos", "marks", "other", "other_n_pos", "other_marks", (F.col("classes") > 2).alias("more")))
-
-    def bounded(rows: DataFrame) -> DataFrame:
-        low = F.lit((1 << 32) - 1)
-        n, pos = F.shiftright("n_pos", 32), F.col("n_pos").bitwiseAND(low)
-        other_n, other_pos = F.shiftright("other_n_pos", 32), F.col("other_n_pos").bitwiseAND(low)
-        need = F.ceil(threshold / (1 + threshold) * (n + other_n) - 1e-9)
-        room = 1 + F.least(n - pos - 1, other_n - other_pos - 1)
-        sizes = F.least(n, other_n) >= threshold * F.greatest(n, other_n) - 1e-9
-        # a mark of one side alone is a token of one side alone, of which there may be few
-        apart = F.bit_count(F.col("marks").bitwiseXOR(F.col("other_marks"))) <= (1 - threshold) / (1 + threshold) * (n + other_n) + 1e-9
-        return rows.where((F.col("key") != F.col("other")) & sizes & (room >= need) & apart).select("key", "other")
-
-    gone = cut_lineage(_similar(bounded(met), lines, rarity, first, threshold))
-    # pairs of a list without its first class: one side at least is not yet gone
-    rest = met.where("more").select("token", "key", "n_pos", "marks")
-    other = rest.select("token", F.col("key").alias("other"), F.col("n_pos").alias("other_n_pos"), F.col("marks").alias("other_marks"))
-    left = rest.join(gone, "key", "left_anti")
-    late = _similar(bounded(left.join(other, "token")), lines, rarity, first, threshold)
+    # a short form of the order: never against it, but with ties
+    ranked = classes.withColumn("rough", F.col("first_at").cast("double"))
+    # the earliest class of the lists of the rarest tokens
+    near = _listed(ranked.withColumn("prefix", F.slice("prefix", 1, CENTRE_TOKENS)).withColumn("gone", F.lit(False)))
+    facts = F.struct(F.col("key").alias("other"), F.col("packed").alias("other_packed"), F.col("marks").alias("other_marks"), F.col("rough").alias("other_rough"))
+    centre = near.groupBy("token").agg(F.min_by(facts, "rough").alias("centre")).select("token", "centre.*")
+    gone = cut_lineage(_similar(_bounded(near.join(centre, "token").where("rough >= other_rough"), threshold), lines, rarity, classes, threshold))
+    # what is not yet gone looks through all its lists for earlier ones
+    listed = _listed(ranked.join(gone.withColumn("gone", F.lit(True)), "key", "left"))
+    other = listed.select("token", F.col("key").alias("other"), F.col("packed").alias("other_packed"), F.col("marks").alias("other_marks"), F.col("rough").alias("other_rough"))
+    stays = F.col("packed").bitwiseAND(F.lit(_GONE)) == 0
+    met = listed.join(other, "token").where(F.when(stays, F.col("rough")) >= F.col("other_rough"))
+    late = _similar(_bounded(met, threshold), lines, rarity, classes, threshold)
     gone = gone.unionByName(late).distinct().withColumn("gone", F.lit(True))
-    judged = first.join(gone, "key", "left")
+    judged = classes.select("key", "first_at").join(gone, "key", "left")
     return (
         lines.select("doc_id", "text_key", "line_no", "at", "key").join(judged, "key")
         .where("gone or at > first_at").select("doc_id", "text_key", "line_no")
@@ -164,13 +182,14 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     alone.  Lines keep their order and are joined by a line feed.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"), row.alias("row"))
-    gone = removed_lines(keyed.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text"), threshold)
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), row.alias("row"))
+    text = F.col("row").getField(text_col)
+    gone = removed_lines(keyed.where("doc_id is not null").select("doc_id", "text_key", text.alias("text")).where("text is not null"), threshold)
     # a document's line numbers are bounded by its length
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"))
     joined = keyed.join(gone, ["doc_id", "text_key"], "left")
-    all_lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+    all_lines = F.split(text, "\n", -1)
+    kept = F.when(F.col("gone").isNull(), text).otherwise(
         F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     )
     return joined.select(
