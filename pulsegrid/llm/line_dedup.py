@@ -128,17 +128,44 @@ def _listed(classes: DataFrame) -> DataFrame:
     return spread.where(" and ".join(f"{c} is not null" for c in spread.columns)).repartition("token")
 
 
-def _bounded(rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``key, other`` that sizes, places and marks leave possible."""
-    low = F.lit(_GONE - 1)
-    n, pos = F.shiftright("packed", 32), F.col("packed").bitwiseAND(low)
-    other_n, other_pos = F.shiftright("other_packed", 32), F.col("other_packed").bitwiseAND(low)
-    need = F.ceil(threshold / (1 + threshold) * (n + other_n) - 1e-9)
-    room = 1 + F.least(n - pos - 1, other_n - other_pos - 1)
+def _sizes() -> tuple[Column, Column]:
+    return F.shiftright("packed", 32), F.shiftright("other_packed", 32)
+
+
+def _possible(rows: DataFrame, threshold: float) -> DataFrame:
+    """The rows of pairs ``key, other`` that sizes and marks leave possible."""
+    n, other_n = _sizes()
     sizes = F.least(n, other_n) >= threshold * F.greatest(n, other_n) - 1e-9
     # a mark of one side alone is a token of one side alone, of which there may be few
     apart = F.bit_count(F.col("marks").bitwiseXOR(F.col("other_marks"))) <= (1 - threshold) / (1 + threshold) * (n + other_n) + 1e-9
-    return rows.where((F.col("key") != F.col("other")) & sizes & (room >= need) & apart).select("key", "other")
+    return rows.where((F.col("key") != F.col("other")) & sizes & apart)
+
+
+def _overlap(n: Column, other_n: Column, threshold: float) -> Column:
+    """The least overlap of similar sets of these sizes."""
+    return F.ceil(threshold / (1 + threshold) * (n + other_n) - 1e-9)
+
+
+def _placed(rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that the token's places leave possible, where it is the first that both share."""
+    n, other_n = _sizes()
+    pos, other_pos = (F.col(c).bitwiseAND(F.lit(_GONE - 1)) for c in ("packed", "other_packed"))
+    return rows.where(1 + F.least(n - pos - 1, other_n - other_pos - 1) >= _overlap(n, other_n, threshold)).select("key", "other")
+
+
+def _counted(rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose prefixes share enough tokens.
+
+    Of the prefix that ends first in the order, every token of both sets is in
+    both prefixes; all but ``n - overlap`` of a set's tokens are in both sets.
+    """
+    n, other_n = F.col("n"), F.col("other_n")
+    least = _overlap(n, other_n, threshold)
+    long = lambda size: size - F.ceil(threshold * size - 1e-9) + 1
+    need = F.least(long(n) - (n - least), long(other_n) - (other_n - least))
+    size, other_size = _sizes()
+    shared = rows.groupBy("key", "other", size.alias("n"), other_size.alias("other_n")).agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= need).select("key", "other")
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -158,13 +185,13 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     near = _listed(ranked.withColumn("prefix", F.slice("prefix", 1, CENTRE_TOKENS)).withColumn("gone", F.lit(False)))
     facts = F.struct(F.col("key").alias("other"), F.col("packed").alias("other_packed"), F.col("marks").alias("other_marks"), F.col("rough").alias("other_rough"))
     centre = near.groupBy("token").agg(F.min_by(facts, "rough").alias("centre")).select("token", "centre.*")
-    gone = cut_lineage(_similar(_bounded(near.join(centre, "token").where("rough >= other_rough"), threshold), lines, rarity, classes, threshold))
+    gone = cut_lineage(_similar(_placed(_possible(near.join(centre, "token").where("rough >= other_rough"), threshold), threshold), lines, rarity, classes, threshold))
     # what is not yet gone looks through all its lists for earlier ones
     listed = _listed(ranked.join(gone.withColumn("gone", F.lit(True)), "key", "left"))
     other = listed.select("token", F.col("key").alias("other"), F.col("packed").alias("other_packed"), F.col("marks").alias("other_marks"), F.col("rough").alias("other_rough"))
     stays = F.col("packed").bitwiseAND(F.lit(_GONE)) == 0
     met = listed.join(other, "token").where(F.when(stays, F.col("rough")) >= F.col("other_rough"))
-    late = _similar(_bounded(met, threshold), lines, rarity, classes, threshold)
+    late = _similar(_counted(_possible(met, threshold), threshold), lines, rarity, classes, threshold)
     gone = gone.unionByName(late).distinct().withColumn("gone", F.lit(True))
     judged = classes.select("key", "first_at").join(gone, "key", "left")
     return (

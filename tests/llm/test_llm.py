@@ -156,6 +156,22 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_long_lines_about_the_threshold_equal_brute_force(spark):
+    r = random.Random(16)
+    words = [f"w{int(r.paretovariate(0.6)) % 300}" for _ in range(400)]
+    lines = [[r.choice(words) for _ in range(r.randrange(20, 90))] for _ in range(8)]
+    texts = []
+    for _ in range(90):
+        w = list(r.choice(lines))
+        for _ in range(r.randrange(0, len(w) // 5)):
+            w[r.randrange(len(w))] = r.choice((r.choice(words), f"new{r.random()}"))
+        texts.append(" ".join(w))
+    want = removed(texts)
+    assert 10 < want.count("") < 80
+    got = {x.doc_id: x.row.text for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # ---- 6 packing
 def test_packing_places_every_id_once(spark):
     path = queries.TOKENIZER
