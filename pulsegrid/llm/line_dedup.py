@@ -17,6 +17,7 @@ and only classes that this does not remove look for further earlier ones.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,8 +177,13 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     prefix = F.slice("tokens", 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
     found = _ordered(lines.select("key", "at", "line"), rarity)
     found = found.select("key", "at", n.alias("n"), _marks("tokens").alias("marks"), prefix.alias("prefix"))
-    classes = cut_lineage(
-        found.groupBy("key").agg(F.min("at").alias("first_at"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
+    # kept on disk dealt by key in a fixed number of partitions, so that later joins on it move the other side alone
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = (
+        found.groupBy("key")
+        .agg(F.min("at").alias("first_at"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
+        .repartition(partitions, "key")
+        .persist(StorageLevel.DISK_ONLY)
     )
     # a short form of the order: never against it, but with ties
     ranked = classes.withColumn("rough", F.col("first_at").cast("double"))
@@ -193,7 +199,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = listed.join(other, "token").where(F.when(stays, F.col("rough")) >= F.col("other_rough"))
     late = _similar(_counted(_possible(met, threshold), threshold), lines, rarity, classes, threshold)
     gone = gone.unionByName(late).distinct().withColumn("gone", F.lit(True))
-    judged = classes.select("key", "first_at").join(gone, "key", "left")
+    judged = cut_lineage(classes.select("key", "first_at").join(gone, "key", "left"))
+    classes.unpersist()
     return (
         lines.select("doc_id", "text_key", "line_no", "at", "key").join(judged, "key")
         .where("gone or at > first_at").select("doc_id", "text_key", "line_no")
