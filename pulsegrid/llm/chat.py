@@ -10,11 +10,17 @@ one and the escape can be undone.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TURNS = "array<struct<role:string,content:string>>"
 OPEN, MIDDLE, CLOSE = "<s>", "[INST]", "</s>"
+#: Bytes of a record from which its variant may be over Spark's limit of 16 MB; a variant is below four times its JSON.
+LARGE = 1 << 22
+#: Loss spans that are read back from the text as it is; more are read from fixed-width code points.
+FEW_SPANS = 64
 
 #: Layout name: an example record (its field paths are what counts), and the SQL that maps variant ``v`` to turns.
 #: ``$`` paths are read as strings; optional fields are further examples of the same layout.
@@ -53,6 +59,9 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+#: A field that a mapping reads, and its type.
+_FIELD = re.compile(r"variant_get\(v, '\$\.(\w+)', '([^']+)'\)")
+
 
 def field_paths(variant: Column) -> Column:
     """The nested field paths of a variant as text: its schema, sorted by key, without scalar types."""
@@ -63,6 +72,20 @@ def fingerprint(variant: Column) -> Column:
     return F.xxhash64(field_paths(variant))
 
 
+def skeleton(record: Column) -> Column:
+    """A record's JSON with scalars emptied and repeated objects of its arrays left out: small, with the same field paths."""
+    plain = F.regexp_replace(record, r"(?s)\\.", "")
+    bare = F.regexp_replace(plain, r'"(?:([^"]*+)"(\s*+:)|[^"]*+")|-?[0-9][0-9.eE+-]*+', '"$1"$2')
+    return F.array_join(F.array_distinct(F.split(bare, r"(?<=\})\s*,\s*(?=\{)", -1)), ",")
+
+
+def _read_large(record: Column) -> Column:
+    """The fields of all layouts, as the mappings declare them, read without a variant; fails on what is no JSON."""
+    fields = {name: kind for _, mapping in LAYOUTS.values() for name, kind in _FIELD.findall(mapping)}
+    schema = ", ".join(f"{name} {kind}" for name, kind in fields.items())
+    return F.from_json(record, schema, {"mode": "FAILFAST", "maxStringLen": "2147483647"})
+
+
 def escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l")), F.lit("["), F.lit("\\b"))
 
@@ -89,17 +112,22 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", record_col: str
     """``id, layout, idx, role, content`` rows; null fields become empty strings.
 
     Records of an unknown layout, or that are no JSON, keep one row with null
-    ``layout`` and ``idx``, so nothing is lost silently.
+    ``layout`` and ``idx``, so nothing is lost silently.  A record too large for
+    a variant is known by its skeleton and read by the layout's declared schema.
     """
     spark = records.sparkSession
     known = [F.struct(F.lit(name).alias("layout"), F.lit(text).alias("example")) for name, (examples, _) in LAYOUTS.items() for text in examples]
     registry = spark.range(1).select(F.inline(F.array(*known))).select("layout", fingerprint(F.parse_json("example")).alias("fingerprint"))
-    parsed = records.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(record_col)).alias("v"))
-    parsed = parsed.withColumn("fingerprint", fingerprint(F.col("v")))
+    parsed = records.select(F.col(id_col).alias("id"), F.col(record_col).alias("record"), F.try_parse_json(F.col(record_col)).alias("v"))
+    parsed = parsed.withColumn("large", F.col("v").isNull() & (F.octet_length("record") >= LARGE))
+    shape = F.when(F.col("large"), F.try_parse_json(skeleton(F.col("record")))).otherwise(F.col("v"))
+    parsed = parsed.withColumn("fingerprint", fingerprint(shape))
     chosen = parsed.join(F.broadcast(registry), "fingerprint", "left")  # the registry is the constant above
+    chosen = chosen.withColumn("j", F.when(F.col("large") & F.col("layout").isNotNull(), _read_large(F.col("record"))))
     turns = F.lit(None).cast(_TURNS)
     for name, (_, mapping) in LAYOUTS.items():
-        turns = F.when(F.col("layout") == name, F.expr(mapping)).otherwise(turns)
+        read = F.when(F.col("large"), F.expr(_FIELD.sub(r"j.\1", mapping))).otherwise(F.expr(mapping))
+        turns = F.when(F.col("layout") == name, read).otherwise(turns)
     exploded = chosen.select("id", "layout", F.posexplode_outer(turns).alias("idx", "t"))
     return exploded.select(
         "id", "layout", "idx", F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.content", F.lit("")).alias("content")
@@ -137,7 +165,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
     marked = F.filter(F.split("formatted", CLOSE, -1), lambda x: x != "")
     inner = F.transform(marked, lambda x: F.split(F.substring(x, len(OPEN) + 1, 2147483647), r"\[INST\]", -1))
     turns = F.transform(inner, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("content")))
-    loss = F.transform(
-        "loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["size"].cast("int")))
-    )
+    first, size = (lambda s: (s["start"] + 1).cast("int")), (lambda s: s["size"].cast("int"))
+    few = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), first(s), size(s))))
+    # a place in UTF-8 is found by counting from the start, in four bytes a code point at once; the mark in front keeps one in the text
+    wide = lambda t, s: F.concat(F.unhex(F.lit("0000FEFF")), F.substring(t, (first(s) - 1) * 4 + 1, size(s) * 4))
+    many = lambda t: F.transform("loss_spans", lambda s: unescape(F.decode(wide(t, s), "UTF-32")))
+    encoded = F.get(F.transform(F.array(F.encode("formatted", "UTF-32")), many), F.lit(0))
+    loss = F.when(F.size("loss_spans") <= FEW_SPANS, few).otherwise(encoded)
     return formatted.select("id", "formatted", turns.alias("turns"), F.array_join(loss, "").alias("loss_text"))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pulsegrid.llm import chat, decontam, html_extract, hyperminhash, line_dedup, packing, quality, queries, secret_scan, token_counts, url_filter
@@ -306,6 +307,27 @@ def test_layouts(spark):
     assert [got[k] for k in (4, 5, 6)] == [[(None, "", "")]] * 3
 
 
+def test_conversations_above_the_variant_limit(spark):
+    long = F.concat(F.repeat(F.lit('a\n" <[\\'), 2_500_000), F.lit("end"))
+    kinds = "conv_id long, turn int, role string, text string"
+    rows = spark.createDataFrame([(0, 0, "user", "short"), (1, 0, "user", "short"), (1, 1, "assistant", "x")], kinds)
+    rows = rows.unionByName(spark.range(1).select(F.col("id").alias("conv_id"), F.lit(1).alias("turn"), F.lit("assistant").alias("role"), long.alias("text")))
+    rows = rows.unionByName(spark.range(60_000).selectExpr("2L as conv_id", "int(id) as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('\ufeff\u6f22😀', repeat('x', 400), id) as text"))
+    records = chat.records_from_turns(rows)
+    assert records.where("octet_length(record) > 20000000").count() == 2
+    got = {x.id: x for x in chat.read_back(chat.format_chat(records)).selectExpr("id", "size(turns) as n", "turns[size(turns) - 1] as last", "sha2(turns[1].content, 256) as second", "length(loss_text) as loss", "sha2(loss_text, 256) as all_loss").collect()}
+    want = rows.where("conv_id = 0 and turn = 1").selectExpr("sha2(text, 256) as h", "length(text) as n").first()
+    assert (got[0].n, got[0].second, got[0].loss) == (2, want.h, want.n) and (got[1].n, got[1].loss) == (2, 1)
+    assert got[2].n == 60_000 and tuple(got[2].last) == ("assistant", "\ufeff\u6f22😀" + "x" * 400 + "59999")
+    said = "".join("\ufeff\u6f22😀" + "x" * 400 + str(k) for k in range(1, 60_000, 2))
+    assert (got[2].loss, got[2].all_loss) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    other = spark.range(1).selectExpr("1 as id", """concat('{"conversations":[{"from":"human","value":"', repeat('x', 20000000), '"},{"from":"gpt","value":"ok"}]}') as r""")
+    other = other.unionByName(spark.range(1).selectExpr("2 as id", """concat('{"strange":"', repeat('x', 20000000), '"}') as r"""))
+    other = other.unionByName(spark.range(1).selectExpr("3 as id", "repeat('no json ', 2500000) as r"))
+    turns = chat.canonical_turns(other, "id", "r").selectExpr("id", "layout", "role", "length(content) as n").orderBy("id", "idx").collect()
+    assert [tuple(x) for x in turns] == [(1, "sharegpt", "user", 20000000), (1, "sharegpt", "assistant", 2), (2, None, "", 0), (3, None, "", 0)]
+
+
 # ---- 9 secrets
 BASE = {
     "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
