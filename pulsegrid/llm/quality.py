@@ -1,9 +1,10 @@
 """Quality rules from column expressions alone: repetition counts and distribution divergence.
 
 The divergence compares a document's histograms of character classes and of
-its language's common words with the reference of that language, the pooled
-histogram of all its documents, by Jensen-Shannon distance (base 2, 0 to 1).
-Short documents and small references are not judged by it.
+its language's common words with the fixed reference of that language by
+Jensen-Shannon distance (base 2, 0 to 1).  A language without one is compared in
+classes alone, with a reference pooled from the input in which every source weighs
+the same.  Short documents are not judged by either.
 """
 
 from __future__ import annotations
@@ -23,10 +24,31 @@ COMMON_WORDS = {
 }
 #: Character classes, as regex classes; what fits none is the last bin.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]", r"[\x20\x09-\x0D]")
-#: A document of fewer words is not judged by its histograms, nor by a reference of fewer documents.
-LEAST_WORDS, LEAST_DOCUMENTS = 40, 20
-#: Distances beyond which a document is rejected.
-CLASS_DISTANCE, WORD_DISTANCE = 0.30, 0.55
+#: A document of fewer words is not judged by its histograms.
+LEAST_WORDS = 40
+#: Shares of the classes, and of the common words with all others last, by language: means over the documents of
+#: sf0.1 with an even id that are labelled quality 1, have LEAST_WORDS words and pass the base rules.
+REFERENCES = {
+    "en": (
+        (0.79377, 0.01457, 0.00095, 0.02437, 0.0, 0.16632, 3e-05),
+        (0.0553, 0.0285, 0.0238, 0.017, 0.0116, 0.0135, 0.0109, 0.0091, 0.0078, 0.0083, 0.007, 0.0056, 0.8017),
+    ),
+    "de": (
+        (0.8094, 0.01316, 0.00075, 0.02209, 0.0, 0.15457, 3e-05),
+        (0.0546, 0.0282, 0.0225, 0.0171, 0.0145, 0.0111, 0.0101, 0.0093, 0.0077, 0.0051, 0.0048, 0.0056, 0.8094),
+    ),
+    "fr": (
+        (0.79285, 0.01464, 0.00185, 0.02468, 0.0, 0.16588, 0.0001),
+        (0.0543, 0.0296, 0.0212, 0.0158, 0.0136, 0.0122, 0.0117, 0.0095, 0.0085, 0.0066, 0.0066, 0.0065, 0.8039),
+    ),
+    "es": (
+        (0.799, 0.01446, 0.0012, 0.02402, 0.0, 0.16131, 2e-05),
+        (0.0539, 0.0279, 0.0232, 0.0164, 0.0139, 0.0114, 0.0, 0.0106, 0.0084, 0.0074, 0.0091, 0.0068, 0.8111),
+    ),
+}
+#: Distances beyond which a document is rejected.  A text without common words is at 0.318 to 0.328; of the documents
+#: of REFERENCES none is beyond 0.284 in words, and none beyond 0.231 in classes.
+CLASS_DISTANCE, WORD_DISTANCE = 0.30, 0.285
 WINDOW = 8
 
 
@@ -104,38 +126,55 @@ def quality_signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("common", other(F.coalesce("common", F.array_repeat(F.lit(0), width))))
 
 
-def references(signals: DataFrame) -> DataFrame:
-    """``lang, n_docs, ref_classes, ref_common``: pooled shares of each language.
+def _base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
-    Documents weigh the same, so a few very long ones do not set the reference.
-    """
-    n, m = len(CLASSES) + 1, len(COMMON_WORDS["en"]) + 1
-    judged = signals.where(f"n_words >= {LEAST_WORDS}")
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    means = lambda c, k: F.array(*[F.sum(F.try_divide(F.col(c)[i].cast("double"), total(F.col(c)))) for i in range(k)])
-    return judged.groupBy("lang").agg(F.count("*").alias("n_docs"), means("classes", n).alias("ref_classes"), means("common", m).alias("ref_common"))
 
+def references(signals: DataFrame, source_col: str | None = None) -> DataFrame:
+    """``lang, pooled``: pooled shares of the classes of each language that has no fixed reference.
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    Documents weigh the same within a source and sources within a language, so
+    neither a few very long ones nor a hot source set the reference.
+    """
+    n = len(CLASSES) + 1
+    judged = signals.where((F.col("n_words") >= LEAST_WORDS) & ~_base_failed() & ~F.col("lang").isin(list(REFERENCES)))
+    source = F.col("row").getField(source_col) if source_col else F.lit(None)
+    total = F.aggregate("classes", F.lit(0.0), lambda a, x: a + x)
+    means = [F.avg(F.try_divide(F.col("classes")[i].cast("double"), total)).alias(f"m{i}") for i in range(n)]
+    sources = judged.groupBy("lang", source.cast("string").alias("source")).agg(*means)
+    return sources.groupBy("lang").agg(F.array(*[F.avg(f"m{i}") for i in range(n)]).alias("pooled"))
+
+
+def _fixed(part: int) -> Column:
+    """The fixed reference of the row's language, or null."""
+    out = F.lit(None).cast("array<double>")
+    for code, shares in REFERENCES.items():
+        out = F.when(F.col("lang") == code, F.array(*map(F.lit, shares[part]))).otherwise(out)
+    return out
+
+
+def judge_quality(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", source_col: str = "source"
+) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept, row``.
 
     One row per input row; ``row`` holds the input columns.  Null text: no
     words, so ``base_failed``.  ``base_failed``: fewer than 20 words, or over
     30 % of them in repeated windows.  ``kept`` is false where it is, or where a
     distance to the language's reference is too large.  Null or unknown
-    languages have no common words and are judged by character classes alone.
+    languages have no common words and are judged by character classes alone,
+    pooled by ``source_col`` where the input has it.
     """
     signals = quality_signals(docs, id_col, text_col, lang_col)
     signals = cut_lineage(signals)  # read by the references and by the verdicts
-    reference = references(signals).where(f"n_docs >= {LEAST_DOCUMENTS}")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    reference = references(signals, source_col if source_col in docs.columns else None)
     guarded = F.col("n_words") >= LEAST_WORDS
-    classes = F.when(guarded, _divergence(F.col("classes"), F.col("ref_classes")))
-    words = F.when(guarded & F.col("lang").isin(list(COMMON_WORDS)), _divergence(F.col("common"), F.col("ref_common")))
+    classes = F.when(guarded, _divergence(F.col("classes"), F.coalesce(_fixed(0), F.col("pooled"))))
+    words = F.when(guarded & F.col("lang").isin(list(COMMON_WORDS)), _divergence(F.col("common"), _fixed(1)))
     bad = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > CLASS_DISTANCE) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > WORD_DISTANCE)
     return (
         signals.join(reference, "lang", "left")
-        .withColumns({"base_failed": failed, "class_distance": classes, "word_distance": words})
+        .withColumns({"base_failed": _base_failed(), "class_distance": classes, "word_distance": words})
         .withColumn("kept", ~F.col("base_failed") & ~bad)
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept", "row")
     )

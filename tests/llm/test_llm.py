@@ -256,6 +256,27 @@ def test_quality_keeps_clean_documents(spark):
     assert good.where("kept").count() >= 0.98 * good.count() > 0
 
 
+def test_quality_rejects_texts_without_common_words_in_a_hot_source(spark):
+    r = random.Random(17)
+    invent = lambda: " ".join("".join(r.choice("abcdefghijklmnoprstuw") for _ in range(7)) for _ in range(60))
+    plain = " ".join(["the the the of of and to in a is", *[r.choice(("house", "river", "stone", "walked", "morning")) for _ in range(50)]]) + "."
+    noise = " ".join(f"{k}#$%&" for k in range(60))
+    texts = [invent() for _ in range(5)] + [plain] * 5 + [noise] * 400  # the hot source
+    kept = {x.doc_id: x.kept for x in quality.judge_quality(frame(spark, texts)).collect()}
+    assert not any(kept[i] for i in range(5)) and all(kept[i] for i in range(5, 10)) and not any(kept[i] for i in range(10, 410))
+    # no fixed reference: many rows of one source weigh as few of each other
+    rows = [(i, noise, "xx", "hot") for i in range(400)] + [(400 + i, invent(), "xx", f"s{i}") for i in range(6)]
+    kept = {x.doc_id: x.kept for x in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(kept[i] for i in range(400)) and all(kept[i] for i in range(400, 406))
+
+
+def test_quality_thresholds_on_held_out_labels(spark):
+    rows = quality.judge_quality(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 1"))
+    judged = rows.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where(f"not base_failed and n_words >= {quality.LEAST_WORDS}")
+    got = {(x.quality, x.kept): x["count"] for x in judged.groupBy("quality", "kept").count().collect()}
+    assert got.get((1, False), 0) <= 0.01 * got[1, True] and got[0, False] >= 3 * got.get((0, True), 0)
+
+
 # ---- 3 urls
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?q", "http://example.net/EN/", "https://x.org/fr/", "http://a.example.com/de/1#f", "http://net", "http://badnet/", "http://x.net/", "http://ads.x.com/", "ftp://h/p/wp-login.php?x"]
