@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join, in column expressions alone.
 
 A line is removed where an earlier line (by document id, then place) has the
-same text, or a token set at Jaccard THRESHOLD or more.  Lines of fewer than
-LEAST_WORDS words are left alone: so little text repeats without being copied.
+same text, or a token set at Jaccard THRESHOLD or more.  Every line with a word
+is judged; only lines of white space are left alone.
 
 Equal texts collapse into classes first, combined before the shuffle, so a very
 common line is one row.  Tokens are ordered by rarity: how often the slot of a
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pulsegrid.session import cut_lineage
 
 THRESHOLD = 0.8
-LEAST_WORDS = 3
+LEAST_WORDS = 1
 #: Rarest tokens whose lists are compared with their earliest class first.
 CENTRE_TOKENS = 3
 #: Slots of the frequency table, the top bits of a token's hash: 64 KB whatever the input.

@@ -157,6 +157,12 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_short_lines_and_lines_without_spaces_are_judged(spark):
+    texts = ["Menu\n \n漢字かな交じり文", "menu\nHome page\n \n漢字かな交じり文\nother", "home  Page\nMenu", "https://a.b/c\nhttps://a.b/c"]
+    got = {x.doc_id: x.row.text for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == [texts[0], "Home page\n \nother", "", "https://a.b/c"]
+
+
 def test_long_lines_about_the_threshold_equal_brute_force(spark):
     r = random.Random(16)
     words = [f"w{int(r.paretovariate(0.6)) % 300}" for _ in range(400)]
