@@ -107,24 +107,36 @@ def _postings(wanted, size: int):
     return run
 
 
-def _index(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_col: str, item_col: str, item_text: str):
-    """(postings by document, windows by anchor)."""
+def _index(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_col: str, item_col: str, item_text: str, share: float | None = None):
+    """(postings by document, windows by anchor).
+
+    With ``share``, every window is anchored at each place of as many of its
+    rarest terms as no text with that share of its distinct terms lacks at once.
+    """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
     kind = items.schema["item_id"].dataType.simpleString()
     windows = items.mapInArrow(_windows(size), f"item_id {kind}, first int, terms array<long>")
     windows = cut_lineage(windows.select("item_id", "terms").distinct())  # an id may stand for several texts
     terms = windows.select("item_id", "terms", F.posexplode("terms").alias("at", "term"))
     wanted = spark.sparkContext.broadcast(id_filter(terms, "term"))
     counts = plain.select("text").mapInArrow(_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    rarest = (
-        terms.join(counts, "term")
-        .groupBy("item_id", "terms")
-        .agg(F.min(F.struct("n", "at", "term")).alias("r"), F.count("*").alias("known"))
-        .where("known = size(terms)")
-    )
-    anchors = cut_lineage(rarest.select("item_id", "terms", F.col("r.at").alias("at"), F.col("r.term").alias("term")))
+    if share is None:
+        rarest = (
+            terms.join(counts, "term")
+            .groupBy("item_id", "terms")
+            .agg(F.min(F.struct("n", "at", "term")).alias("r"), F.count("*").alias("known"))
+            .where("known = size(terms)")
+        )
+        anchors = rarest.select("item_id", "terms", F.col("r.at").alias("at"), F.col("r.term").alias("term"))
+    else:
+        ordered = F.sort_array(F.collect_set(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")))
+        rarest = terms.join(counts, "term", "left").groupBy("item_id", "terms").agg(ordered.alias("r"))
+        k = F.size("r") - F.ceil(share * F.size("r") - 1e-9).cast("int") + 1
+        chosen = rarest.select("item_id", "terms", F.slice(F.col("r.term"), F.lit(1), k).alias("r"), F.posexplode("terms").alias("at", "term"))
+        anchors = chosen.where(F.array_contains("r", F.col("term"))).drop("r")
+    anchors = cut_lineage(anchors)
     wanted = spark.sparkContext.broadcast(id_filter(anchors, "term"))
     postings = cut_lineage(
         plain.mapInArrow(
@@ -148,7 +160,8 @@ def contamination(
     A document word inside any occurrence of an item's window is hit; an item
     shorter than a window is one window.  ``contaminated``: some word is hit and
     ``100 * n_hit >= percent * n_words``.  ``items`` lists the ids of items with
-    occurring windows, sorted as strings.  Null texts have no words.  Rows that
+    occurring windows, sorted as strings; items with a null id count in ``n_hit``
+    and as one in ``n_items``, and are in no list.  Null texts have no words.  Rows that
     repeat an id with the same text count once; with different texts their words
     are added and hit places are told apart by place only.  Null ids keep a row.
     """
@@ -159,7 +172,7 @@ def contamination(
         "doc_id", F.col("item_id").cast("string").alias("item_id"), F.struct(start.alias("s"), (start + F.size("terms")).alias("e")).alias("span")
     )
     # spans of a document are bounded by its length, items by the benchmark
-    found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
@@ -172,9 +185,9 @@ def contamination(
     n_hit = F.coalesce(covered, F.lit(0).cast("long"))
     return (
         words.join(found, "doc_id", "left")
-        .select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        .select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("unnamed", F.lit(0)).alias("unnamed"))
         .select(
-            "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+            "doc_id", "n_words", "n_hit", (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), "items",
             ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"),
         )
     )
@@ -186,13 +199,17 @@ def proximity_matches(
 ) -> DataFrame:
     """``doc_id, item_id, pos, terms_near, exact``: windows most of whose distinct terms stand within ``size`` words.
 
-    ``pos`` is the place of the window's anchor in the document, ``terms_near``
-    the share of the window's distinct terms found around it.
+    ``pos`` is the place of one of the window's anchors in the document,
+    ``terms_near`` the largest share of a window's distinct terms found less than
+    ``size`` words from it.  Every stretch of ``size`` words of a document that
+    holds ``share`` of a window's distinct terms has such a place.
     """
-    postings, anchors = _index(docs, benchmark, size, id_col, text_col, item_col, item_text)
+    postings, anchors = _index(docs, benchmark, size, id_col, text_col, item_col, item_text, share)
     near = F.size(F.array_intersect("near", "terms")) / F.size(F.array_distinct("terms"))
     exact = F.slice("near", F.lit(size) - F.col("at"), F.size("terms")) == F.col("terms")
-    return _met(postings, anchors).select("doc_id", "item_id", "pos", near.alias("terms_near"), exact.alias("exact")).where(F.col("terms_near") >= share).distinct()
+    met = _met(postings, anchors).select("doc_id", "item_id", "pos", near.alias("terms_near"), exact.alias("exact"))
+    met = met.where(F.col("terms_near") >= share - 1e-9)
+    return met.groupBy("doc_id", "item_id", "pos").agg(F.max("terms_near").alias("terms_near"), F.max("exact").alias("exact"))
 
 
 #: DuckDB form of the registered query.

@@ -35,6 +35,15 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and items by document where most terms of a benchmark window stand together; rows as of op4_contamination."""
+    docs = table(spark, sf_dir, "documents")
+    near = decontam.proximity_matches(docs, table(spark, sf_dir, "benchmark"))
+    found = near.groupBy("doc_id").agg(F.count_distinct("pos").alias("n_near"), F.count_distinct("item_id").alias("n_near_items"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(found, "doc_id", "left")
+    return rows.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_near", "n_near_items")])
+
+
 def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.col("row.text").alias("text"))
 
@@ -84,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: Queries beside the ten.
+MORE = {"op4_proximity": op4_proximity}
+
 _URL_SQL = r"""
 with u as (select page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') h0,
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') path from pages),

@@ -120,6 +120,45 @@ def test_contamination_equals_sql(spark):
     assert {x.contaminated for x in decontam.contamination(docs, bench.limit(0)).collect()} == {False}
 
 
+def test_items_without_an_id_count_as_hits(spark):
+    words = " ".join(f"n{k}" for k in range(15))
+    found = decontam.contamination(frame(spark, [words, "other"]), spark.createDataFrame([(None, words)], "item_id string, text string"))
+    assert sorted((x.doc_id, x.n_hit, x.n_items, x.items, x.contaminated) for x in found.collect()) == [(0, 15, 1, [], True), (1, 0, 0, [], False)]
+    con = duckdb.connect()
+    con.execute("create table documents as select * from (values (0, ?), (1, 'other')) t(doc_id, text)", [words])
+    con.execute("create table benchmark as select cast(null as varchar) item_id, ? as text", [words])
+    empty = hashlib.sha256(b"").hexdigest()
+    assert sorted(con.execute(decontam.SQL).fetchall()) == [(0, 15, 15, 1, empty, True), (1, 1, 0, 0, empty, False)]
+
+
+def test_proximity_meets_all_near_windows_of_brute_force(spark):
+    r = random.Random(18)
+    words = [f"t{k}" for k in range(40)]
+    items = [(f"i{k}", " ".join(r.choice(words) for _ in range(16))) for k in range(8)] + [("rare", " ".join(f"u{k}" for k in range(13)))]
+    texts = [" ".join(f"u{k}" if k != gone else "lacking" for k in range(13)) for gone in range(13)]
+    for _ in range(60):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randrange(5)):
+            w[r.randrange(len(w))] = r.choice((r.choice(words), "new"))
+        texts.append(" ".join(w))
+    want = set()
+    for i, text in enumerate(texts):
+        d = text.split()
+        for item, t in items:
+            b = t.split()
+            for window in {tuple(b[k : k + 13]) for k in range(len(b) - 12)}:
+                if any(10 * len(set(window) & set(d[k : k + 13])) >= 8 * len(set(window)) for k in range(max(1, len(d) - 12))):
+                    want.add((i, item))
+    met = decontam.proximity_matches(frame(spark, texts), spark.createDataFrame(items, "item_id string, text string")).collect()
+    got = {(x.doc_id, x.item_id) for x in met}
+    assert want <= got and {(k, "rare") for k in range(13)} <= want and len(want) > 40
+    for x in met:  # and each met place holds what it says
+        around = set(texts[x.doc_id].split()[max(0, x.pos - 12) : x.pos + 13])
+        b = dict(items)[x.item_id].split()
+        shares = [len(set(b[k : k + 13]) & around) / len(set(b[k : k + 13])) for k in range(len(b) - 12)]
+        assert x.terms_near >= 0.8 and min(abs(x.terms_near - v) for v in shares) < 1e-9
+
+
 # ---- 5 lines
 def removed(texts, t=line_dedup.THRESHOLD):
     seen, out = [], []
