@@ -134,6 +134,17 @@ def stale_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", lifecycle.stale(status, F.col("type"), F.col("us"), F.lit(NOW)).alias("status"))
 
 
+def stale_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep over every incident up to NOW, however long it has been quiet, by its last call; one closed call resolves it."""
+    rows = observations(spark, sf_dir).where(F.col("us") <= NOW)
+    said = rows.select(F.col("id").alias("observation_id"), "us", F.coalesce(F.col("k") % 4 == 0, F.lit(False)).alias("closed"))
+    last = fold.correlate(rows).join(said, "observation_id").groupBy("incident_id").agg(
+        F.max("us").alias("last_us"), F.max_by("primary_type", F.struct("us", "observation_id")).alias("type"), F.max("closed").alias("closed")
+    )
+    status = F.when(F.col("closed"), "resolved").otherwise("active")
+    return last.select("incident_id", "last_us", lifecycle.stale(status, F.col("type"), F.col("last_us"), F.lit(NOW)).alias("status"))
+
+
 def report_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as written reports of the orders as calls: joined, unjoinable, or without a call."""
     reports = table(spark, sf_dir, "lineitem").select("l_linenumber", F.when(F.col("l_suppkey") % 10 != 0, F.col("l_orderkey") + F.when(F.col("l_linenumber") == 7, 10**9).otherwise(0)).alias("call"))
@@ -155,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         range_join_candidates, candidates_by_neighborhood, nearby_observations, other_agency_nearby, score_pairs, decide_batch, correlate_fold, incidents,
-        payload_hash, upsert_outcome, quarantine_reasons, pii_scrub, unit_row_fold, unit_parse, revision_diff, gap_detection, status_transition, stale_sweep,
+        payload_hash, upsert_outcome, quarantine_reasons, pii_scrub, unit_row_fold, unit_parse, revision_diff, gap_detection, status_transition, stale_sweep, stale_incidents,
         report_join, pairwise_metrics,
     )
 }

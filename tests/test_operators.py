@@ -133,3 +133,22 @@ def test_token_table(spark):
 def test_route(spark):
     rows = spark.createDataFrame([("medic", None), ("ENGINE", "Medical Incident"), ("ENGINE", "Alarm"), (None, None)], "u string, c string")
     assert [x.s for x in rows.select(ingest.route(F.col("u"), F.col("c")).alias("s")).collect()] == ["sf_ems_cad", "sf_ems_cad", "sf_fire_cad", "sf_fire_cad"]
+
+
+def test_sweep_reaches_incidents_quiet_for_longer_than_four_hours(spark):
+    from pulsegrid.operators import fold
+    from pulsegrid.plans.analytics import NOW
+    from pulsegrid.plans.catalogue import QUERIES
+    from pulsegrid.sources.observations import observations
+
+    sf = "/root/testdata/sf0.001"
+    rows = {x.id: x for x in observations(spark, sf).collect() if x.us <= NOW}
+    last, closed = {}, set()
+    for x in fold.correlate(observations(spark, sf).where(f"us <= {NOW}")).collect():
+        last[x.incident_id] = max(last.get(x.incident_id, 0), rows[x.observation_id].us)
+        if rows[x.observation_id].k % 4 == 0:
+            closed.add(x.incident_id)
+    got = {x.incident_id: x for x in QUERIES["stale_incidents"](spark, sf).collect()}
+    assert {k: x.last_us for k, x in got.items()} == last
+    old = [x for x in got.values() if x.last_us < NOW - 240 * 60_000_000]
+    assert old and all(x.status == ("resolved" if x.incident_id in closed else "unknown") for x in old)
