@@ -7,17 +7,18 @@ import re
 from dataclasses import dataclass
 
 #: Elements whose content is never text of the page.
-SKIPPED = frozenset("script style noscript template title svg iframe object canvas select textarea button math head".split())
-_RAW = "script|style|noscript|template|title|svg|iframe|object|canvas|select|textarea|button|math"
+SKIPPED = frozenset("script style noscript template title svg iframe object canvas select textarea button head".split())
+_RAW = "script|style|noscript|template|title|svg|iframe|object|canvas|select|textarea|button"
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these closes an open one of the listed kinds, as far as the boundary elements.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BOUNDARY = frozenset("ul ol dl table body html article section div main".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{_RAW})(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:(?!</(?:{_RAW})\b).)*(?:</(?:{_RAW})\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<(?P<raw>{_RAW})(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:(?!</(?P=raw)\b).)*(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
     re.S | re.I,
 )
@@ -63,7 +64,7 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     for match in _TOKEN.finditer(page or ""):
-        closing, name, attributes, chars = match.groups()
+        _, closing, name, attributes, chars = match.groups()
         if chars is not None:
             if not (stack and stack[-1][0] == "head"):
                 text.append(chars)

@@ -460,6 +460,12 @@ def test_main_text_of_held_out_pages(spark):
     assert right >= 0.98 * len(html)
 
 
+def test_self_closed_drawings_and_formulas():
+    page = "<article><svg class='i'/><p>one <math><mi>x</mi><mo>+</mo></math></p><svg><title>t</title><g>no</g></svg><p>two</p><math/><p>three</p></article><button>b</button><p>end</p>"
+    assert [b.text for b in blocks(page)] == ["one x+", "two", "three", "end"]
+    assert [b.text for b in blocks("<p>a</p><script>'</style>' no</script><p>b</p>")] == ["a", "b"]
+
+
 def test_html_edge_cases(spark):
     rows = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "<p>" * 3000, "t"), (4, "u", "no tags &amp; more", "t")], "page_id long, url string, html string, text string")
     got = {x.page_id: x.text for x in html_extract.extract_text(rows).collect()}
