@@ -7,8 +7,10 @@ is judged; only lines of white space are left alone.
 Equal texts collapse into classes first, combined before the shuffle, so a very
 common line is one row.  Tokens are ordered by rarity: how often the slot of a
 token's hash is used in the whole corpus, then the hash.  Sets that similar share
-a token among the first n - ceil(t * n) + 1, so classes meet on these alone, and
-sizes, places and 64 marks of the tokens bound the overlap before any set is read.
+a token among the first n - ceil(t * n) + 1, so classes meet on these alone.  The
+first token that both share leaves enough tokens after it in either set, which
+the places tell; sizes and 64 marks of the tokens bound the overlap as well, and
+only what passes all of them has its sets read.
 
 Groups of near copies are not expanded into pairs: a first pass over the
 CENTRE_TOKENS rarest tokens compares each class with the earliest of its lists,
@@ -25,13 +27,15 @@ from pulsegrid.session import cut_lineage
 THRESHOLD = 0.8
 LEAST_WORDS = 1
 #: Rarest tokens whose lists are compared with their earliest class first.
-CENTRE_TOKENS = 3
-#: Slots of the frequency table, the top bits of a token's hash: 64 KB whatever the input.
-SLOT_BITS = 16
+CENTRE_TOKENS = 2
+#: Slots of the frequency table, the top bits of a token's hash: 256 KB whatever the input.
+SLOT_BITS = 18
 #: Characters of the class filter, 6 slots each: 170 KB whatever the input.
 FILTER_CHARS = 174_763
 #: Mark of a class that is gone, above the places of its tokens.
 _GONE = 1 << 31
+#: Low bits of a class's number, from the hash of its text; above them is its place in the order, in steps of 2 ** -20.
+_HASH_BITS = 36
 _SPACE = r"[\x20\x09-\x0D]"
 _ENOUGH = rf"^{_SPACE}*(?:[^\x20\x09-\x0D]+{_SPACE}+){{{LEAST_WORDS - 1}}}[^\x20\x09-\x0D]"
 
@@ -51,26 +55,32 @@ def _byte(table: bytes, at: Column) -> Column:
     return F.ascii(F.substring(F.lit(table), at + 1, F.lit(1)).cast("string"))
 
 
+def _at() -> Column:
+    """The place of a line in the order of all lines."""
+    return (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line_no")).cast("decimal(38,0)")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, line_no, line, key`` of the lines that are judged; ``at`` orders them."""
     split = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    at = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line_no")
     return split.where(F.col("line").rlike(_ENOUGH)).select(
-        "doc_id", "text_key", "line_no", "line", at.cast("decimal(38,0)").alias("at"), F.xxhash64("line").alias("key")
+        "doc_id", "text_key", "line_no", "line", _at().alias("at"), F.xxhash64("line").alias("key")
     )
 
 
 def _rarity(docs: DataFrame) -> bytes:
-    """For every slot the logarithm of its use in all texts, in quarters, from 1 on; the driver gets a row a slot at most.
+    """For every slot the logarithm of its use in all texts, in quarters, from 1 on; the driver gets a table of fixed size.
 
-    It only orders tokens, so rare white space need not be told apart here.
+    It only orders tokens, so letter case and rare white space need not be told apart here.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ", -1)).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(F.split("text", " ", -1)).alias("w")).where("w <> ''")
     used = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
     level = F.least(F.lit(126), F.floor(4 * F.log2(F.col("count") + 1)) + 1).cast("int")
+    packed = F.col("slot") * 128 + level
     out = bytearray(b"\x01" * (1 << SLOT_BITS))
-    for row in used.select("slot", level.alias("level")).collect():
-        out[row["slot"]] = row["level"]
+    for row in used.groupBy(F.shiftright("slot", 10)).agg(F.collect_list(packed).alias("packed")).select("packed").collect():
+        for value in row["packed"]:
+            out[value >> 7] = value & 127
     return bytes(out)
 
 
@@ -105,67 +115,41 @@ def _passes(lines: DataFrame, known: bytes) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, rarity: bytes, classes: DataFrame, threshold: float) -> DataFrame:
-    """``key`` of the later class of each pair ``key, other`` whose sets are similar enough."""
-    pairs = cut_lineage(pairs.select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other")).distinct())
-    named = pairs.select("key").unionByName(pairs.select(F.col("other").alias("key"))).distinct()
-    chosen = _passes(lines.select("key", "line"), _class_filter(named)).join(named, "key", "left_semi").dropDuplicates(["key"])
-    sets = cut_lineage(_ordered(chosen, rarity).select("key", "tokens").join(classes.select("key", "first_at"), "key"))
-    other = sets.select(F.col("key").alias("other"), F.col("tokens").alias("other_tokens"), F.col("first_at").alias("other_at"))
+    """``key`` of the later class of each pair of class numbers ``id, other`` whose sets are similar enough."""
+    pairs = cut_lineage(pairs.distinct())
+    named = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
+    named = cut_lineage(classes.select("id", "key", "first_at").join(named, "id", "left_semi"))
+    once = _passes(lines.select("key", "line"), _class_filter(named)).dropDuplicates(["key"])
+    sets = cut_lineage(_ordered(once.join(named, "key"), rarity).select("id", "key", "tokens", "first_at"))
+    other = sets.select(*[F.col(c).alias(f"other_{c}") for c in sets.columns])
     met = F.size(F.array_intersect("tokens", "other_tokens"))
     enough = met >= threshold * (F.size("tokens") + F.size("other_tokens") - met) - 1e-9
-    later = F.when(F.col("first_at") > F.col("other_at"), F.col("key")).otherwise(F.col("other"))
-    return pairs.join(sets, "key").join(other, "other").where(enough).select(later.alias("key")).distinct()
+    later = F.when(F.col("first_at") > F.col("other_first_at"), F.col("key")).otherwise(F.col("other_key"))
+    found = pairs.join(sets, "id").join(other, F.col("other") == F.col("other_id")).where(enough).select(later.alias("key"))
+    return cut_lineage(found.distinct())
 
 
 def _listed(classes: DataFrame) -> DataFrame:
-    """A row for each prefix token of a class, dealt by token: both sides of a join read the same few columns and share one exchange.
-
-    ``packed`` holds the set's size, whether the class is gone, and the token's place.
-    """
+    """A row for each prefix token of a class; ``packed`` holds the set's size, whether the class is gone, and the token's place."""
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.when(F.col("gone"), F.lit(_GONE)).otherwise(F.lit(0)) + F.col("pos")
-    spread = classes.select("*", F.posexplode("prefix").alias("pos", "token")).select("token", "key", "rough", "marks", packed.alias("packed"))
-    # told here, these need not be inferred for one side alone
-    return spread.where(" and ".join(f"{c} is not null" for c in spread.columns)).repartition("token")
+    spread = classes.select("*", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "marks", packed.alias("packed"))
+    # told here, these need not be inferred for one side of a join alone
+    return spread.where(" and ".join(f"{c} is not null" for c in spread.columns))
 
 
-def _sizes() -> tuple[Column, Column]:
-    return F.shiftright("packed", 32), F.shiftright("other_packed", 32)
-
-
-def _possible(rows: DataFrame, threshold: float) -> DataFrame:
-    """The rows of pairs ``key, other`` that sizes and marks leave possible."""
-    n, other_n = _sizes()
-    sizes = F.least(n, other_n) >= threshold * F.greatest(n, other_n) - 1e-9
+def _possible(threshold: float) -> Column:
+    """Whether sizes, places and marks of ``a`` and ``b`` leave them similar, where the token is the first that both share."""
+    n, m = (F.shiftright(f"{x}.packed", 32) for x in "ab")
+    at, other_at = (F.col(f"{x}.packed").bitwiseAND(F.lit(_GONE - 1)) for x in "ab")
+    sizes = F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
+    overlap = threshold / (1 + threshold) * (n + m) - 1e-9  # of similar sets of these sizes
     # a mark of one side alone is a token of one side alone, of which there may be few
-    apart = F.bit_count(F.col("marks").bitwiseXOR(F.col("other_marks"))) <= (1 - threshold) / (1 + threshold) * (n + other_n) + 1e-9
-    return rows.where((F.col("key") != F.col("other")) & sizes & apart)
-
+    apart = F.bit_count(F.col("a.marks").bitwiseXOR(F.col("b.marks"))) <= (1 - threshold) / (1 + threshold) * (n + m) + 1e-9
+    return sizes & (F.least(n - at, m - other_at) >= overlap) & apart
 
-def _overlap(n: Column, other_n: Column, threshold: float) -> Column:
-    """The least overlap of similar sets of these sizes."""
-    return F.ceil(threshold / (1 + threshold) * (n + other_n) - 1e-9)
 
-
-def _placed(rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that the token's places leave possible, where it is the first that both share."""
-    n, other_n = _sizes()
-    pos, other_pos = (F.col(c).bitwiseAND(F.lit(_GONE - 1)) for c in ("packed", "other_packed"))
-    return rows.where(1 + F.least(n - pos - 1, other_n - other_pos - 1) >= _overlap(n, other_n, threshold)).select("key", "other")
-
-
-def _counted(rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose prefixes share enough tokens.
-
-    Of the prefix that ends first in the order, every token of both sets is in
-    both prefixes; all but ``n - overlap`` of a set's tokens are in both sets.
-    """
-    n, other_n = F.col("n"), F.col("other_n")
-    least = _overlap(n, other_n, threshold)
-    long = lambda size: size - F.ceil(threshold * size - 1e-9) + 1
-    need = F.least(long(n) - (n - least), long(other_n) - (other_n - least))
-    size, other_size = _sizes()
-    shared = rows.groupBy("key", "other", size.alias("n"), other_size.alias("other_n")).agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") >= need).select("key", "other")
+def _stays(side: str) -> Column:
+    return F.col(f"{side}.packed").bitwiseAND(F.lit(_GONE)) == 0
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -176,28 +160,26 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     prefix = F.slice("tokens", 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
     found = _ordered(lines.select("key", "at", "line"), rarity)
     found = found.select("key", "at", n.alias("n"), _marks("tokens").alias("marks"), prefix.alias("prefix"))
-    classes = cut_lineage(
-        found.groupBy("key").agg(F.min("at").alias("first_at"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
-    )
-    # a short form of the order: never against it, but with ties
-    ranked = classes.withColumn("rough", F.col("first_at").cast("double"))
+    found = found.groupBy("key").agg(F.min("at").alias("first_at"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
+    # the order as far as its bits go, never against it; what shares a number is told apart by its key
+    step = F.floor(F.log2(F.greatest(F.col("first_at").cast("double"), F.lit(0.0)) + 2) * (1 << 20)).cast("long")
+    number = F.shiftleft(step, _HASH_BITS) + F.col("key").bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+    classes = cut_lineage(found.withColumn("id", number))
     # the earliest class of the lists of the rarest tokens
-    near = _listed(ranked.withColumn("prefix", F.slice("prefix", 1, CENTRE_TOKENS)).withColumn("gone", F.lit(False)))
-    facts = F.struct(F.col("key").alias("other"), F.col("packed").alias("other_packed"), F.col("marks").alias("other_marks"), F.col("rough").alias("other_rough"))
-    centre = near.groupBy("token").agg(F.min_by(facts, "rough").alias("centre")).select("token", "centre.*")
-    gone = cut_lineage(_similar(_placed(_possible(near.join(centre, "token").where("rough >= other_rough"), threshold), threshold), lines, rarity, classes, threshold))
+    near = _listed(classes.withColumn("prefix", F.slice("prefix", 1, CENTRE_TOKENS)).withColumn("gone", F.lit(False)))
+    centre = near.groupBy("token").agg(F.min(F.struct("id", "marks", "packed")).alias("c")).select("token", "c.*")
+    met = near.alias("b").join(centre.alias("a"), "token").where((F.col("a.id") < F.col("b.id")) & _possible(threshold))
+    gone = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), lines, rarity, classes, threshold)
     # what is not yet gone looks through all its lists for earlier ones
-    listed = _listed(ranked.join(gone.withColumn("gone", F.lit(True)), "key", "left"))
-    other = listed.select("token", F.col("key").alias("other"), F.col("packed").alias("other_packed"), F.col("marks").alias("other_marks"), F.col("rough").alias("other_rough"))
-    stays = F.col("packed").bitwiseAND(F.lit(_GONE)) == 0
-    met = listed.join(other, "token").where(F.when(stays, F.col("rough")) >= F.col("other_rough"))
-    late = _similar(_counted(_possible(met, threshold), threshold), lines, rarity, classes, threshold)
+    listed = _listed(classes.join(gone.withColumn("gone", F.lit(True)), "key", "left"))
+    tied = F.shiftright("a.id", _HASH_BITS) == F.shiftright("b.id", _HASH_BITS)
+    open_ = (F.col("a.id") < F.col("b.id")) & (_stays("b") | (tied & _stays("a")))
+    met = listed.alias("a").join(listed.alias("b"), F.col("a.token") == F.col("b.token")).where(open_ & _possible(threshold))
+    late = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), lines, rarity, classes, threshold)
     gone = gone.unionByName(late).distinct().withColumn("gone", F.lit(True))
     judged = classes.select("key", "first_at").join(gone, "key", "left")
-    return (
-        lines.select("doc_id", "text_key", "line_no", "at", "key").join(judged, "key")
-        .where("gone or at > first_at").select("doc_id", "text_key", "line_no")
-    )
+    placed = lines.select("doc_id", "text_key", "line_no", "key").join(judged, "key")
+    return placed.where(F.col("gone") | (_at() > F.col("first_at"))).select("doc_id", "text_key", "line_no")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
