@@ -29,14 +29,18 @@ def build_session(app: str = "pulsegrid", master: str | None = None, partitions:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests, a folder is set here.
+    Only where that setting is absent, as in tests, a folder is set here.  What
+    earlier steps shuffled is of no more use then; a collection in the driver lets
+    Spark's context cleaner drop it from the disks now and not at some later time.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    context._jvm.System.gc()
+    return done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
