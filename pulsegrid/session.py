@@ -39,6 +39,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", "")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
     done = df.checkpoint(eager=True)
+    del df  # or its own shuffles would outlive the collection
     context._jvm.System.gc()
     return done
 
