@@ -92,8 +92,8 @@ def _ordered(lines: DataFrame, rarity: bytes) -> DataFrame:
 
 
 def _marks(tokens: str) -> Column:
-    """64 bits, one of which each token sets."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    """64 bits, one of which each token turns over, so that more bits than sets differ in tokens never differ."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _class_filter(classes: DataFrame) -> bytes:
@@ -143,7 +143,7 @@ def _possible(threshold: float) -> Column:
     at, other_at = (F.col(f"{x}.packed").bitwiseAND(F.lit(_GONE - 1)) for x in "ab")
     sizes = F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
     overlap = threshold / (1 + threshold) * (n + m) - 1e-9  # of similar sets of these sizes
-    # a mark of one side alone is a token of one side alone, of which there may be few
+    # marks differ by tokens of one side alone, of which there may be few
     apart = F.bit_count(F.col("a.marks").bitwiseXOR(F.col("b.marks"))) <= (1 - threshold) / (1 + threshold) * (n + m) + 1e-9
     return sizes & (F.least(n - at, m - other_at) >= overlap) & apart
 
