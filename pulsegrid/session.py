@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -30,8 +31,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
     Only where that setting is absent, as in tests, a folder is set here.  What
-    earlier steps shuffled is of no more use then; a collection in the driver lets
-    Spark's context cleaner drop it from the disks now and not at some later time.
+    was shuffled for it is of no more use then and is released.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -39,10 +39,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", "")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
     done = df.checkpoint(eager=True)
-    del df  # or its own shuffles would outlive the collection
-    context._jvm.System.gc()
+    del df  # or its own shuffles would be held
+    release(spark)
     return done
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what no frame in use reads any more.
+
+    Spark's context cleaner drops the shuffle and checkpoint files of collected
+    frames, but a driver with memory to spare may not collect for hours.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
