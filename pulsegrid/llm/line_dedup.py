@@ -13,8 +13,9 @@ the places tell; sizes and 64 marks of the tokens bound the overlap as well, and
 only what passes all of them has its sets read.
 
 Groups of near copies are not expanded into pairs: a first pass over the
-CENTRE_TOKENS rarest tokens compares each class with the earliest of its lists,
-and only classes that this does not remove look for further earlier ones.
+CENTRE_TOKENS rarest tokens compares each class of a list of over LONG_LIST
+classes with the earliest of them, and only classes that this does not remove
+look for further earlier ones.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.session import cut_lineage
+from pulsegrid.session import cut_lineage, release
 
 THRESHOLD = 0.8
 LEAST_WORDS = 1
 #: Rarest tokens whose lists are compared with their earliest class first.
 CENTRE_TOKENS = 2
+#: Classes of a list up to which all its pairs are as cheap as a first pass.
+LONG_LIST = 64
 #: Slots of the frequency table, the top bits of a token's hash: 256 KB whatever the input.
 SLOT_BITS = 18
 #: Characters of the class filter, 6 slots each: 170 KB whatever the input.
@@ -152,9 +155,8 @@ def _stays(side: str) -> Column:
     return F.col(f"{side}.packed").bitwiseAND(F.lit(_GONE)) == 0
 
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, text_key, line_no`` of every line to remove; ``docs``: doc_id, text_key, text."""
-    lines = _lines(docs)
+def _judged(docs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """``key, first_at, gone`` of every class of equal lines; ``gone`` where an earlier class is similar, else null."""
     rarity = _rarity(docs)
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
@@ -165,9 +167,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     step = F.floor(F.log2(F.greatest(F.col("first_at").cast("double"), F.lit(0.0)) + 2) * (1 << 20)).cast("long")
     number = F.shiftleft(step, _HASH_BITS) + F.col("key").bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
     classes = cut_lineage(found.withColumn("id", number))
-    # the earliest class of the lists of the rarest tokens
+    # the earliest class of the long lists of the rarest tokens
     near = _listed(classes.withColumn("prefix", F.slice("prefix", 1, CENTRE_TOKENS)).withColumn("gone", F.lit(False)))
-    centre = near.groupBy("token").agg(F.min(F.struct("id", "marks", "packed")).alias("c")).select("token", "c.*")
+    centre = near.groupBy("token").agg(F.min(F.struct("id", "marks", "packed")).alias("c"), F.count("*").alias("size"))
+    centre = centre.where(F.col("size") > LONG_LIST).select("token", "c.*")
     met = near.alias("b").join(centre.alias("a"), "token").where((F.col("a.id") < F.col("b.id")) & _possible(threshold))
     gone = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), lines, rarity, classes, threshold)
     # what is not yet gone looks through all its lists for earlier ones
@@ -177,7 +180,14 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = listed.alias("a").join(listed.alias("b"), F.col("a.token") == F.col("b.token")).where(open_ & _possible(threshold))
     late = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), lines, rarity, classes, threshold)
     gone = gone.unionByName(late).distinct().withColumn("gone", F.lit(True))
-    judged = classes.select("key", "first_at").join(gone, "key", "left")
+    return cut_lineage(classes.select("key", "first_at").join(gone, "key", "left"))
+
+
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, text_key, line_no`` of every line to remove; ``docs``: doc_id, text_key, text."""
+    lines = _lines(docs)
+    judged = _judged(docs, lines, threshold)
+    release(docs.sparkSession)
     placed = lines.select("doc_id", "text_key", "line_no", "key").join(judged, "key")
     return placed.where(F.col("gone") | (_at() > F.col("first_at"))).select("doc_id", "text_key", "line_no")
 
