@@ -40,18 +40,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
     done = df.checkpoint(eager=True)
     del df  # or its own shuffles would be held
-    release(spark)
+    _collect(spark)
     return done
 
 
+def _collect(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
-    """Let go of what no frame in use reads any more.
+    """Let go of what no frame in use reads any more, the last step's shuffles among it.
 
     Spark's context cleaner drops the shuffle and checkpoint files of collected
-    frames, but a driver with memory to spare may not collect for hours.
+    frames, but a driver with memory to spare may not collect for hours, and the
+    last plan is held until the next one has run.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.range(1).count()
+        _collect(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
