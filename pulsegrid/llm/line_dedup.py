@@ -99,10 +99,10 @@ def _marks(tokens: str) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _class_filter(classes: DataFrame) -> bytes:
-    """Six bits of class keys a byte, for a test before the exact join; full at many classes, and still right."""
-    slot = F.pmod(F.col("key"), F.lit(FILTER_CHARS * 6))
-    bits = classes.select((slot / 6).cast("int").alias("at"), (slot % 6).cast("int").alias("bit")).groupBy("at").agg(
+def _filter(keys: DataFrame) -> bytes:
+    """Six bits of the longs in ``key`` a byte, for a test before an exact join; full at many keys, and still right."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(FILTER_CHARS * 6))
+    bits = keys.select((slot / 6).cast("int").alias("at"), (slot % 6).cast("int").alias("bit")).groupBy("at").agg(
         F.bit_or(F.expr("shiftleft(1, bit)")).alias("bits")
     )
     out = bytearray(FILTER_CHARS)
@@ -111,18 +111,20 @@ def _class_filter(classes: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _passes(lines: DataFrame, known: bytes) -> DataFrame:
-    slot = F.pmod(F.col("key"), F.lit(FILTER_CHARS * 6))
+def _passes(key: str, known: bytes) -> Column:
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_CHARS * 6))
     bits = _byte(known, (slot / 6).cast("int"))
-    return lines.where(F.call_function("getbit", bits, (slot % 6).cast("int")) == 1)
+    return F.call_function("getbit", bits, (slot % 6).cast("int")) == 1
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, rarity: bytes, classes: DataFrame, threshold: float) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, rarity: bytes, classes: DataFrame, threshold: float) -> DataFrame:
     """``key`` of the later class of each pair of class numbers ``id, other`` whose sets are similar enough."""
     pairs = cut_lineage(pairs.distinct())
     named = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
     named = cut_lineage(classes.select("id", "key", "first_at").join(named, "id", "left_semi"))
-    once = _passes(lines.select("key", "line"), _class_filter(named)).dropDuplicates(["key"])
+    # only documents that a class stands in first are split
+    there = docs.where(_passes("doc_id", _filter(named.select(F.floor(F.col("first_at") / F.lit(1 << 31)).cast("long").alias("key")))))
+    once = _lines(there).select("key", "line").where(_passes("key", _filter(named))).dropDuplicates(["key"])
     sets = cut_lineage(_ordered(once.join(named, "key"), rarity).select("id", "key", "tokens", "first_at"))
     other = sets.select(*[F.col(c).alias(f"other_{c}") for c in sets.columns])
     met = F.size(F.array_intersect("tokens", "other_tokens"))
@@ -155,9 +157,9 @@ def _stays(side: str) -> Column:
     return F.col(f"{side}.packed").bitwiseAND(F.lit(_GONE)) == 0
 
 
-def _judged(docs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+def _judged(docs: DataFrame, threshold: float) -> DataFrame:
     """``key, first_at, gone`` of every class of equal lines; ``gone`` where an earlier class is similar, else null."""
-    rarity = _rarity(docs)
+    lines, rarity = _lines(docs), _rarity(docs)
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
     found = _ordered(lines.select("key", "at", "line"), rarity)
@@ -172,23 +174,22 @@ def _judged(docs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     centre = near.groupBy("token").agg(F.min(F.struct("id", "marks", "packed")).alias("c"), F.count("*").alias("size"))
     centre = centre.where(F.col("size") > LONG_LIST).select("token", "c.*")
     met = near.alias("b").join(centre.alias("a"), "token").where((F.col("a.id") < F.col("b.id")) & _possible(threshold))
-    gone = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), lines, rarity, classes, threshold)
+    gone = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), docs, rarity, classes, threshold)
     # what is not yet gone looks through all its lists for earlier ones
     listed = _listed(classes.join(gone.withColumn("gone", F.lit(True)), "key", "left"))
     tied = F.shiftright("a.id", _HASH_BITS) == F.shiftright("b.id", _HASH_BITS)
     open_ = (F.col("a.id") < F.col("b.id")) & (_stays("b") | (tied & _stays("a")))
     met = listed.alias("a").join(listed.alias("b"), F.col("a.token") == F.col("b.token")).where(open_ & _possible(threshold))
-    late = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), lines, rarity, classes, threshold)
+    late = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), docs, rarity, classes, threshold)
     gone = gone.unionByName(late).distinct().withColumn("gone", F.lit(True))
     return cut_lineage(classes.select("key", "first_at").join(gone, "key", "left"))
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, text_key, line_no`` of every line to remove; ``docs``: doc_id, text_key, text."""
-    lines = _lines(docs)
-    judged = _judged(docs, lines, threshold)
+    judged = _judged(docs, threshold)
     release(docs.sparkSession)
-    placed = lines.select("doc_id", "text_key", "line_no", "key").join(judged, "key")
+    placed = _lines(docs).select("doc_id", "text_key", "line_no", "key").join(judged, "key")
     return placed.where(F.col("gone") | (_at() > F.col("first_at"))).select("doc_id", "text_key", "line_no")
 
 
