@@ -92,6 +92,10 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     return (float((a == b).mean()) - c) / (1 - c)
 
 
+def _set_key(shingles: np.ndarray) -> int:
+    return xxh3_64_intdigest(shingles.tobytes()) if len(shingles) else 0
+
+
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +111,7 @@ def _sketches(size: int):
                         sizes[i] = len(s)
                         if len(s):
                             least[i] = minima(s)
-                            keys[i] = xxh3_64_intdigest(s.tobytes())
+                            keys[i] = _set_key(s)
                 regs = compress(least)
                 bands = signed(band_keys(regs).reshape(-1))
                 offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS)
@@ -136,9 +140,9 @@ def _sets(size: int, wanted):
                     sets = [signed(shingle_set(d, size)) for d in byte_texts(part.column(1))]
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-                yield pa.record_batch(
-                    {"node": part.column(0), "shingles": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
-                )
+                keys = signed(np.array([_set_key(s) for s in sets], np.uint64))
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.record_batch({"node": part.column(0), "set_key": pa.array(keys), "shingles": listed})
 
     return run
 
@@ -166,7 +170,9 @@ def _plausible(least_estimate: float):
 def unlinked_pairs(rest: DataFrame, percent: int) -> DataFrame:
     """``a, b`` that can be linked among members of one centre that are in different classes.
 
-    ``rest``: node, c, n, inside, outside, class, least_n.  Two members need
+    ``rest``: node, c, n, inside, outside, class, least_n, main, where ``main``
+    is a class of the centre: of two members in different classes one at least is
+    not in it, so only those look for partners.  Two members need
     ``need = percent / (100 + percent) * (n + n')`` shingles in common.  At most
     the smaller ``inside`` lie in the centre; the others are shared outside, so
     the pair meets in a prefix of its outside shingles, in any fixed order.
@@ -176,19 +182,20 @@ def unlinked_pairs(rest: DataFrame, percent: int) -> DataFrame:
     size = F.size("outside")
     rest = rest.withColumn("prefix", size - F.greatest(least, F.lit(1)) + 1).withColumn("size", size)
     flat = ["c", "node", "class", "n", "inside", "size"]
+    asks = F.col("class") != F.col("main")
     other = lambda df, *on: df.select(*on, *[F.col(x).alias(f"o_{x}") for x in flat if x not in on])
     need = share * (F.col("n") + F.col("o_n")) - 1e-6
     inside = F.least("inside", "o_inside")
-    fits = (F.col("node") < F.col("o_node")) & (F.col("class") != F.col("o_class"))
+    fits = F.col("class") != F.col("o_class")
     fits &= 100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")
     # enough in the centre: both counts suffice, which is rare between classes
-    able = rest.where(F.col("inside") >= F.ceil(share * (F.col("n") + F.col("least_n")) - 1e-6)).select(*flat)
-    both = able.join(other(able, "c"), "c").where(fits & (inside >= need))
-    listed = rest.where("prefix > 0").select(*flat, F.explode(F.slice(F.sort_array("outside"), 1, F.col("prefix").cast("int"))).alias("token"))
-    met = listed.join(other(listed, "c", "token"), ["c", "token"])
+    able = rest.where(F.col("inside") >= F.ceil(share * (F.col("n") + F.col("least_n")) - 1e-6)).select(*flat, "main")
+    both = able.where(asks).join(other(able, "c"), "c").where(fits & (inside >= need))
+    listed = rest.where("prefix > 0").select(*flat, "main", F.explode(F.slice(F.sort_array("outside"), 1, F.col("prefix").cast("int"))).alias("token"))
+    met = listed.where(asks).join(other(listed, "c", "token"), ["c", "token"])
     met = met.where(fits & (inside < need) & (inside + F.least("size", "o_size") >= need))
     pairs = both.select("node", "o_node").unionByName(met.select("node", "o_node"))
-    return pairs.distinct().withColumnsRenamed({"node": "a", "o_node": "b"})
+    return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, side: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,17 +230,18 @@ def near_duplicates(
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     groups = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     lone = full.select("set_key", F.col("doc_id").alias("node"), "n_shingles", "bands", "registers")
-    reps = lone.join(groups, ["set_key", "node"], "left_semi").dropDuplicates(["node"])
-    reps = cut_lineage(reps.select("node", F.col("n_shingles").alias("n"), "bands", "registers"))
+    # of several texts of an id, the one of the smallest key
+    reps = lone.join(groups, ["set_key", "node"], "left_semi").groupBy("node").agg(F.min(F.struct("set_key", "n_shingles", "bands", "registers")).alias("r"))
+    reps = cut_lineage(reps.select("node", "r.set_key", F.col("r.n_shingles").alias("n"), "r.bands", "r.registers"))
 
-    keyed = reps.select(F.explode("bands").alias("key"), "node", "n")
+    keyed = reps.select(F.explode("bands").alias("key"), "node", "set_key", "n")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     keyed = cut_lineage(keyed.join(shared.select("key", "size"), "key"))
-    touched = keyed.groupBy("node").agg(F.first("n").alias("n"), F.sum("size").alias("met"))
+    touched = keyed.groupBy("node").agg(F.first("set_key").alias("set_key"), F.first("n").alias("n"), F.sum("size").alias("met"))
     wanted = spark.sparkContext.broadcast(id_filter(touched, "node"))
-    # an id may stand in several rows: the set of the size that was chosen is taken
-    sets = plain.where("doc_id is not null").mapInArrow(_sets(shingle, wanted), "node long, shingles array<long>")
-    sets = cut_lineage(sets.join(touched, "node").where(F.size("shingles") == F.col("n")).dropDuplicates(["node"]))
+    # an id may stand in several rows: the set that was chosen is taken
+    sets = plain.where("doc_id is not null").mapInArrow(_sets(shingle, wanted), "node long, set_key long, shingles array<long>")
+    sets = cut_lineage(sets.join(touched, ["node", "set_key"]).dropDuplicates(["node"]).drop("set_key"))
 
     # one comparison for each member of a key, with the key's centre
     member = keyed.join(touched.select("node", "met"), "node")
@@ -253,8 +261,13 @@ def near_duplicates(
 
     classes = classes_of(linked)
     rest = star.join(classes, "node").join(classes.select(F.col("node").alias("c"), F.col("class").alias("c_class")), "c")
-    mixed = rest.groupBy("c").agg(F.min(F.least("class", "c_class")).alias("lo"), F.max(F.greatest("class", "c_class")).alias("hi"), F.min("n").alias("least_n"))
-    rest = cut_lineage(rest.join(mixed.where("lo < hi").select("c", "least_n"), "c"))
+    # classes of a centre first, so that a hot centre is summed up before it meets in one task
+    sizes = rest.groupBy("c", "class").agg(F.count("*").alias("size"), F.min("n").alias("least_n"), F.min("c_class").alias("c_class"))
+    mixed = sizes.groupBy("c").agg(
+        F.min(F.least("class", "c_class")).alias("lo"), F.max(F.greatest("class", "c_class")).alias("hi"), F.min("least_n").alias("least_n"),
+        F.max_by("class", F.struct("size", "class")).alias("main"),
+    )
+    rest = cut_lineage(rest.join(mixed.where("lo < hi").select("c", "least_n", "main"), "c"))
     more = confirm(unlinked_pairs(rest, percent), reps, sets, percent)
     if not more.isEmpty():
         classes = classes_of(linked.unionByName(more))
