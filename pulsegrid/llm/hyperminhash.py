@@ -182,8 +182,9 @@ def unlinked_pairs(rest: DataFrame, percent: int) -> DataFrame:
     size = F.size("outside")
     rest = rest.withColumn("prefix", size - F.greatest(least, F.lit(1)) + 1).withColumn("size", size)
     flat = ["c", "node", "class", "n", "inside", "size"]
+    placed = [*flat, "pos"]
     asks = F.col("class") != F.col("main")
-    other = lambda df, *on: df.select(*on, *[F.col(x).alias(f"o_{x}") for x in flat if x not in on])
+    other = lambda df, *on: df.select(*on, *[F.col(x).alias(f"o_{x}") for x in placed if x not in on and x in df.columns])
     need = share * (F.col("n") + F.col("o_n")) - 1e-6
     inside = F.least("inside", "o_inside")
     fits = F.col("class") != F.col("o_class")
@@ -191,9 +192,11 @@ def unlinked_pairs(rest: DataFrame, percent: int) -> DataFrame:
     # enough in the centre: both counts suffice, which is rare between classes
     able = rest.where(F.col("inside") >= F.ceil(share * (F.col("n") + F.col("least_n")) - 1e-6)).select(*flat, "main")
     both = able.where(asks).join(other(able, "c"), "c").where(fits & (inside >= need))
-    listed = rest.where("prefix > 0").select(*flat, "main", F.explode(F.slice(F.sort_array("outside"), 1, F.col("prefix").cast("int"))).alias("token"))
+    listed = rest.where("prefix > 0").select(*flat, "main", F.posexplode(F.slice(F.sort_array("outside"), 1, F.col("prefix").cast("int"))).alias("pos", "token"))
     met = listed.where(asks).join(other(listed, "c", "token"), ["c", "token"])
-    met = met.where(fits & (inside < need) & (inside + F.least("size", "o_size") >= need))
+    # at the first token that both share, as many as are missing must still be left in either set
+    left = F.least(F.col("size") - F.col("pos"), F.col("o_size") - F.col("o_pos"))
+    met = met.where(fits & (inside < need) & (inside + left >= need))
     pairs = both.select("node", "o_node").unionByName(met.select("node", "o_node"))
     return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
