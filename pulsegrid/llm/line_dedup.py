@@ -205,8 +205,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), row.alias("row"))
     text = F.col("row").getField(text_col)
     gone = removed_lines(keyed.where("doc_id is not null").select("doc_id", "text_key", text.alias("text")).where("text is not null"), threshold)
-    # a document's line numbers are bounded by its length
-    gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"))
+    # a document's line numbers are bounded by its length; kept, so that nothing but them is there when the texts are dealt
+    gone = cut_lineage(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone")))
+    release(docs.sparkSession)
     joined = keyed.join(gone, ["doc_id", "text_key"], "left")
     all_lines = F.split(text, "\n", -1)
     kept = F.when(F.col("gone").isNull(), text).otherwise(
