@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-#: Elements whose content is never text of the page.
-SKIPPED = frozenset("script style noscript template title svg iframe object canvas select textarea button head".split())
-_RAW = "script|style|noscript|template|title|svg|iframe|object|canvas|select|textarea|button"
+#: Elements whose content is never text of the page, up to their own end tag; those of NESTED may hold others of their name.
+RAW = frozenset("script style noscript template title svg iframe object canvas select textarea button".split())
+NESTED = frozenset("template svg object".split())
+#: Unclosed, these take the rest of the page; the others are then ignored.
+ENDLESS = frozenset(("script", "style"))
+#: Levels of a tag path that a block keeps: the outermost and the innermost.
+OUTER, INNER = 16, 48
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split()
 )
@@ -16,12 +22,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Opening one of these closes an open one of the listed kinds, as far as the boundary elements.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BOUNDARY = frozenset("ul ol dl table body html article section div main".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
-    rf"|<(?P<raw>{_RAW})(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:(?!</(?P=raw)\b).)*(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -44,6 +46,67 @@ def _marks(attributes: str) -> list[str]:
     return out
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the raw element that is open at ``at`` ends; -1 if nothing closes it."""
+    depth, last = 1, -1
+    for tag in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        if tag[1]:
+            depth, last = depth - 1, tag.end()
+            if not depth or name not in NESTED:
+                break
+        elif not tag[0].endswith("/>"):
+            depth += 1
+    return last
+
+
+def tokens(page: str) -> Iterator[tuple[str | None, bool, str]]:
+    """``(None, False, text)`` and ``(tag, closing, attributes)`` in page order, without comments and raw elements.
+
+    Every step goes ahead, so a page is read in time in proportion to its
+    length: what was searched for in vain once is not searched for again.  A
+    tag whose quotes never close ends, like all after it, at the next ``>``.
+    """
+    at, last, quoted, unclosed = 0, page.rfind(">"), True, set()
+    while at < len(page):
+        less = page.find("<", at)
+        comment = less >= 0 and page.startswith("<!--", less)
+        if less < 0 or less > last and not comment:
+            yield None, False, page[at:]
+            return
+        if less > at:
+            yield None, False, page[at:less]
+        if comment:
+            end = page.find("-->", less + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        if page[less + 1] in "!?":
+            at = page.find(">", less) + 1
+            continue
+        tag = _TAG.match(page, less)
+        if not tag:
+            yield None, False, "<"
+            at = less + 1
+            continue
+        found = _ATTRIBUTES.match(page, tag.end()) if quoted else None
+        quoted = quoted and found is not None
+        at = found.end() if found else page.find(">", tag.end()) + 1
+        name, closing, attributes = tag[2].lower(), bool(tag[1]), page[tag.end() : at - 1]
+        if name in RAW and not closing:
+            if name in unclosed or name == "svg" and attributes.endswith("/"):
+                continue
+            end = _raw_end(page, name, at)
+            if end >= 0:
+                at = end
+            elif name in ENDLESS:
+                return
+            else:
+                unclosed.add(name)
+            continue
+        yield name, closing, attributes
+
+
 def blocks(page: str | None) -> list[Block]:
     """Text blocks in page order: white space is one space, character references are decoded, blank ones are left out.
 
@@ -54,26 +117,29 @@ def blocks(page: str | None) -> list[Block]:
     text: list[str] = []
     linked = depth = 0
 
+    open_: Counter[str] = Counter()
+
     def flush():
         nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append(Block([m for _, marks in stack for m in marks], whole, linked))
+                levels = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+                out.append(Block([m for _, marks in levels for m in marks], whole, linked))
             text.clear()
         linked = 0
 
-    for match in _TOKEN.finditer(page or ""):
-        _, closing, name, attributes, chars = match.groups()
-        if chars is not None:
+    def close(at: int):
+        open_.subtract(name for name, _ in stack[at:])
+        del stack[at:]
+
+    for name, closing, said in tokens(page or ""):
+        if name is None:
             if not (stack and stack[-1][0] == "head"):
-                text.append(chars)
+                text.append(said)
                 if depth:
-                    linked += len(chars)
-            continue
-        if name is None:
+                    linked += len(said)
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "a":
                 depth = 0 if closing else 1
@@ -83,24 +149,28 @@ def blocks(page: str | None) -> list[Block]:
         flush()
         depth = 0
         if closing:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == name:
-                    del stack[at:]
-                    break
+            if open_[name] > 0:
+                close(next(at for at in range(len(stack) - 1, -1, -1) if stack[at][0] == name))
             continue
         if name in VOID:
             continue
         if name == "body":
-            stack = [x for x in stack if x[0] == "html"]
+            kept = [x for x in stack if x[0] == "html"]
+            close(0)
+            stack += kept
+            open_.update(x for x, _ in kept)
         elif stack and stack[-1][0] == "p":
-            stack.pop()  # any block ends an open paragraph
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] in CLOSES.get(name, ()):
-                del stack[at:]
-                break
-            if stack[at][0] in _BOUNDARY:
-                break
-        if not attributes.rstrip().endswith("/"):
-            stack.append((name, [name, *_marks(attributes)]))
+            close(len(stack) - 1)  # any block ends an open paragraph
+        ends = CLOSES.get(name, ())
+        if any(open_[x] > 0 for x in ends):
+            for at in range(len(stack) - 1, -1, -1):
+                if stack[at][0] in ends:
+                    close(at)
+                    break
+                if stack[at][0] in _BOUNDARY:
+                    break
+        if not said.rstrip().endswith("/"):
+            stack.append((name, [name, *_marks(said)]))
+            open_[name] += 1
     flush()
     return out
