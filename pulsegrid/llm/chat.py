@@ -1,89 +1,74 @@
 """Chat formatting: field-path fingerprints choose a declarative mapping to canonical turns.
 
-A record is one JSON text in any registered layout.  The nested field paths of
-the record are hashed; the hash picks the mapping that turns the record into
-``array<struct<role, content>>``.  The template then writes each turn as
-``<s>`` role ``[INST]`` text ``</s>``; in roles and texts ``\\``, ``<`` and ``[``
-are written ``\\\\``, ``\\l`` and ``\\b``, so no control string occurs inside
-one and the escape can be undone.
+A record is one JSON text in any registered layout.  The nested field paths
+that it has among those that any layout knows are hashed; the hash picks the
+mapping that turns the record into ``array<struct<role, content>>``.  Fields
+that no layout knows do not count and are left out.  The template then writes
+each turn as ``<s>`` role ``[INST]`` text ``</s>``; in roles and texts ``\\``,
+``<`` and ``[`` are written ``\\\\``, ``\\l`` and ``\\b``, so no control string
+occurs inside one and the escape can be undone.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TURNS = "array<struct<role:string,content:string>>"
 OPEN, MIDDLE, CLOSE = "<s>", "[INST]", "</s>"
-#: Bytes of a record from which its variant may be over Spark's limit of 16 MB; a variant is below four times its JSON.
-LARGE = 1 << 22
 #: Loss spans that are read back from the text as it is; more are read from fixed-width code points.
 FEW_SPANS = 64
 
-#: Layout name: an example record (its field paths are what counts), and the SQL that maps variant ``v`` to turns.
-#: ``$`` paths are read as strings; optional fields are further examples of the same layout.
+#: The fields that layouts know; a record is read by this schema, so texts have no limit but that of a string.
+FIELDS = {
+    "messages": _TURNS, "conversations": "array<struct<from:string,value:string>>", "prompt": "string", "completion": "string", "question": "string",
+    "answer": "string", "instruction": "string", "input": "string", "output": "string", "system": "string",
+}
+_PAIR = "array(named_struct('role', 'user', 'content', {}), named_struct('role', 'assistant', 'content', {}))"
+#: Layout name: example records, each of other field paths, as these are what counts (a null field is an absent one), and the SQL that maps the fields to turns.
 LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
     "messages": (
-        ('{"messages":[{"role":"a","content":"a"}]}', '{"messages":[{"role":"a"}]}', '{"messages":[{"content":"a"}]}', '{"messages":[{}]}', '{"messages":[]}'),
-        f"variant_get(v, '$.messages', '{_TURNS}')",
+        ('{"messages":[{"role":"a","content":"a"}]}', '{"messages":[{"role":"a"}]}', '{"messages":[{"content":"a"}]}', '{"messages":[]}'), "messages"
     ),
     "sharegpt": (
-        ('{"conversations":[{"from":"a","value":"a"}]}', '{"conversations":[]}'),
-        """transform(variant_get(v, '$.conversations', 'array<struct<from:string,value:string>>'),
-           t -> named_struct('role', case t.from when 'human' then 'user' when 'gpt' then 'assistant' else t.from end,
-                             'content', t.value))""",
-    ),
-    "prompt": (
-        ('{"prompt":"a","completion":"a"}', '{"prompt":"a"}', '{"completion":"a"}'),
-        """array(named_struct('role', 'user', 'content', variant_get(v, '$.prompt', 'string')),
-                 named_struct('role', 'assistant', 'content', variant_get(v, '$.completion', 'string')))""",
-    ),
-    "question": (
-        ('{"question":"a","answer":"a"}',),
-        """array(named_struct('role', 'user', 'content', variant_get(v, '$.question', 'string')),
-                 named_struct('role', 'assistant', 'content', variant_get(v, '$.answer', 'string')))""",
+        ('{"conversations":[{"from":"a","value":"a"}]}', '{"conversations":[{"from":"a"}]}', '{"conversations":[{"value":"a"}]}', '{"conversations":[]}'),
+        """transform(conversations, t -> named_struct('role', case t.from when 'human' then 'user' when 'gpt' then 'assistant' else t.from end, 'content', t.value))""",
     ),
+    "prompt": (('{"prompt":"a","completion":"a"}', '{"prompt":"a"}', '{"completion":"a"}'), _PAIR.format("prompt", "completion")),
+    "question": (('{"question":"a","answer":"a"}',), _PAIR.format("question", "answer")),
     "instruction": (
-        ('{"instruction":"a","input":"a","output":"a"}', '{"instruction":"a","output":"a"}'),
-        """array(named_struct('role', 'user', 'content', concat_ws('\\n\\n', variant_get(v, '$.instruction', 'string'),
-                   nullif(variant_get(v, '$.input', 'string'), ''))),
-                 named_struct('role', 'assistant', 'content', variant_get(v, '$.output', 'string')))""",
+        ('{"instruction":"a","input":"a","output":"a"}', '{"instruction":"a","output":"a"}'), _PAIR.format("concat_ws('\\n\\n', instruction, nullif(input, ''))", "output")
     ),
     "system_instruction": (
-        ('{"system":"a","instruction":"a","output":"a"}',),
-        """array(named_struct('role', 'system', 'content', variant_get(v, '$.system', 'string')),
-                 named_struct('role', 'user', 'content', variant_get(v, '$.instruction', 'string')),
-                 named_struct('role', 'assistant', 'content', variant_get(v, '$.output', 'string')))""",
+        ('{"system":"a","instruction":"a","output":"a"}', '{"system":"a","instruction":"a","input":"a","output":"a"}'),
+        "concat(array(named_struct('role', 'system', 'content', system)), " + _PAIR.format("concat_ws('\\n\\n', instruction, nullif(input, ''))", "output") + ")",
     ),
 }
 
-#: A field that a mapping reads, and its type.
-_FIELD = re.compile(r"variant_get\(v, '\$\.(\w+)', '([^']+)'\)")
-
 
-def field_paths(variant: Column) -> Column:
-    """The nested field paths of a variant as text: its schema, sorted by key, without scalar types."""
-    return F.regexp_replace(F.schema_of_variant(variant), r": ?(STRING|VOID|BIGINT|BOOLEAN|DOUBLE|DECIMAL\([0-9,]*\))", "")
+def read_record(record: Column) -> Column:
+    """The known fields of a JSON record as a struct; null for what is no JSON object."""
+    return F.from_json(record, ", ".join(f"`{name}` {kind}" for name, kind in FIELDS.items()), {"maxStringLen": "2147483647"})
 
 
-def fingerprint(variant: Column) -> Column:
-    return F.xxhash64(field_paths(variant))
+def _some(items: Column, field: str) -> Column:
+    return F.exists(items, lambda x: x[field].isNotNull())
 
 
-def skeleton(record: Column) -> Column:
-    """A record's JSON with scalars emptied and repeated objects of its arrays left out: small, with the same field paths."""
-    plain = F.regexp_replace(record, r"(?s)\\.", "")
-    bare = F.regexp_replace(plain, r'"(?:([^"]*+)"(\s*+:)|[^"]*+")|-?[0-9][0-9.eE+-]*+', '"$1"$2')
-    return F.array_join(F.array_distinct(F.split(bare, r"(?<=\})\s*,\s*(?=\{)", -1)), ",")
+def field_paths(fields: Column) -> Column:
+    """The nested paths that a record has of the known ones, in the order of FIELDS; null for no record."""
+    paths = []
+    for name, kind in FIELDS.items():
+        value = fields.getField(name)
+        paths.append(F.when(value.isNotNull(), name))
+        if kind.startswith("array<struct<"):
+            inner = [f.split(":")[0] for f in kind.removeprefix("array<struct<").removesuffix(">>").split(",")]
+            paths += [F.when(_some(value, f), f"{name}[].{f}") for f in inner]
+    return F.when(fields.isNotNull(), F.array_join(F.array_compact(F.array(*paths)), " "))
 
 
-def _read_large(record: Column) -> Column:
-    """The fields of all layouts, as the mappings declare them, read without a variant; fails on what is no JSON."""
-    fields = {name: kind for _, mapping in LAYOUTS.values() for name, kind in _FIELD.findall(mapping)}
-    schema = ", ".join(f"{name} {kind}" for name, kind in fields.items())
-    return F.from_json(record, schema, {"mode": "FAILFAST", "maxStringLen": "2147483647"})
+def fingerprint(fields: Column) -> Column:
+    return F.xxhash64(field_paths(fields))
 
 
 def escape(text: Column) -> Column:
@@ -97,37 +82,46 @@ def unescape(text: Column) -> Column:
 
 
 def records_from_turns(rows: DataFrame) -> DataFrame:
-    """``conv_id, record``: the rows of a conversation, by turn, as one JSON record of the messages layout.
+    """``conv_id, record``: the rows of a conversation, by turn, as one JSON record.
 
     Ties of ``turn`` are ordered by role, then text.  A null role or text is an
-    absent field.  One conversation is one output string, so its rows meet in
-    one task; a conversation is bounded by what one formatted text may be.
+    absent field.  Of a user's and an assistant's text alone the record is a
+    prompt with its completion; where all roles are known and the id is odd, it
+    is a list of conversations, else one of messages.  One conversation is one
+    output string, so its rows meet in one task; a conversation is bounded by
+    what one formatted text may be.
     """
     turn = F.struct(F.col("turn"), F.col("role"), F.col("text").alias("content"))
-    listed = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(listed.alias("messages"))).alias("record"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    roles = F.transform("t", lambda t: t["role"])
+    other = F.create_map(*map(F.lit, ("user", "human", "assistant", "gpt", "system", "system")))
+    messages = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    said = F.transform("t", lambda t: F.struct(F.try_element_at(other, t["role"]).alias("from"), t["content"].alias("value")))
+    pair = (roles == F.array(F.lit("user"), F.lit("assistant"))) & F.forall("t", lambda t: t["content"].isNotNull())
+    plain = F.forall("t", lambda t: F.coalesce(t["role"].isin("user", "assistant", "system"), F.lit(False))) & (F.pmod(F.col("conv_id"), F.lit(2)) == 1)
+    record = (
+        F.when(pair, F.to_json(F.struct(F.col("t")[0]["content"].alias("prompt"), F.col("t")[1]["content"].alias("completion"))))
+        .when(plain, F.to_json(F.struct(said.alias("conversations")))).otherwise(F.to_json(F.struct(messages.alias("messages"))))
+    )
+    return whole.select("conv_id", record.alias("record"))
 
 
 def canonical_turns(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """``id, layout, idx, role, content`` rows; null fields become empty strings.
 
-    Records of an unknown layout, or that are no JSON, keep one row with null
-    ``layout`` and ``idx``, so nothing is lost silently.  A record too large for
-    a variant is known by its skeleton and read by the layout's declared schema.
+    Fields beside those of a layout are left out.  Records of no one layout, or
+    that are no JSON, keep one row with null ``layout`` and ``idx``, so they can
+    be counted and nothing is lost silently.
     """
     spark = records.sparkSession
     known = [F.struct(F.lit(name).alias("layout"), F.lit(text).alias("example")) for name, (examples, _) in LAYOUTS.items() for text in examples]
-    registry = spark.range(1).select(F.inline(F.array(*known))).select("layout", fingerprint(F.parse_json("example")).alias("fingerprint"))
-    parsed = records.select(F.col(id_col).alias("id"), F.col(record_col).alias("record"), F.try_parse_json(F.col(record_col)).alias("v"))
-    parsed = parsed.withColumn("large", F.col("v").isNull() & (F.octet_length("record") >= LARGE))
-    shape = F.when(F.col("large"), F.try_parse_json(skeleton(F.col("record")))).otherwise(F.col("v"))
-    parsed = parsed.withColumn("fingerprint", fingerprint(shape))
+    registry = spark.range(1).select(F.inline(F.array(*known))).select("layout", fingerprint(read_record(F.col("example"))).alias("fingerprint"))
+    parsed = records.select(F.col(id_col).alias("id"), read_record(F.col(record_col)).alias("r"))
+    parsed = parsed.select("id", "r.*", F.when(F.col("r").isNotNull(), fingerprint(F.col("r"))).alias("fingerprint"))
     chosen = parsed.join(F.broadcast(registry), "fingerprint", "left")  # the registry is the constant above
-    chosen = chosen.withColumn("j", F.when(F.col("large") & F.col("layout").isNotNull(), _read_large(F.col("record"))))
     turns = F.lit(None).cast(_TURNS)
     for name, (_, mapping) in LAYOUTS.items():
-        read = F.when(F.col("large"), F.expr(_FIELD.sub(r"j.\1", mapping))).otherwise(F.expr(mapping))
-        turns = F.when(F.col("layout") == name, read).otherwise(turns)
+        turns = F.when(F.col("layout") == name, F.expr(mapping)).otherwise(turns)
     exploded = chosen.select("id", "layout", F.posexplode_outer(turns).alias("idx", "t"))
     return exploded.select(
         "id", "layout", "idx", F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.content", F.lit("")).alias("content")
