@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from pulsegrid.llm.common import ALNUM_LOWER, byte_texts, hash_words, id_filter, passes, signed
 from pulsegrid.session import cut_lineage
@@ -84,10 +85,11 @@ def _postings(wanted, size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n_words, offsets, terms, places, near = [], [0], [], [], []
+                n_words, keys, offsets, terms, places, near = [], [], [0], [], [], []
                 for data in byte_texts(part.column(1)):
                     h = term_hashes(data)
                     n_words.append(len(h))
+                    keys.append(xxh3_64_intdigest(data or b"") >> 1)
                     hit = np.flatnonzero(passes(words, h))
                     if len(hit):
                         padded = np.concatenate([np.zeros(side, np.int64), h, np.zeros(side, np.int64)])
@@ -100,8 +102,8 @@ def _postings(wanted, size: int):
                 around = pa.ListArray.from_arrays(pa.array(np.arange(total + 1, dtype=np.int32) * (2 * side + 1)), join(near, np.int64))
                 structs = pa.StructArray.from_arrays([join(terms, np.int64), join(places, np.int32), around], fields=list(posting))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)],
-                    ["doc_id", "n_words", "postings"],
+                    [part.column(0), pa.array(keys, pa.int64()), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)],
+                    ["doc_id", "text_key", "n_words", "postings"],
                 )
 
     return run
@@ -140,7 +142,7 @@ def _index(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_c
     wanted = spark.sparkContext.broadcast(id_filter(anchors, "term"))
     postings = cut_lineage(
         plain.mapInArrow(
-            _postings(wanted, size), "doc_id long, n_words long, postings array<struct<term:long,pos:int,near:array<long>>>"
+            _postings(wanted, size), "doc_id long, text_key long, n_words long, postings array<struct<term:long,pos:int,near:array<long>>>"
         )
     )
     return postings, anchors
@@ -181,7 +183,7 @@ def contamination(
         ),
         lambda a: a["n"],
     )
-    words = postings.select("doc_id", "n_words").distinct().groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
+    words = postings.select("doc_id", "text_key", "n_words").distinct().groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
     n_hit = F.coalesce(covered, F.lit(0).cast("long"))
     return (
         words.join(found, "doc_id", "left")
