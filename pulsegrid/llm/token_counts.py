@@ -1,9 +1,12 @@
 """Edit-aware token counts: a segment tree over a document's pre-tokens.
 
-Every leaf is one pre-token of the original text, every node holds the
-characters and tokens below it.  An edit finds its leaves by character offset,
-re-cuts only the touched leaves and enough neighbours that the cut falls into
-step again, re-encodes what is new and updates the sums on the way up.
+Every document gets its tree.  A leaf is one pre-token, every node holds the
+characters and tokens below it, and the root the document's count.  An edit
+finds its leaves by character offset, cuts the touched leaves and enough
+neighbours anew that the cut falls into step again, encodes the pre-tokens that
+are new and updates the sums on the way up.  Where an edit leaves more
+pre-tokens than leaves, the last of them holds several; at CROWDED of them the
+tree is laid out anew.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.pretoken import NOT_PLAIN, PATTERN, PretokenEncoder, encoder
+from pulsegrid.llm.pretoken import PretokenEncoder, cut, encoder
 
 #: Leaves taken along on each side of an edit before the cut is compared.
 CONTEXT = 2
+#: Pre-tokens in one leaf from which on a tree is laid out anew.
+CROWDED = 16
 #: Redactions counted by the registered query: mail addresses and dotted IPv4 numbers.
 REDACTIONS = (
     (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), "<email>"),
@@ -30,29 +35,35 @@ REDACTIONS = (
 class PretokenTree:
     def __init__(self, text: str, enc: PretokenEncoder):
         self.enc = enc
-        self.leaves = PATTERN.findall(text)
-        enc.learn(set(self.leaves))
         self.encoded = 0  # pre-tokens encoded again since the start
-        n = max(1, len(self.leaves))
-        self.width = 1 << (n - 1).bit_length()
-        self.chars = np.zeros(2 * self.width, np.int64)
-        self.tokens = np.zeros(2 * self.width, np.int64)
-        self.chars[self.width : self.width + len(self.leaves)] = [len(p) for p in self.leaves]
-        get = enc.cache.__getitem__
-        self.tokens[self.width : self.width + len(self.leaves)] = [get(p) for p in self.leaves]
+        parts = cut(text)
+        enc.learn(set(parts))
+        self._lay_out(parts, list(map(enc.cache.__getitem__, parts)))
+
+    def _lay_out(self, parts: list[str], counts: list[int]) -> None:
+        n = len(parts)
+        self.leaves, self.counts = [(p,) for p in parts], [(c,) for c in counts]
+        self.width = 1 << (max(1, n) - 1).bit_length()
+        self.chars, self.tokens = np.zeros(2 * self.width, np.int64), np.zeros(2 * self.width, np.int64)
+        self.chars[self.width : self.width + n] = list(map(len, parts))
+        self.tokens[self.width : self.width + n] = counts
         level = self.width
         while level > 1:
             for sums in (self.chars, self.tokens):
-                sums[level // 2 : level] = sums[level : 2 * level].reshape(-1, 2).sum(axis=1)
+                np.add(sums[level : 2 * level : 2], sums[level + 1 : 2 * level : 2], out=sums[level // 2 : level])
             level //= 2
 
     @property
     def total(self) -> int:
         return int(self.tokens[1])
 
+    @property
+    def pretokens(self) -> list[str]:
+        return [p for leaf in self.leaves for p in leaf]
+
     @property
     def text(self) -> str:
-        return "".join(self.leaves)
+        return "".join(self.pretokens)
 
     def _find(self, offset: int) -> tuple[int, int]:
         """(leaf, offset in it) of the character at ``offset``."""
@@ -64,26 +75,24 @@ class PretokenTree:
                 at += 1
         return at - self.width, offset
 
-    def _set(self, leaf: int, text: str, tokens: int) -> None:
-        self.leaves[leaf] = text
+    def _set(self, leaf: int, parts: tuple[str, ...], counts: tuple[int, ...]) -> None:
+        self.leaves[leaf], self.counts[leaf] = parts, counts
         at = leaf + self.width
-        dc, dt = len(text) - int(self.chars[at]), tokens - int(self.tokens[at])
+        dc, dt = sum(map(len, parts)) - int(self.chars[at]), sum(counts) - int(self.tokens[at])
         while at:
             self.chars[at] += dc
             self.tokens[at] += dt
             at >>= 1
 
-    def _count(self, parts: list[str]) -> int:
-        self.enc.learn(set(parts))
-        self.encoded += len(parts)
-        return sum(self.enc.cache[p] for p in parts)
+    def _joined(self, a: int, b: int) -> str:
+        return "".join(p for leaf in self.leaves[a:b] for p in leaf)
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace characters ``start`` to ``end`` (exclusive) of the current text."""
         size = int(self.chars[1])
         start, end = max(0, min(start, size)), max(0, min(end, size))
         if not self.leaves:
-            self.leaves = [""]
+            self.leaves, self.counts = [()], [()]
         last = len(self.leaves) - 1
         low = self._find(start)[0] if start < size else last
         high = self._find(end - 1)[0] if end > start else low
@@ -92,32 +101,44 @@ class PretokenTree:
         while True:
             a, b = self._back(low, pad), self._ahead(high, pad, last)
             base = self._offset(a)
-            old = "".join(self.leaves[a : b + 1])
+            old = self._joined(a, b + 1)
             text = old[: start - base] + new + old[end - base :]
-            # the cut is right if two more texts on each side leave it as it is
+            # the cut is right if more text on each side leaves it as it is
             x, y = self._back(a, CONTEXT), self._ahead(b, CONTEXT, last)
-            before, after = "".join(self.leaves[x:a]), "".join(self.leaves[b + 1 : y + 1])
-            wide = PATTERN.findall(before + text + after)
-            cuts, at = set(), 0
-            for p in wide:
+            before, after = self._joined(x, a), self._joined(b + 1, y + 1)
+            inner, at, cuts = [], 0, set()
+            for p in cut(before + text + after):
                 cuts.add(at)
+                if len(before) <= at < len(before) + len(text):
+                    inner.append(p)
                 at += len(p)
             cuts.add(at)
-            edges_fit = len(before) in cuts and len(before) + len(text) in cuts
-            if edges_fit or (a == 0 and b == last):
+            if len(before) in cuts and len(before) + len(text) in cuts or a == 0 and b == last:
                 break
             pad *= 2
-        parts = PATTERN.findall(before + text + after)
-        # the outer leaves keep their cut; only the inner parts are counted anew
-        inner, at = [], 0
-        for p in parts:
-            if len(before) <= at < len(before) + len(text):
-                inner.append(p)
-            at += len(p)
-        self._set(a, text, self._count(inner))
-        for leaf in range(a + 1, b + 1):
-            if self.leaves[leaf]:
-                self._set(leaf, "", 0)
+        self._replace(a, b, inner)
+
+    def _replace(self, a: int, b: int, parts: list[str]) -> None:
+        """Put the pre-tokens into the leaves from ``a`` to ``b``; what they begin and end with already keeps its counts."""
+        old = [p for leaf in self.leaves[a : b + 1] for p in leaf]
+        known = [c for leaf in self.counts[a : b + 1] for c in leaf]
+        same = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        head = same(old, parts)
+        tail = same(old[head:][::-1], parts[head:][::-1])
+        new = parts[head : len(parts) - tail]
+        self.enc.learn(set(new))
+        self.encoded += len(new)
+        counts = known[:head] + [self.enc.cache[p] for p in new] + known[len(known) - tail :]
+        slots = b - a + 1
+        if len(parts) - slots >= CROWDED:
+            flat, told = self.pretokens, [c for leaf in self.counts for c in leaf]
+            first = sum(map(len, self.leaves[:a]))
+            self._lay_out(flat[:first] + parts + flat[first + len(old) :], told[:first] + counts + told[first + len(old) :])
+            return
+        for i in range(slots):
+            to = i + 1 if i < slots - 1 else len(parts)
+            if self.leaves[a + i] != tuple(parts[i:to]):
+                self._set(a + i, tuple(parts[i:to]), tuple(counts[i:to]))
 
     def _offset(self, leaf: int) -> int:
         at, out = leaf + self.width, 0
@@ -157,9 +178,9 @@ def count_tokens(
     """``doc_id, n_tokens, n_edits, n_tokens_after, n_pretokens, n_reencoded``: one row per input row.
 
     ``edits(text)`` gives non-overlapping (start, end, replacement) by start, in
-    offsets of the original text.  Null and empty texts have no tokens.  Texts
-    with characters outside the plain range are encoded whole before and after,
-    and ``n_reencoded`` is null for them if they are edited.
+    offsets of the original text.  ``n_pretokens`` are those after the edits,
+    ``n_reencoded`` those that the edits had encoded.  Null and empty texts have
+    no tokens.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
@@ -167,31 +188,17 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            rows = []
             for at in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
-                for text, ids in zip(texts, enc.encode_many(texts)):
-                    todo = edits(text) if text else []
-                    after, parts, again = len(ids) // 4, None, 0
-                    if todo:
-                        tree = None if NOT_PLAIN.search(text) else PretokenTree(text, enc)
-                        if tree is None:
-                            again = None
-                        for s, e, new in reversed(todo):
-                            if tree is not None and NOT_PLAIN.search(new):
-                                text, tree, again = tree.text, None, None
-                            if tree is not None:
-                                tree.edit(s, e, new)
-                            else:
-                                text = text[:s] + new + text[e:]
-                        if tree is not None:
-                            after, parts, again = tree.total, len(tree.leaves), tree.encoded
-                        else:
-                            after = len(enc.whole(text)) // 4
-                    rows.append((len(ids) // 4, len(todo), after, parts, again))
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns], ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pretokens", "n_reencoded"]
-            )
+                part, rows = batch.slice(at, 256), []
+                for text in part.column(1).to_pylist():
+                    tree = PretokenTree(text or "", enc)
+                    before, todo = tree.total, edits(text) if text else []
+                    for s, e, new in reversed(todo):
+                        tree.edit(s, e, new)
+                    rows.append((before, len(todo), tree.total, sum(map(len, tree.leaves)), tree.encoded))
+                columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *columns], ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pretokens", "n_reencoded"]
+                )
 
     return plain.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_edits long, n_tokens_after long, n_pretokens long, n_reencoded long")
