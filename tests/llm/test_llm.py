@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,11 +12,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from pulsegrid.llm import chat, decontam, html_extract, hyperminhash, line_dedup, packing, quality, queries, secret_scan, token_counts, url_filter
 from pulsegrid.llm.html_blocks import blocks
 from pulsegrid.llm.html_training import PageMaker
-from pulsegrid.llm.pretoken import encoder
+from pulsegrid.llm.pretoken import cut, encoder
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,6 +122,11 @@ def test_contamination_equals_sql(spark):
     assert {x.contaminated for x in decontam.contamination(docs, bench.limit(0)).collect()} == {False}
 
 
+def test_texts_of_one_id_add_their_words(spark):
+    found = decontam.contamination(frame(spark, ["a b c", "d e f", "d e f"], [1, 1, 1]), spark.createDataFrame([("i", "x")], "item_id string, text string")).collect()
+    assert [(x.doc_id, x.n_words) for x in found] == [(1, 6)]
+
+
 def test_items_without_an_id_count_as_hits(spark):
     words = " ".join(f"n{k}" for k in range(15))
     found = decontam.contamination(frame(spark, [words, "other"]), spark.createDataFrame([(None, words)], "item_id string, text string"))
@@ -362,6 +369,8 @@ def test_layouts(spark):
     records = [
         (1, '{"instruction":"i","input":"","output":"o"}'), (2, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}'),
         (3, '{"prompt":"p","completion":"c"}'), (4, '{"strange":1}'), (5, "no json"), (6, None), (7, '{"messages":[]}'),
+        (8, '{"messages":[{"role":"user","content":"q","name":"n","tool_calls":[{"a":{"b":1}}]}],"id":5,"meta":{"x":[1]}}'), (9, '{"prompt":"p","completion":"c","source":"s"}'),
+        (10, '{"prompt":"p","messages":[]}'), (11, '{"system":"s","instruction":"i","input":"more","output":"o","extra":null}'),
     ]
     rows = chat.canonical_turns(spark.createDataFrame(records, "conv_id int, record string")).orderBy("id", "idx").collect()
     got = defaultdict(list)
@@ -370,7 +379,20 @@ def test_layouts(spark):
     assert got[1] == [("instruction", "user", "i"), ("instruction", "assistant", "o")]
     assert got[2] == [("sharegpt", "user", "q"), ("sharegpt", "assistant", "a")]
     assert got[3] == [("prompt", "user", "p"), ("prompt", "assistant", "c")]
-    assert [got[k] for k in (4, 5, 6)] == [[(None, "", "")]] * 3
+    assert [got[k] for k in (4, 5, 6, 10)] == [[(None, "", "")]] * 4
+    assert got[7] == [("messages", "", "")] and got[8] == [("messages", "user", "q")] and got[9] == [("prompt", "user", "p"), ("prompt", "assistant", "c")]
+    assert got[11] == [("system_instruction", "system", "s"), ("system_instruction", "user", "i\n\nmore"), ("system_instruction", "assistant", "o")]
+
+
+def test_turns_go_through_several_layouts(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "user", "u"), (2, 1, "assistant", ""), (3, 0, "user", None), (3, 1, "human", "h"), (5, 0, "assistant", None)]
+    records = chat.records_from_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    formatted = chat.format_chat(records)
+    assert {x.id: x.layout for x in formatted.collect()} == {1: "sharegpt", 2: "prompt", 3: "messages", 5: "sharegpt"}
+    back = {x.id: [(t.role, t.content) for t in x.turns] for x in chat.read_back(formatted).collect()}
+    for c in back:
+        assert back[c] == [(role, text or "") for cc, _, role, text in rows if cc == c]
+    assert chat.format_chat(records.limit(0)).count() == 0
 
 
 def test_conversations_above_the_variant_limit(spark):
@@ -416,27 +438,47 @@ def test_secrets_equal_regexes(spark):
 def test_edited_counts_equal_whole_counts():
     e = encoder(queries.TOKENIZER)
     r = random.Random(14)
-    alphabet = ["ab", " ", "  ", "\n", "'s", "12", "-", "the ", "é"]
+    alphabet = ["ab", " ", "  ", "\n", "'s", "12", "-", "the ", "é", "漢", "“", "😀", "\u1c89", "\U00016ea0", "\x1c"]
     for _ in range(150):
         text = "".join(r.choice(alphabet) for _ in range(r.randrange(40)))
         tree = token_counts.PretokenTree(text, e)
-        for _ in range(4):
+        assert tree.total == len(e.whole(text)) // 4
+        for _ in range(6):
             a, b = sorted((r.randrange(len(text) + 1), r.randrange(len(text) + 1)))
             new = "".join(r.choice(alphabet) for _ in range(r.randrange(4)))
             tree.edit(a, b, new)
             text = text[:a] + new + text[b:]
-            assert tree.text == text and tree.total == len(e.whole(text)) // 4
+            assert tree.text == text and tree.total == len(e.whole(text)) // 4 and tree.pretokens == cut(text)
+
+
+def test_edits_at_one_place_encode_what_is_new():
+    e = encoder(queries.TOKENIZER)
+    text = "the quick brown fox “ran” 漢字 " * 200
+    tree = token_counts.PretokenTree(text, e)
+    for _ in range(350):
+        tree.edit(1000, 1000, "ab ")
+        text = text[:1000] + "ab " + text[1000:]
+    assert tree.total == len(e.whole(text)) // 4 and tree.encoded <= 4 * 350 and tree.pretokens == cut(text)
+
+
+def test_pretokens_are_those_of_the_tokenizer():
+    own = ByteLevel(add_prefix_space=False, use_regex=True)
+    for first in (*range(0, 0xD800, 997), 0x558, 0x10940, 0x1F600, 0x20000, 0x2B800, 0x32400, 0xE0100):
+        text = "".join(f"a{chr(c)}1 {chr(c)}b." for c in range(first, first + 64) if not 0xD800 <= c < 0xE000)
+        assert cut(text) == [text[a:b] for _, (a, b) in own.pre_tokenize_str(text)]
 
 
 def test_counts_of_documents(spark):
-    texts = [None, "", "mail a.b@c.de and 1.2.3.4 now", "漢 a@b.cc", "plain"]
+    texts = [None, "", "mail a.b@c.de and 1.2.3.4 now", "漢 a@b.cc", "plain", "“x” a@b.cc…" + "y z " * 50_000]
     e = encoder(queries.TOKENIZER)
     for x in token_counts.count_tokens(frame(spark, texts), queries.TOKENIZER).collect():
         text = texts[x.doc_id] or ""
         after = text
         for s, t, new in reversed(token_counts.redactions(text)):
             after = after[:s] + new + after[t:]
-        assert (x.n_tokens, x.n_tokens_after) == (len(e.whole(text)) // 4, len(e.whole(after)) // 4)
+        assert (x.n_tokens, x.n_tokens_after, x.n_pretokens) == (len(e.whole(text)) // 4, len(e.whole(after)) // 4, len(cut(after)))
+        assert x.n_reencoded <= 12 * x.n_edits
+    assert token_counts.count_tokens(frame(spark, []), queries.TOKENIZER).count() == 0
 
 
 # ---- 1 html
@@ -466,6 +508,18 @@ def test_self_closed_drawings_and_formulas():
     assert [b.text for b in blocks("<p>a</p><script>'</style>' no</script><p>b</p>")] == ["a", "b"]
 
 
+def test_unclosed_elements_lose_no_text_and_long_pages_take_their_length():
+    said = lambda page: [b.text for b in blocks(page)]
+    assert said("<p>Intro.</p><button>Go<p>rest</p>") == ["Intro.", "Go", "rest"]
+    assert said("<svg><title>logo</title><svg></svg><text>no</text></svg><noscript><iframe></iframe><p>no</p></noscript><p>yes</p>") == ["yes"]
+    assert said("<p>a</p><script>x <p>b") == ["a"] and said("a <!-- b") == ["a"] and said("1 < 2 <") == ["1 < 2 <"]
+    assert said('<p title="x > y">a</p><p class="b>c<p>d</p>') == ["a", "c", "d"]
+    began = time.perf_counter()
+    for page in ('<a "' * 250_000, '<a "' * 250_001 + ">x", "<div>" * 100_000 + "x", "<div>x" * 50_000, "<button>Go<p>x</p>" * 30_000, "<ul>" + "<x-y>" * 50_000 + "<li>a" * 20_000, "<" * 300_000 + ">"):
+        blocks(page)
+    assert time.perf_counter() - began < 40
+
+
 def test_html_edge_cases(spark):
     rows = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "<p>" * 3000, "t"), (4, "u", "no tags &amp; more", "t")], "page_id long, url string, html string, text string")
     got = {x.page_id: x.text for x in html_extract.extract_text(rows).collect()}
