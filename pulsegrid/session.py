@@ -30,13 +30,15 @@ def build_session(app: str = "pulsegrid", master: str | None = None, partitions:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests, a folder is set here.  What
+    Only where that setting is absent in local mode, as in tests, a folder is set here.  What
     was shuffled for it is of no more use then and is released.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
     done = df.checkpoint(eager=True)
     del df  # or its own shuffles would be held
