@@ -41,3 +41,19 @@ def box_of(rings: Column) -> Column:
     outer = F.get(rings, F.lit(0))
     lats, lngs = F.transform(outer, lambda p: p["lat"]), F.transform(outer, lambda p: p["lng"])
     return F.struct(F.array_min(lats).alias("south"), F.array_max(lats).alias("north"), F.array_min(lngs).alias("west"), F.array_max(lngs).alias("east"))
+
+
+def in_geometry(polygons: Column, lat: Column, lng: Column) -> Column:
+    """Inside any polygon of an array of polygons."""
+    return F.exists(polygons, lambda rings: in_polygon(rings, lat, lng))
+
+
+def box_of_geometry(polygons: Column) -> Column:
+    """``struct<south, north, west, east>`` of all outer rings of an array of polygons."""
+    points = F.flatten(F.transform(polygons, lambda rings: F.get(rings, F.lit(0))))
+    return box_of(F.array(points))
+
+
+def near_box(lat: Column, lng: Column, low: tuple[float, float], high: tuple[float, float]) -> Column:
+    """Whether a point lies in the box of two corners (lat, lng), edges included; null for no point."""
+    return lat.between(low[0], high[0]) & lng.between(low[1], high[1])

@@ -114,15 +114,32 @@ UNIT_PREFIXES = {
 }
 
 
-def parse_unit(raw: Column) -> Column:
-    """``struct<designator, agency, unit_class, number>``; digits, a letter and digits are a patrol car."""
+#: Unit type of a fire department row to class and agency.
+UNIT_TYPES = {
+    "ENGINE": ("engine", "fire"), "TRUCK": ("truck", "fire"), "CHIEF": ("battalion", "fire"), "MEDIC": ("medic", "ems"), "PRIVATE": ("ambulance", "ems"),
+    "BLS": ("ambulance", "ems"), "RESCUE CAPTAIN": ("rescue", "ems"), "RESCUE SQUAD": ("rescue", "fire"), "SUPPORT": ("support", "fire"),
+    "CP": ("command", "fire"), "INVESTIGATION": ("support", "fire"),
+}
+
+
+def parse_unit(raw: Column, unit_type: Column | None = None, source: Column | None = None) -> Column:
+    """``struct<designator, agency, unit_class, number>`` of a unit's name.
+
+    A digit, a letter and one or two digits are a patrol car, but for sources of
+    the fire department.  A known ``unit_type`` decides before the letters of
+    the name, which may be followed by a number and one more letter.
+    """
     designator = F.regexp_replace(F.upper(raw), "[^A-Z0-9]", "")
-    letters = F.regexp_extract(designator, "^([A-Z]+)([0-9]*)$", 1)
-    patrol = designator.rlike("^[0-9][A-Z][0-9]{1,3}$")
-    known = F.create_map(*[F.lit(x) for k, (c, a) in UNIT_PREFIXES.items() for x in (k, f"{c} {a}")])
-    both = F.split(F.coalesce(F.try_element_at(known, letters), F.lit("unknown other")), " ")
-    digits = F.when(patrol, F.substring(designator, 3, 9)).otherwise(F.regexp_extract(designator, "^([A-Z]+)([0-9]+)$", 2))
+    car, split = "^[0-9][A-Z]([0-9]{1,2})$", "^([A-Z]+)0*([0-9]+)[A-Z]?$"
+    patrol = designator.rlike(car)
+    if source is not None:
+        patrol &= ~F.coalesce(source.isin("sf_fire_cad", "sf_ems_cad"), F.lit(False))
+    known = lambda values, key: F.try_element_at(F.create_map(*[F.lit(x) for k, (c, a) in values.items() for x in (k, f"{c} {a}")]), key)
+    letters = F.when(designator.rlike(split), F.regexp_extract(designator, split, 1)).otherwise(designator)
+    hinted = F.lit(None).cast("string") if unit_type is None else known(UNIT_TYPES, F.upper(F.trim(unit_type)))
+    both = F.split(F.coalesce(hinted, known(UNIT_PREFIXES, letters), F.lit("unknown other")), " ")
+    number = F.when(patrol, F.regexp_extract(designator, car, 1)).otherwise(F.regexp_extract(designator, split, 2))
     return F.struct(
-        designator.alias("designator"), F.when(patrol, "police").otherwise(both[1]).alias("agency"),
-        F.when(patrol, "patrol").otherwise(both[0]).alias("unit_class"), F.expr("cast(null as int)").alias("none"), F.nullif(digits, F.lit("")).try_cast("int").alias("number"),
-    ).dropFields("none")
+        designator.alias("designator"), F.when(patrol, "police").otherwise(both[1]).alias("agency"), F.when(patrol, "patrol").otherwise(both[0]).alias("unit_class"),
+        F.nullif(number, F.lit("")).try_cast("int").alias("number"),
+    )
