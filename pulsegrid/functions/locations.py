@@ -97,28 +97,26 @@ def title(text: Column) -> Column:
 
 def street_name(text: Column, vocabulary: Vocabulary, partners: Column | None = None) -> Column:
     """The canonical name of a street, or null for blank text; ``partners``: canonical names of the streets it crosses."""
-    cleaned = F.upper(F.trim(F.regexp_replace(F.regexp_replace(text, "[.,]", " "), r"\s+", " ")))
 
     def canonical(words: Column) -> Column:
         n = F.size(words)
 
         def word(w: Column, i: Column) -> Column:
-            number = F.regexp_extract(w, _ORDINAL, 1)
+            number, spelled = F.regexp_extract(w, _ORDINAL, 1), _lookup(ORDINALS, w, "int")
             last = i == n - 1
-            return (
-                F.when(number != "", ordinal(number.try_cast("int")))
-                .when(_lookup(ORDINALS, w, "int").isNotNull() & ~last, ordinal(_lookup(ORDINALS, w, "int")))
-                .when(last & (i > 0) & _lookup(SUFFIXES, w).isNotNull(), _lookup(SUFFIXES, w))
-                .when((i == 0) & (n > 1) & _lookup(DIRECTIONS, w).isNotNull(), _lookup(DIRECTIONS, w))
-                .otherwise(title_word(w))
-            )
+            return F.coalesce(
+                F.when(number != "", ordinal(number.try_cast("int"))), F.when(~last, ordinal(spelled)), F.when(last & (i > 0), _lookup(SUFFIXES, w)),
+                F.when((i == 0) & (n > 1), _lookup(DIRECTIONS, w)), title_word(w),
+            )
 
         bare = _lookup(SUFFIXES, F.element_at(words, -1)).isNull()
         return _let(F.array_join(F.transform(words, word), " "), lambda name: _suffixed(name, bare, vocabulary, partners))
 
-    found = _let(F.split(cleaned, " ", -1), canonical)
-    whole = F.coalesce(_lookup(ALIASES, cleaned), _lookup(ALIASES, F.upper(found)), found)
-    return F.when(cleaned != "", whole)
+    def named(cleaned: Column) -> Column:
+        found = _let(canonical(F.split(cleaned, " ", -1)), lambda f: F.coalesce(_lookup(ALIASES, F.upper(f)), f))
+        return F.when(cleaned != "", F.coalesce(_lookup(ALIASES, cleaned), found))
+
+    return _let(F.upper(F.trim(F.regexp_replace(F.regexp_replace(text, "[.,]", " "), r"\s+", " "))), named)
 
 
 def _suffixed(name: Column, bare: Column, vocabulary: Vocabulary, partners: Column | None) -> Column:
@@ -187,13 +185,21 @@ def normalize_location(raw: Column, vocabulary: Vocabulary) -> Column:
         parts = F.filter(F.transform(F.split(text, _PARTED, -1), lambda p: F.trim(p)), lambda p: p != "")
         return _let(parts, lambda p: F.when(F.size(p) >= 2, corner(p)).when(F.size(p) == 1, single(p[0])).otherwise(_unknown()))
 
-    upper = F.upper(F.trim(F.regexp_replace(raw, r"\s+", " ")))
-    box = r"^(?:CALL\s*BOX|CB)\s*[:#-]?\s*(.+)$"
-    inner = F.trim(F.regexp_replace(F.regexp_extract(upper, box, 1), r",\s*SF$", ""))
     nothing = lambda t: (t == "") | t.isin(*SENTINELS)
-    near = _let(inner, lambda t: F.when(nothing(t) | t.rlike(box), _unknown()).otherwise(plain(t)))
-    beside = _let(near, lambda p: F.when(p["kind"] != "unknown", p.withField("confidence", F.greatest(F.lit(0.0), p["confidence"] - 0.1))).otherwise(_parsed("landmark", title(inner), none, F.lit(0.4))))
-    return F.when(upper.isNull() | nothing(upper), _unknown()).when(upper.rlike(box), beside).otherwise(plain(upper))
+    box = r"^(?:CALL\s*BOX|CB)\s*[:#-]?\s*(.+)$"
+
+    def read(upper: Column) -> Column:
+        boxed = upper.rlike(box)
+        inner = F.trim(F.regexp_replace(F.regexp_extract(upper, box, 1), r",\s*SF$", ""))
+
+        def told(text: Column) -> Column:
+            parsed = F.when(nothing(text) | text.rlike(box), _unknown()).otherwise(plain(text))
+            beside = lambda p: F.when(p["kind"] != "unknown", p.withField("confidence", F.greatest(F.lit(0.0), p["confidence"] - 0.1))).otherwise(_parsed("landmark", title(text), none, F.lit(0.4)))
+            return _let(parsed, lambda p: F.when(boxed, beside(p)).otherwise(p))
+
+        return F.when(upper.isNull(), _unknown()).otherwise(_let(F.when(boxed, inner).otherwise(upper), told))
+
+    return _let(F.upper(F.trim(F.regexp_replace(raw, r"\s+", " "))), read)
 
 
 def street_vocabulary(intersections: DataFrame, name_col: str = "intersection_name") -> DataFrame:
