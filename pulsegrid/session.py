@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,11 +57,13 @@ def release(spark: SparkSession) -> None:
 
     Spark's context cleaner drops the shuffle and checkpoint files of collected
     frames, but a driver with memory to spare may not collect for hours, and the
-    last plan is held until the next one has run.
+    last plan is held until the next one has run.  What is dropped may have held
+    other frames, so there is a second round once the cleaner has had its time.
     """
-    for _ in range(2):
+    for _ in range(3):
         spark.range(1).count()
         _collect(spark)
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
