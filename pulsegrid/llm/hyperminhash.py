@@ -282,3 +282,17 @@ def near_duplicates(
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+#: DuckDB form of the registered query: all pairs by their common shingles, and what each document reaches.
+SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) sh from d),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) m from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * m >= 80 * (x.n + y.n - m)),
+g as (select a, b from e union all select b, a from e),
+r(node, c) as (select doc_id, doc_id from d union select g.b, r.c from r join g on r.node = g.a)
+select doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+from d left join n using (doc_id) join (select node as doc_id, min(c) as component_id from r group by 1) using (doc_id)
+"""

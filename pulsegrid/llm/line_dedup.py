@@ -218,3 +218,21 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.col("row").withField(f"`{text_col}`", kept).alias("row"),
     )
+
+
+#: DuckDB form of the registered query, with an order of tokens of its own.
+SQL = r"""
+with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents where text is not null),
+judged as (select * from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+u as (select line, min((doc_id, line_no)) as first_at, list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+')) as w from judged group by line),
+t as (select line, first_at, len(w) as n, unnest(w) as token from u),
+f as (select token, count(*) as c from t group by 1),
+o as (select line, first_at, n, token, row_number() over (partition by line order by c, token) as pos from t join f using (token)),
+p as (select * from o where pos <= n - ceil(0.8 * n - 1e-9) + 1),
+pairs as (select distinct a.line as x, b.line as y from p a join p b on a.token = b.token and a.first_at < b.first_at and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+gone as (select distinct y as line from pairs join u a on a.line = x join u b on b.line = y
+         where len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9),
+marked as (select doc_id, line_no, l.line, coalesce(u.line is not null and ((doc_id, line_no) > first_at or g.line is not null), false) as out from l left join u on u.line = l.line left join gone g on g.line = l.line),
+done as (select doc_id, count(*) as n_lines, count_if(out) as n_removed, coalesce(string_agg(line, chr(10) order by line_no) filter (where not out), '') as kept from marked group by 1)
+select doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed, case when n_removed > 0 then kept else text end as text from documents left join done using (doc_id)
+"""

@@ -178,3 +178,32 @@ def judge_quality(
         .withColumn("kept", ~F.col("base_failed") & ~bad)
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept", "row")
     )
+
+
+def sql() -> str:
+    """DuckDB form of the registered query, for languages that have a reference."""
+    text = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    nums = lambda xs: "[" + ", ".join(f"{x}::double" for x in xs) + "]"
+    refs = ", ".join(f"('{c}', {text(COMMON_WORDS[c])}, {nums(s[0])}, {nums(s[1])})" for c, s in REFERENCES.items())
+    quoted = [c.replace("'", "''") for c in CLASSES]
+    inner = "".join(c[1:-1] if c[0] == "[" else c for c in quoted)
+    counts = ", ".join([f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for c in quoted] + [f"length(regexp_replace(t, '[{inner}]', '', 'g'))"])
+    share = lambda x: f"list_transform({x}, lambda v: v / list_sum({x}))"
+    term = "case when {0} > 0 then {0} * log2({0} / (({0} + {1}) / 2)) else 0.0 end"
+    js = lambda p, q: f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({share(p)}, {share(q)}), lambda z: ({term.format('z[1]', 'z[2]')} + {term.format('z[2]', 'z[1]')}) / 2))))"
+    return rf"""
+with refs(lang, listed, class_ref, word_ref) as (values {refs}),
+d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+win as (select doc_id, i, array_to_string(words[i:i + 7], ' ') as k from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from d where len(words) >= 8)),
+rep as (select doc_id, i from win qualify count(*) over (partition by doc_id, k) > 1),
+again as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from rep) group by 1),
+b as (select d.doc_id, lang, t, words, cast(len(words) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+    cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    cast(coalesce(again.n, 0) as bigint) as n_repeat_words, [{counts}]::double[] as classes, list_transform(words, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as low
+  from d left join again using (doc_id)),
+c as (select *, list_transform(listed, lambda x: len(list_filter(low, lambda w: w = x)))::double[] as common from b left join refs using (lang)),
+f as (select *, list_append(common, greatest(0, n_words - list_sum(common))) as said, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c),
+j as (select *, case when n_words >= {LEAST_WORDS} then round({js('classes', 'class_ref')}, 6) end as class_distance, case when n_words >= {LEAST_WORDS} then round({js('said', 'word_ref')}, 6) end as word_distance from f)
+select doc_id, n_words, word_chars, n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
+  not base_failed and not (coalesce(class_distance, 0) > {CLASS_DISTANCE} or coalesce(word_distance, 0) > {WORD_DISTANCE}) as kept from j
+"""

@@ -53,7 +53,8 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(table(spark, sf_dir, "documents")).drop("row")
+    judged = quality.judge_quality(table(spark, sf_dir, "documents")).drop("row")
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op8_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +125,7 @@ select conv_id, count(*) as n_turns,
 from c group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_filter_urls": _URL_SQL, "op4_contamination": decontam.SQL, "op8_format_chat": _CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": hyperminhash.SQL, "op3_filter_urls": _URL_SQL, "op4_contamination": decontam.SQL, "op5_dedup_lines": line_dedup.SQL,
+    "op7_quality_rules": quality.sql(), "op8_format_chat": _CHAT_SQL,
+}
