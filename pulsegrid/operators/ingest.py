@@ -99,10 +99,17 @@ def revisions(payloads: DataFrame, fields: list[str]) -> DataFrame:
     return seen.select("record", "us", F.inline(changes))
 
 
-def gaps(polls: DataFrame, interval_us: int) -> DataFrame:
-    """``source, from_us, to_us`` where successful polls are over three intervals apart."""
-    order = Window.partitionBy("source").orderBy("us")
-    return polls.select("source", F.lag("us").over(order).alias("from_us"), F.col("us").alias("to_us")).where(F.col("to_us") - F.col("from_us") > 3 * interval_us)
+def gaps(polls: DataFrame, interval_us: int, bucket_us: int = 86_400_000_000) -> DataFrame:
+    """``source, from_us, to_us`` where successful polls are over three intervals apart.
+
+    Polls are compared within buckets of time, and buckets by their first and
+    last poll, so that a source's history is not one task.
+    """
+    dealt = polls.select("source", "us", F.floor(F.col("us") / bucket_us).alias("bucket"))
+    within = dealt.select("source", F.lag("us").over(Window.partitionBy("source", "bucket").orderBy("us")).alias("from_us"), F.col("us").alias("to_us"))
+    ends = dealt.groupBy("source", "bucket").agg(F.min("us").alias("low"), F.max("us").alias("high"))
+    across = ends.select("source", F.lag("high").over(Window.partitionBy("source").orderBy("bucket")).alias("from_us"), F.col("low").alias("to_us"))
+    return within.unionByName(across).where(F.col("to_us") - F.col("from_us") > 3 * interval_us)
 
 
 #: Unit prefix to class and agency.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.range_join import MINUTE
@@ -79,9 +79,10 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def best_candidate(scored: DataFrame) -> DataFrame:
-    """One pair for each ``id``: highest score, then location score, then earliest, then smallest id."""
-    order = Window.partitionBy("id").orderBy(F.desc("score"), F.desc_nulls_last("s_location"), "o_us", "o_id")
-    return scored.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
+    """One pair for each ``id``: highest score, then location score, then earliest, then smallest id; combined before the shuffle."""
+    order = F.struct(F.col("score"), F.coalesce("s_location", F.lit(-1.0)), -F.col("o_us"), -F.col("o_id"))
+    rest = [c for c in scored.columns if c != "id"]
+    return scored.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("best")).select("id", "best.*")
 
 
 def decision(score: Column) -> Column:

@@ -250,7 +250,7 @@ ORACLE_SQL = {
           epoch_us(l_shipdate::timestamp) + l_linenumber * {HOUR} as t0 from lineitem where l_linenumber < 7)
         select source, l_orderkey::varchar as call, min({_local('t0')}) as us, array_to_string(list_sort(list(distinct 'E' || (l_suppkey % 50))), ',') as units,
           case when l_orderkey % 5 = 0 then 'Medical Incident' else 'Alarms' end as raw_type, arg_min(case when l_linenumber = 2 then '3' else '2' end, l_linenumber) as priority,
-          arg_min('ADDR ' || l_partkey, l_linenumber * 1000000000 + l_partkey) filter (where l_linenumber % 2 = 0) as location_raw, count(distinct l_suppkey % 50)::varchar as unit_count
+          arg_min('ADDR ' || l_partkey, l_linenumber::bigint * 1000000000 + l_partkey) filter (where l_linenumber % 2 = 0) as location_raw, count(distinct l_suppkey % 50)::varchar as unit_count
         from r group by source, l_orderkey""",
     "feed_reports": f"""select case when o_orderkey % 13 <> 0 then o_orderkey::varchar end as record, case when o_orderkey % 7 <> 0 then {_local('epoch_us(o_orderdate::timestamp)')} end as us,
         case o_custkey % 5 when 0 then 'theft' when 1 then 'assault' when 2 then 'fire' end as type, case when o_orderkey % 3 <> 0 and o_orderkey % 2 = 0 then 37.75::double end as lat,
