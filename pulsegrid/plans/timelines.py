@@ -201,7 +201,7 @@ def scene_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, order = F.col("l_linenumber"), F.col("l_orderkey")
     stamp = lambda minutes: F.date_format(F.timestamp_micros(F.lit(NOW) + minutes * MINUTE), "yyyy-MM-dd'T'HH:mm:ss.SSS")
     times = F.struct(stamp(order % 50).alias("dispatch"), F.lit(None).cast("string").alias("response"), F.when(n % 2 == 1, stamp(order % 50 + n * 3)).alias("on_scene"), F.lit(None).cast("string").alias("available"), F.lit("ENGINE").alias("unit_type"))
-    units = table(spark, sf_dir, "lineitem").groupBy(order.alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("U"), n).alias("unit"), times.alias("t"))))).alias("unit_times"))
+    units = table(spark, sf_dir, "lineitem").groupBy(order.alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.concat(F.lit("U"), n).alias("unit"), times.alias("t"))))).alias("unit_times"))
     return timeline.scene_time(units.withColumn("metadata", F.create_map().cast("map<string,string>")))
 
 

@@ -9,10 +9,9 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: UTC makes timestamps comparable across engines; LAST_WIN gives map_concat last-writer semantics.
+#: UTC makes timestamps comparable across engines.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

@@ -159,6 +159,13 @@ def dropped_fields(feed: DataFrame, kept: list[str]) -> DataFrame:
     return feed.select(F.explode(names).alias("field")).groupBy("field").agg(F.count("*").alias("records"))
 
 
+def overlaid(under: Column, over: Column) -> Column:
+    """Two maps as one, the second over the first; null is an empty map.  No key is ever there twice, so no session setting matters."""
+    under = F.coalesce(under, F.map_filter(over, lambda k, v: F.lit(False)))
+    kept = F.map_filter(under, lambda k, v: ~F.array_contains(F.map_keys(over), k))
+    return F.when(over.isNull(), under).otherwise(F.map_concat(kept, over))
+
+
 def merge_unit_rows(rows: DataFrame) -> DataFrame:
     """The unit rows of each (source, record) as one observation, and how many units it has in ``metadata``.
 
@@ -171,7 +178,7 @@ def merge_unit_rows(rows: DataFrame) -> DataFrame:
     first = lambda c, there: F.min_by(F.when(there, c), F.when(there, order))
     by_order = lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)
     listed = F.array_sort(F.collect_list(F.struct(order.alias("o"), "metadata", "unit_times")), by_order)
-    last_wins = lambda field: F.aggregate(F.col("all"), F.create_map().cast(rows.schema[field].dataType), lambda a, x: F.map_concat(a, F.coalesce(x[field], F.create_map().cast(rows.schema[field].dataType))))
+    last_wins = lambda field: F.aggregate(F.col("all"), F.create_map().cast(rows.schema[field].dataType), lambda a, x: overlaid(a, x[field]))
     folded = rows.where("rejected is null").groupBy("source", "source_record_id").agg(
         F.first("id").alias("id"), F.min_by("agency", order).alias("agency"), F.min("us").alias("us"), F.max("fetched_us").alias("fetched_us"),
         first(F.col("raw_type"), F.col("raw_type").isNotNull()).alias("raw_type"), F.min_by("priority", order).alias("priority"),
@@ -180,7 +187,7 @@ def merge_unit_rows(rows: DataFrame) -> DataFrame:
     units = F.size("units").cast("string")
     return folded.select(
         "id", "source", "source_record_id", "agency", "us", "fetched_us", "raw_type", "priority", "place.*", "units", last_wins("unit_times").alias("unit_times"),
-        F.map_concat(last_wins("metadata"), F.create_map(F.lit("unit_count"), units)).alias("metadata"),
+        overlaid(last_wins("metadata"), F.create_map(F.lit("unit_count"), units)).alias("metadata"),
     )
 
 
