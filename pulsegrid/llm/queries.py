@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, decontam, html_extract, hyperminhash, line_dedup, packing, quality, secret_scan, token_counts, url_filter
+from pulsegrid.llm import (
+    chat, decontam, html_extract, hyperminhash, learned_ann, line_dedup, packing, quality, secret_scan, source_divergence, spelling, token_counts, url_filter,
+)
 from pulsegrid.session import table
 
 #: Where the public vocabulary lies; a parameter of the operators.
@@ -86,15 +88,28 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_extract_html, op2_near_duplicates, op3_filter_urls, op4_contamination, op5_dedup_lines,
         op6_pack_sequences, op7_quality_rules, op8_format_chat, op9_scan_secrets, op10_count_tokens,
+        op11_spelling_variants, op12_source_divergence, op13_nearest_neighbours,
     )
 }
 
-#: Queries beside the ten.
+#: Queries beside the numbered ones.
 MORE = {"op4_proximity": op4_proximity}
 
 _URL_SQL = r"""
@@ -127,5 +142,5 @@ from c group by conv_id
 
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": hyperminhash.SQL, "op3_filter_urls": _URL_SQL, "op4_contamination": decontam.SQL, "op5_dedup_lines": line_dedup.SQL,
-    "op7_quality_rules": quality.sql(), "op8_format_chat": _CHAT_SQL,
+    "op7_quality_rules": quality.sql(), "op8_format_chat": _CHAT_SQL, "op12_source_divergence": source_divergence.SQL,
 }
