@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.range_join import MINUTE
@@ -31,3 +31,23 @@ def stale(status: Column, kind: Column, last_us: Column, now_us: Column) -> Colu
     limits = F.create_map(*[F.lit(x) for kv in QUIET.items() for x in kv])
     limit = F.coalesce(F.try_element_at(limits, kind), F.lit(QUIET_DEFAULT)).cast("long") * MINUTE
     return F.when((status != "resolved") & (now_us - last_us >= limit), "unknown").otherwise(status)
+
+
+def quiet_limit(kind: Column) -> Column:
+    """Microseconds of quiet after which an incident of a type is stale."""
+    limits = F.create_map(*[F.lit(x) for kv in QUIET.items() for x in kv])
+    return F.coalesce(F.try_element_at(limits, kind), F.lit(QUIET_DEFAULT)).cast("long") * MINUTE
+
+
+def stale_transitions(rows: DataFrame, until_us: int) -> DataFrame:
+    """``incident_id, last_us, stale_us``: every time up to ``until_us`` at which an open incident's status became unknown.
+
+    ``rows``: incident_id, us, id, type, closed.  An incident has the first type
+    that is known; each call makes it active again, until one closes it for good.
+    """
+    order = Window.partitionBy("incident_id").orderBy("us", "id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    kind = F.coalesce(F.first(F.when(F.col("type") != "unknown", F.col("type")), ignorenulls=True).over(so_far), F.lit("unknown"))
+    told = rows.select("incident_id", "us", F.max("closed").over(so_far).alias("closed"), F.lead("us").over(order).alias("next_us"), (F.col("us") + quiet_limit(kind)).alias("stale_us"))
+    quiet = ~F.col("closed") & (F.col("next_us").isNull() | (F.col("next_us") >= F.col("stale_us"))) & (F.col("stale_us") <= until_us)
+    return told.where(quiet).select("incident_id", F.col("us").alias("last_us"), "stale_us")
