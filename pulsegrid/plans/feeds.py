@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.locations import Vocabulary, normalize_location, ordinal, street_vocabulary
 from pulsegrid.functions.times import ZONE, elapsed, local_offset, naive_local, numeric_window, parse_local, relative_time
 from pulsegrid.operators import geocode as geo
-from pulsegrid.operators import taxonomy
+from pulsegrid.operators import stored, taxonomy
 from pulsegrid.plans.analytics import DAY, HOUR, NOW, _WITH
 from pulsegrid.session import table
 from pulsegrid.sources import feeds
@@ -86,6 +86,35 @@ def feed_fire_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("source", F.col("source_record_id").alias("call"), "us", F.array_join("units", ",").alias("units"), "raw_type", "priority", "location_raw", F.col("metadata")["unit_count"].alias("unit_count"))
 
 
+def stored_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit rows of fire and medical calls that come after others of the same calls are stored: what each call is then, and whether that is new."""
+    rows = feeds.fire_observations(fire_feed(spark, sf_dir)).where("rejected is null")
+    number = F.floor(F.col("fetched_us") / 10**9)
+    done = stored.merge_stored(stored.fold_records(rows.where(number <= 3)), rows.where(number >= 3))
+    return done.select(
+        "source", F.col("source_record_id").alias("call"), "us", F.array_join("units", ",").alias("units"), "raw_type", "priority", "location_raw", F.col("metadata")["unit_count"].alias("unit_count"), "outcome"
+    )
+
+
+def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows that come again: the last one stands, a place that was known is not blanked."""
+    key = F.col("o_orderkey")
+    none = {"fetched_us": F.lit(0), **dict.fromkeys(("agency", "priority", "intersection", "location_raw"), F.lit(None))}
+    base = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("obs_"), key).alias("id"), F.lit("sf_police_report").alias("source"), key.cast("string").alias("source_record_id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"),
+        F.lit(None).alias("published_us"), F.col("o_orderstatus").alias("raw_type"), F.col("o_orderpriority").alias("subtype"), F.lit("theft").alias("type"), F.concat(F.lit("N"), F.col("o_custkey") % 41).alias("neighborhood"),
+        F.lit(37.75).alias("lat"), F.lit(-122.41).alias("lng"), F.lit(False).alias("sensitive"), F.lit(1.0).alias("confidence"), F.array(F.lit("x")).alias("units"), F.create_map(F.lit("data_as_of"), F.lit("1"), F.lit("a"), F.lit("b")).alias("metadata"),
+    ).withColumns({**none, "unit_times": F.lit(None)})
+    typed = lambda df: df.select(*[F.col(c.split(" ")[0]).cast(c.split(" ", 1)[1]).alias(c.split(" ")[0]) for c in stored.CALL.split(", ")])
+    order = F.col("source_record_id").cast("long")
+    again = base.where(order % 3 != 0).withColumns({
+        "fetched_us": F.lit(1), "neighborhood": F.when(order % 4 == 0, F.lit("N99")), "lat": F.when(order % 5 == 0, F.lit(37.8)), "subtype": F.when(order % 7 == 0, F.lit(None)).otherwise(F.col("subtype")),
+        "type": F.lit("other"), "metadata": F.create_map(F.lit("data_as_of"), F.lit("2"), F.lit("a"), F.when(order % 8 == 0, F.lit("c")).otherwise(F.lit("b"))),
+    })
+    done = stored.merge_stored(typed(base.where(order % 2 == 0)), typed(again))
+    return done.select("source_record_id", "subtype", "type", "neighborhood", "lat", F.col("metadata")["data_as_of"].alias("as_of"), F.col("metadata")["a"].alias("a"), "outcome")
+
+
 def feed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = feeds.report_observations(report_feed(spark, sf_dir))
     return done.select(F.col("source_record_id").alias("record"), "us", "type", "lat", "lng", F.size("metadata").cast("long").alias("n_metadata"), "rejected")
@@ -207,7 +236,7 @@ def priority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        feed_police, feed_fire_calls, feed_reports, feed_dropped_fields, feed_pages, local_times, told_times, numeric_windows, normalize_locations, street_names,
+        feed_police, feed_fire_calls, stored_ingest, stored_reports, feed_reports, feed_dropped_fields, feed_pages, local_times, told_times, numeric_windows, normalize_locations, street_names,
         geocode_cascade, geocode_report, agreed_points, classify_types, priority_ranks,
     )
 }
@@ -252,6 +281,18 @@ ORACLE_SQL = {
           case when l_orderkey % 5 = 0 then 'Medical Incident' else 'Alarms' end as raw_type, arg_min(case when l_linenumber = 2 then '3' else '2' end, l_linenumber) as priority,
           arg_min('ADDR ' || l_partkey, l_linenumber::bigint * 1000000000 + l_partkey) filter (where l_linenumber % 2 = 0) as location_raw, count(distinct l_suppkey % 50)::varchar as unit_count
         from r group by source, l_orderkey""",
+    "stored_ingest": f"""with r as (select *, case when l_linenumber % 3 = 0 or l_orderkey % 5 = 0 then 'sf_ems_cad' else 'sf_fire_cad' end as source,
+          epoch_us(l_shipdate::timestamp) + l_linenumber * {HOUR} as t0 from lineitem where l_linenumber < 7)
+        select source, l_orderkey::varchar as call, min({_local('t0')}) as us, array_to_string(list_sort(list(distinct 'E' || (l_suppkey % 50))), ',') as units,
+          case when l_orderkey % 5 = 0 then 'Medical Incident' else 'Alarms' end as raw_type, arg_min(case when l_linenumber = 2 then '3' else '2' end, l_linenumber) as priority,
+          arg_min('ADDR ' || l_partkey, l_linenumber::bigint * 1000000000 + l_partkey) filter (where l_linenumber % 2 = 0) as location_raw, count(distinct l_suppkey % 50)::varchar as unit_count,
+          case when min(l_linenumber) > 3 then 'created' when max(l_linenumber) < 3 then 'untouched' when max(l_linenumber) > 3 then 'updated' else 'unchanged' end as outcome
+        from r group by source, l_orderkey""",
+    "stored_reports": """with o as (select o_orderkey as k, k % 2 = 0 as s, k % 3 <> 0 as n, o_orderpriority as p, 'N' || (o_custkey % 41) as area from orders where k % 2 = 0 or k % 3 <> 0),
+        m as (select *, case when n and k % 7 = 0 then null else p end as subtype, case when n and k % 4 = 0 then 'N99' when s then area end as neighborhood, case when n and k % 5 = 0 then 37.8::double when s then 37.75::double end as lat,
+          case when n and k % 8 = 0 then 'c' else 'b' end as a from o),
+        w as (select *, case when not s then 'created' when not n then 'untouched' when subtype is distinct from p or neighborhood is distinct from area or lat is distinct from 37.75::double or a <> 'b' then 'updated' else 'unchanged' end as outcome from m)
+        select k::varchar as source_record_id, subtype, case when s then 'theft' else 'other' end as type, neighborhood, lat, case when outcome in ('created', 'updated') then '2' else '1' end as as_of, a, outcome from w""",
     "feed_reports": f"""select case when o_orderkey % 13 <> 0 then o_orderkey::varchar end as record, case when o_orderkey % 7 <> 0 then {_local('epoch_us(o_orderdate::timestamp)')} end as us,
         case o_custkey % 5 when 0 then 'theft' when 1 then 'assault' when 2 then 'fire' end as type, case when o_orderkey % 3 <> 0 and o_orderkey % 2 = 0 then 37.75::double end as lat,
         case when o_orderkey % 3 <> 0 and o_orderkey % 2 = 0 then -122.41::double end as lng,
