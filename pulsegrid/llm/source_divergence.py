@@ -1,16 +1,18 @@
 """How far the sources of a language diverge, from term counts kept in mergeable radix tries.
 
 A task counts its documents' terms in one byte trie a language, whose leaves
-count by source.  Tries are written out leaf by leaf in byte order, dealt by
-language and prefix, and merged as ordered streams; the merged leaves that enough
-documents hold are traversed in UTF-8 order, for the distances of all pairs of
-sources and for the terms a source uses more than its language does.
+count by source.  Tries are cut into the subtrees of prefixes, dealt by language
+and prefix, and merged range by range; the merged leaves that enough documents
+hold are traversed in UTF-8 order, for the distances of all pairs of sources and
+for the terms a source uses more than its language does.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,143 +27,159 @@ from pulsegrid.session import cut_lineage
 LEAST_DOCUMENTS, TOP = 30, 50
 #: Added to every count, and what shares are told in.
 SMOOTHING, SCALE = 5, 1_000_000_000
-#: Counters a task holds before it hands its tries on; bytes of a prefix range.
-HELD, PREFIX = 300_000, 3
+#: Counters a task holds before it hands its tries on; bytes of a prefix range; rows of a batch.
+HELD, PREFIX, ROWS = 400_000, 3, 10_000
 #: Terms traversed as one group, terms of one block, and sources compared with all others in one group.
 SLICE, BLOCK, SOURCES = 4096, 512, 256
 #: Bytes of terms stay, A-Z in lower case; all others part terms.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LEAVES = "lang string, prefix binary, term binary, documents long, sources array<string>, counts array<long>"
+_RANGES = (
+    "lang string, prefix binary, shared array<int>, labels array<binary>, documents array<long>, widths array<int>, sources array<string>, counts array<long>"
+)
+_KEPT = "lang string, term binary, documents long, sources array<string>, counts array<long>"
+#: Bytes that keys are compared over; what they share beyond is stored again.
+_COMPARED = 64
 
 
+@dataclass(frozen=True)
 class RadixTrie:
-    """Byte strings to leaves ``[documents, {source: count}]``; an edge holds the bytes its keys share."""
+    """Byte strings with a count of documents and counts by source at their leaves, laid out in the order of its keys.
 
-    __slots__ = ("edges", "leaf")
+    A leaf's edge holds the bytes behind the ``shared`` ones, which are those of
+    the path to the leaf before.  Source counts of leaf ``i`` stand at
+    ``ends[i]:ends[i + 1]``.
+    """
+
+    shared: np.ndarray
+    labels: list[bytes]
+    documents: np.ndarray
+    ends: np.ndarray
+    names: list[str]
+    source: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(documents: dict[bytes, int], by_source: dict[str, dict[bytes, int]]) -> RadixTrie:
+        keys = sorted(documents)
+        place = dict(zip(keys, range(len(keys)), strict=True))
+        at = [np.fromiter(map(place.__getitem__, held), np.int64, len(held)) for held in by_source.values()]
+        leaf = np.concatenate([np.empty(0, np.int64), *at])
+        source = np.repeat(np.arange(len(by_source)), [len(x) for x in at])
+        counts = np.concatenate([np.empty(0, np.int64), *[np.fromiter(held.values(), np.int64, len(held)) for held in by_source.values()]])
+        order = np.argsort(leaf, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(keys)))]).astype(np.int64)
+        shared = np.zeros(len(keys), np.int32)
+        if len(keys) > 1:
+            raw = np.array(keys, dtype=f"S{_COMPARED}").view(np.uint8).reshape(len(keys), _COMPARED)
+            differs = (raw[1:] != raw[:-1]) | (raw[1:] == 0)  # keys hold no zero bytes
+            shared[1:] = np.where(differs.any(1), differs.argmax(1), _COMPARED)
+        labels = [k[n:] for k, n in zip(keys, shared.tolist(), strict=True)]
+        return RadixTrie(shared, labels, np.fromiter(map(documents.__getitem__, keys), np.int64, len(keys)), ends, list(by_source), source[order], counts[order])
+
+    def walk(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
+        """Keys in the order of their bytes, which is that of UTF-8, with their leaves."""
+        key, ends = b"", self.ends.tolist()
+        sources, counts = [self.names[i] for i in self.source], self.counts.tolist()
+        for i, (n, label, documents) in enumerate(zip(self.shared.tolist(), self.labels, self.documents.tolist(), strict=True)):
+            key = key[:n] + label
+            yield key, documents, dict(zip(sources[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]], strict=True))
+
+    def ranges(self, lang: str) -> pa.RecordBatch:
+        """A row for every subtree below a prefix of PREFIX bytes: a trie of its own."""
+        first = np.flatnonzero(self.shared < PREFIX)
+        cuts = np.append(first, len(self.labels)).astype(np.int32)
+        shared, labels = self.shared.copy(), list(self.labels)
+        key = b""
+        for i in first.tolist():
+            key = key[: shared[i]] + labels[i]  # shares less than a prefix with what is before, and so with the last first key
+            labels[i], shared[i] = key, 0
+        cut = lambda values, at=cuts: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+        names = pa.DictionaryArray.from_arrays(pa.array(self.source, pa.int32()), pa.array(self.names, pa.string())).cast(pa.string())
+        held = self.ends[cuts]
+        columns = [
+            pa.array([lang] * len(first), pa.string()), pa.array([labels[i][:PREFIX] for i in first.tolist()], pa.binary()), cut(pa.array(shared, pa.int32())), cut(pa.array(labels, pa.binary())),
+            cut(pa.array(self.documents, pa.int64())), cut(pa.array(np.diff(self.ends), pa.int32())), cut(names, held), cut(pa.array(self.counts, pa.int64()), held),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _RANGES.split(", ")])
+
+
+class Merging:
+    """Subtrees of one prefix range as they come, added up leaf by leaf."""
 
     def __init__(self) -> None:
-        self.edges: dict[int, tuple[bytes, RadixTrie]] = {}
-        self.leaf: list | None = None
-
-    def at(self, key: bytes) -> list:
-        """The leaf of ``key``, made if it is not there; an edge is split where keys part."""
-        node = self
-        while key:
-            label, child = node.edges.get(key[0], (b"", None))
-            if child is None:
-                child = RadixTrie()
-                node.edges[key[0]] = (key, child)
-                node, key = child, b""
-            elif key.startswith(label):
-                node, key = child, key[len(label) :]
+        self.leaves: dict[bytes, list] = {}
+
+    def add(self, shared: list[int], labels: list[bytes], documents: list[int], widths: list[int], sources: list[str], counts: list[int]) -> None:
+        key, at, leaves = b"", 0, self.leaves
+        for n, label, d, width in zip(shared, labels, documents, widths, strict=True):
+            key = key[:n] + label
+            leaf = leaves.get(key)
+            if leaf is None:
+                leaves[key] = [d, dict(zip(sources[at : at + width], counts[at : at + width], strict=True))]
             else:
-                n = next(i for i, (x, y) in enumerate(zip(label + b"\0", key + b"\0", strict=False)) if x != y)
-                between = RadixTrie()
-                between.edges[label[n]] = (label[n:], child)
-                node.edges[key[0]] = (label[:n], between)
-                node, key = between, key[n:]
-        if node.leaf is None:
-            node.leaf = [0, {}]
-        return node.leaf
-
-    def add(self, key: bytes, documents: int, counts: dict[str, int]) -> None:
-        leaf = self.at(key)
-        leaf[0] += documents
-        for source, n in counts.items():
-            leaf[1][source] = leaf[1].get(source, 0) + n
-
-    def merge(self, other: RadixTrie) -> None:
-        for key, (documents, counts) in other.walk():
-            self.add(key, documents, counts)
-
-    def walk(self) -> Iterator[tuple[bytes, list]]:
-        """Leaves in the order of their bytes, which is that of UTF-8."""
-        todo = [(b"", self)]
-        while todo:
-            key, node = todo.pop()
-            if node.leaf is not None:
-                yield key, node.leaf
-            todo += [(key + node.edges[b][0], node.edges[b][1]) for b in sorted(node.edges, reverse=True)]
+                leaf[0] += d
+                held = leaf[1]
+                for i in range(at, at + width):
+                    held[sources[i]] = held.get(sources[i], 0) + counts[i]
+            at += width
+
+    def walk(self, least: int) -> Iterator[tuple[bytes, list]]:
+        for key in sorted(k for k, leaf in self.leaves.items() if leaf[0] >= least):
+            yield key, self.leaves[key]
 
 
 def terms_of(data: bytes | None) -> list[bytes]:
     return data.translate(_TERM).split() if data else []
 
 
-def _written(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    names = [f.split()[0] for f in _LEAVES.split(", ")]
-    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def _told(leaves: Iterator[tuple], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    held = []
-    for leaf in leaves:
-        held.append(leaf)
-        if len(held) == rows:
-            yield _written(held)
-            held = []
-    if held:
-        yield _written(held)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The leaves of a task's tries; counters are filled first and dealt into tries once HELD of them are there."""
-    counts: defaultdict[tuple, Counter] = defaultdict(Counter)
+    """A task's tries cut by prefix; they are handed on whenever HELD counters are there."""
+    counts: defaultdict[str, defaultdict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
     documents: defaultdict[str, Counter] = defaultdict(Counter)
 
-    def tries() -> Iterator[tuple]:
-        by_lang: defaultdict[str, RadixTrie] = defaultdict(RadixTrie)
-        for lang, held in documents.items():
-            for term, n in held.items():
-                by_lang[lang].at(term)[0] = n
-        for (lang, source), held in counts.items():
-            trie = by_lang[lang]
-            for term, n in held.items():
-                trie.at(term)[1][source] = n
-        for lang in sorted(by_lang):
-            for term, (n, of) in by_lang[lang].walk():
-                yield lang, term[:PREFIX], term, n, list(of), list(of.values())
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang in list(documents):
+            whole = RadixTrie.of(documents.pop(lang), counts.pop(lang)).ranges(lang)
+            for at in range(0, whole.num_rows, ROWS):
+                yield whole.slice(at, ROWS)
 
     for batch in batches:
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang, source, data in zip(langs, sources, byte_texts(batch.column(2)), strict=True):
-            words = terms_of(data)
-            counts[lang, source].update(words)
-            documents[lang].update(set(words))
-        if sum(map(len, counts.values())) > HELD:
-            yield from _told(tries())
-            counts.clear()
-            documents.clear()
-    yield from _told(tries())
+            words = Counter(terms_of(data))
+            if words:
+                counts[lang][source].update(words)
+                documents[lang].update(words.keys())
+        if sum(len(c) for by_source in counts.values() for c in by_source.values()) > HELD:
+            yield from told()
+    yield from told()
 
 
 def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Ordered leaves of many tries as those of one; only what ``least`` documents hold is handed on."""
+    """Ranges of many tries, in the order of language and prefix, as those of one; only what ``least`` documents hold is handed on."""
+    kinds = [pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
-    def leaves() -> Iterator[tuple]:
-        now, documents, counts = None, 0, {}
+    def kept() -> Iterator[tuple]:
+        now, held = None, Merging()
         for batch in batches:
-            for lang, term, n, sources, each in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)], strict=True):
-                if (lang, term) != now:
-                    if documents >= least:
-                        yield (now[0], now[1][:PREFIX], now[1], documents, list(counts), list(counts.values()))
-                    now, documents, counts = (lang, term), 0, {}
-                documents += n
-                for source, k in zip(sources, each, strict=True):
-                    counts[source] = counts.get(source, 0) + k
-        if documents >= least:
-            yield (now[0], now[1][:PREFIX], now[1], documents, list(counts), list(counts.values()))
+            for lang, prefix, *subtree in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (lang, prefix) != now:
+                    yield from ((now[0], term, d, list(of), list(of.values())) for term, (d, of) in held.walk(least))
+                    now, held = (lang, prefix), Merging()
+                held.add(*subtree)
+        yield from ((now[0], term, d, list(of), list(of.values())) for term, (d, of) in held.walk(least))
 
-    yield from _told(leaves())
+    rows = kept()
+    while some := list(islice(rows, ROWS)):
+        columns = [pa.array(list(c), k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _KEPT.split(", ")])
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """``lang, prefix, term, documents, sources, counts`` of the terms that ``least`` documents of a language hold."""
-    counted = docs.select("lang", "source", "text").mapInArrow(_count, _LEAVES)
-    dealt = counted.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix", "term")
-    return dealt.mapInArrow(lambda batches: _merge(batches, least), _LEAVES)
+    """``lang, term, documents, sources, counts`` of the terms that ``least`` documents of a language hold."""
+    counted = docs.select("lang", "source", "text").mapInArrow(_count, _RANGES)
+    dealt = counted.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
+    return dealt.mapInArrow(lambda batches: _merge(batches, least), _KEPT)
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int, vocabulary: int) -> np.ndarray:

@@ -88,17 +88,27 @@ def test_variants_of_whole_table(spark):
 # ---------------------------------------------------------------- divergence
 
 
-@given(st.lists(st.tuples(st.text("abé中", min_size=1, max_size=6), st.integers(1, 3), st.sampled_from("xyz")), max_size=60), st.integers(0, 60))
+@given(st.lists(st.tuples(st.text("abé中", min_size=1, max_size=6) | st.text("ab", min_size=60, max_size=90), st.integers(1, 3), st.sampled_from("xyz")), max_size=60), st.integers(0, 60))
 @settings(max_examples=80, deadline=None)
-def test_trie_walks_in_utf8_order_and_merges(entries, cut):
-    parts = [source_divergence.RadixTrie(), source_divergence.RadixTrie()]
+def test_tries_walk_in_utf8_order_and_merge_by_ranges(entries, cut):
+    """Tries of two tasks, cut by prefix and merged, hold what one count holds; keys longer than what is compared as well."""
     want = defaultdict(lambda: [0, Counter()])
-    for i, (term, n, source) in enumerate(entries):
-        parts[i >= cut].add(term.encode(), 1, {source: n})
-        want[term.encode()][0] += 1
-        want[term.encode()][1][source] += n
-    parts[0].merge(parts[1])
-    assert [(k, [d, dict(c)]) for k, (d, c) in parts[0].walk()] == [(k, [d, dict(c)]) for k, (d, c) in sorted(want.items())]
+    ranges = defaultdict(source_divergence.Merging)
+    for part in (entries[:cut], entries[cut:]):
+        documents, by_source = Counter(), defaultdict(Counter)
+        for term, n, source in part:
+            documents[term.encode()] += 1
+            by_source[source][term.encode()] += n
+            want[term.encode()][0] += 1
+            want[term.encode()][1][source] += n
+        trie = source_divergence.RadixTrie.of(documents, by_source)
+        assert [(k, d) for k, d, _ in trie.walk()] == sorted(documents.items())
+        assert {k: c for k, _, c in trie.walk()} == {k: {s: c[k] for s, c in by_source.items() if k in c} for k in documents}
+        for row in trie.ranges("x").to_pylist():
+            ranges[row["prefix"]].add(*[row[c] for c in ("shared", "labels", "documents", "widths", "sources", "counts")])
+    found = [(k, d, dict(c)) for p in sorted(ranges) for k, (d, c) in ranges[p].walk(1)]
+    assert sorted(found) == sorted((k, d, dict(c)) for k, (d, c) in want.items())
+    assert all(k[:3] == p for p, m in ranges.items() for k, _ in m.walk(0))
 
 
 def plain_divergence(docs, least, top):
