@@ -15,8 +15,13 @@ NESTED = frozenset("template svg object".split())
 ENDLESS = frozenset(("script", "style"))
 #: Levels of a tag path that a block keeps: the outermost and the innermost.
 OUTER, INNER = 16, 48
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split()
+#: Names of a level that a block keeps; elements with more are told by their first ones.
+MARKS = 12
+#: Within a drawing these end it, as they do in browsers, but not within foreign objects of it.
+_LEAVES = "p|div|h[1-6]|ul|ol|dl|li|table|article|section|main|nav|header|footer|aside|blockquote|pre|body|hr"
+#: Elements that part blocks; all others, unknown ones too, stand within a text.
+PARTS = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these closes an open one of the listed kinds, as far as the boundary elements.
@@ -43,18 +48,34 @@ def _marks(attributes: str) -> list[str]:
             out.append("@hidden")
         elif name != "style":
             out += ["." + w for w in _NAME.findall(value.lower())]
-    return out
+    return out[:MARKS]
+
 
+def _raw_end(page: str, name: str, at: int, limit: int) -> int:
+    """Where the raw element that is open at ``at`` ends; -1 if nothing closes it.
 
-def _raw_end(page: str, name: str, at: int) -> int:
-    """Where the raw element that is open at ``at`` ends; -1 if nothing closes it."""
-    depth, last = 1, -1
-    for tag in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
-        if tag[1]:
-            depth, last = depth - 1, tag.end()
+    A drawing that another element breaks into ends there.  ``limit`` is the
+    last ``>``; ends of tags are looked for ahead of the last one found, so the
+    time is that of one pass.
+    """
+    drawing = name == "svg"
+    depth, last, foreign, behind = 1, -1, 0, at
+    for tag in re.compile(rf"<(/?)({name}{'|foreignobject|' + _LEAVES if drawing else ''})(?=[\s/>])", re.I).finditer(page, at, limit + 1):
+        said, closing = tag[2].lower(), bool(tag[1])
+        if said == "foreignobject":
+            foreign = max(0, foreign + (-1 if closing else 1))
+            continue
+        if said != name:
+            if not closing and not foreign:
+                return tag.start()
+            continue
+        if behind < tag.end():
+            behind = page.find(">", tag.end(), limit + 1)
+        if closing:
+            depth, last = depth - 1, behind + 1
             if not depth or name not in NESTED:
                 break
-        elif not tag[0].endswith("/>"):
+        elif page[behind - 1] != "/":
             depth += 1
     return last
 
@@ -96,7 +117,7 @@ def tokens(page: str) -> Iterator[tuple[str | None, bool, str]]:
         if name in RAW and not closing:
             if name in unclosed or name == "svg" and attributes.endswith("/"):
                 continue
-            end = _raw_end(page, name, at)
+            end = _raw_end(page, name, at, last)
             if end >= 0:
                 at = end
             elif name in ENDLESS:
@@ -140,7 +161,7 @@ def blocks(page: str | None) -> list[Block]:
                 if depth:
                     linked += len(said)
             continue
-        if name in INLINE:
+        if name not in PARTS:
             if name == "a":
                 depth = 0 if closing else 1
             elif name in ("br", "wbr"):

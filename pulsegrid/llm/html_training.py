@@ -25,13 +25,24 @@ PHRASES = {
 }
 
 
+#: Common words, so that texts of words and invented ones are both seen.
+COMMON = (
+    "the of and to in a is was that for it as with on by are at from this be had have were which not his her an or but they their all one been has can more when "
+    "time people year way day new first city water world school house work place state long old great many after before between during about le la les des et une "
+    "dans pour que der die das und ist nicht mit von ein eine el los las una por con para"
+).split()
+
+
 class PageMaker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         parts = [a + b for a in ("", "th", "st", "b", "r", "ch", "m", "l") for b in ("a", "e", "i", "on", "er", "in", "an", "ü", "é", "ció", "ou")]
         self.syllables = self.r.sample(parts, 40)
+        self.common = self.r.choice((0, 0, 0.3, 0.5))
 
     def word(self) -> str:
+        if self.r.random() < self.common:
+            return self.r.choice(COMMON)
         return "".join(self.r.choice(self.syllables) for _ in range(self.r.choice((1, 1, 2, 2, 3, 4))))
 
     def sentence(self, least: int, most: int) -> str:
@@ -39,6 +50,12 @@ class PageMaker:
         junk = self.r.choice(("",) * 12 + ("***", "&amp;&amp;", "%%%"))
         return " ".join(w + junk for w in words).capitalize() + self.r.choice((".", ".", ".", "", "!"))
 
+    def heading(self) -> str:
+        """One to eight words, most often a few without a full stop."""
+        if self.r.random() < 0.4:
+            return self.sentence(1, 8)
+        return " ".join(self.word() for _ in range(self.r.choice((1, 1, 1, 2, 2, 3, 5)))).capitalize()
+
     def prose(self) -> str:
         return " ".join(self.sentence(2, 22) for _ in range(self.r.choice((1, 1, 2, 3, 5, 9))))
 
@@ -48,6 +65,10 @@ class PageMaker:
 
     def _open(self, name: str) -> tuple[str, str]:
         tag = name.split(".")[0].split("#")[0]
+        if tag in ("div", "section", "td") and name in MAIN and self.r.random() < 0.6:
+            # sites name things as they like
+            names = " ".join("".join(self.r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(self.r.randint(1, 9))) for _ in range(self.r.randint(1, 4)))
+            return f'<{tag} class="{names}">', f"</{tag}>"
         mark = f' class="{name.split(".")[1]}"' if "." in name else f' id="{name.split("#")[1]}"' if "#" in name else ""
         return f"<{tag}{mark}>", f"</{tag}>"
 
@@ -83,14 +104,14 @@ class PageMaker:
                 put(r.choice(("<h1>{}</h1>", "<h1 class='title'>{}</h1>", "<header><h1>{}</h1></header>")), self.sentence(1, 12))
             for _ in range(r.choice((1, 2, 4, 6, 10, 16))):
                 x = r.random()
-                if x < 0.62:
+                if x < 0.58:
                     stray = r.random() < 0.06  # articles, too, quote such phrases
                     text = r.choice(PHRASES[r.choice(("end", "note", "talk"))]) + "." if stray else self.prose()
                     put(r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>")), text)
-                elif x < 0.70:
+                elif x < 0.65:
                     put("<p><b>{}<br>", self.sentence(2, 18))
                 elif x < 0.76:
-                    put(r.choice(("<h2>{}</h2>", "<h3>{}</h3>")), self.sentence(1, 8))
+                    put(r.choice(("<h2>{}</h2>", "<h2>{}</h2>", "<h3>{}</h3>", "<h4>{}</h4>")), self.heading())
                 elif x < 0.82:
                     out.append("<ul>")
                     for _ in range(r.randint(1, 5)):
@@ -127,6 +148,9 @@ class PageMaker:
             note(SIDES, "link", (1, 4))
         wrap = self._open(r.choice(("div.wrapper", "div.container", "div#page", "main"))) if r.random() < 0.4 else ("", "")
         a, b = self._open(r.choice(MAIN)) if r.random() < 0.9 else ("", "")
+        for _ in range(r.choice((0, 0, 0, 1, 2))):  # containers within each other
+            c, d = self._open(r.choice(("div", "div.layout", "div.row", "div.content", "section")))
+            a, b = a + c, d + b
         out += [wrap[0], a]
         body()
         inside = r.random() < 0.3
