@@ -16,6 +16,23 @@ WEIGHTS = {
 THRESHOLDS = (0.75, 0.8, 0.85, 0.9)
 
 
+def report_cases(joined: DataFrame, day_us: int = 86_400_000_000) -> DataFrame:
+    """``case, label, id``: labelled cases from written reports, of ``id, us, neighborhood, report`` rows of dispatch calls.
+
+    Calls of one report are one event (``same``, where there are two or more).
+    The first call of a report and that of the next report of its area and day
+    are two (``different``).  Calls without a report label nothing.
+    """
+    told = joined.where("report is not null")
+    sizes = told.select("report", "id").distinct().groupBy("report").agg(F.count("*").alias("n")).where("n > 1")
+    same = told.join(sizes, "report").select(F.concat(F.lit("same-"), "report").alias("case"), F.lit("same").alias("label"), "id").distinct()
+    first = told.groupBy("report").agg(F.min(F.struct("us", "id", "neighborhood")).alias("f")).select("report", "f.*").where("neighborhood is not null")
+    after = Window.partitionBy("neighborhood", F.floor(F.col("us") / day_us)).orderBy("us", "id")
+    next_to = first.withColumn("next", F.lead("id").over(after)).where("next is not null")
+    apart = next_to.select(F.concat(F.lit("different-"), "report").alias("case"), F.lit("different").alias("label"), F.explode(F.array("id", "next")).alias("id"))
+    return same.unionByName(apart)
+
+
 def case_outcomes(assigned: DataFrame) -> DataFrame:
     """``case, label, incidents, correct, tp, fp, fn, tn`` of ``case, label, observation, incident`` rows.
 

@@ -128,6 +128,24 @@ def correlate(observations: DataFrame) -> DataFrame:
     return met.unionByName(alone)
 
 
+def replay(cases: DataFrame) -> DataFrame:
+    """The decisions of every ``case`` on an empty state of its own, all in one job: ``case`` and the columns of :func:`correlate`.
+
+    ``cases`` has the columns of observations and ``case``; an observation may be in several.
+    """
+    columns = ["id", "us", "source", "type", "raw_type", "lat", "lng", "neighborhood", "units"]
+    rows = cases.select(F.col("case").alias("component"), *columns).where("component is not null")
+    kind = rows.schema["component"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = Fold()
+        for batch in batches:
+            for done in fold.run(iter([batch])):
+                yield done.assign(case=batch["component"].to_numpy())
+
+    return rows.repartition("component").sortWithinPartitions("component", "us", "id").mapInPandas(run, f"{_RESULT}, case {kind}")
+
+
 def incident_summary(decisions: DataFrame) -> DataFrame:
     """One row per incident: counts, agencies, units, verification."""
     grouped = decisions.groupBy("incident_id").agg(

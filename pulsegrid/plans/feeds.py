@@ -181,7 +181,8 @@ def street_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return street_vocabulary(observations(spark, sf_dir).select(name.alias("intersection_name")))
 
 
-def _geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gazetteer(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Made corners, street segments and areas."""
     number = lambda x: F.lit(float(x))
     corners = spark.range(1, 25).select(F.concat(ordinal(F.col("id")), F.lit(" St & Mission St")).alias("canonical"), (number(37.7) + F.col("id") * number(0.001)).alias("lat"), number(-122.4).alias("lng"))
     point = lambda lat, lng: F.struct(lat.alias("lat"), lng.alias("lng"))
@@ -193,8 +194,12 @@ def _geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("id")
     square = lambda w, e: F.array(F.array(F.array(*[point(number(a), number(b)) for a, b in ((37.69, w), (37.69, e), (37.8, e), (37.8, w))])))
     areas = spark.range(2).select(F.when(F.col("id") == 0, "West").otherwise("East").alias("name"), F.col("id").alias("position"), F.when(F.col("id") == 0, square(-122.6, -122.45)).otherwise(square(-122.45, -122.39)).alias("geometry"))
+    return corners, segments, areas
+
+
+def _geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).select("id", "source", "sensitive", "lat", "lng", F.when(F.col("k") % 5 == 0, F.col("neighborhood")).alias("neighborhood"), normalize_location(_raw_location(), VOCABULARY).alias("parsed"))
-    return geo.geocode(rows, corners, segments, areas)
+    return geo.geocode(rows, *gazetteer(spark))
 
 
 def geocode_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
