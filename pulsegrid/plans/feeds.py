@@ -15,7 +15,7 @@ from pulsegrid.functions.times import ZONE, elapsed, local_offset, naive_local,
 from pulsegrid.operators import geocode as geo
 from pulsegrid.operators import stored, taxonomy
 from pulsegrid.plans.analytics import DAY, HOUR, NOW, _WITH
-from pulsegrid.session import table
+from pulsegrid.session import cut_lineage, table
 from pulsegrid.sources import feeds
 from pulsegrid.sources.observations import observations
 
@@ -88,7 +88,7 @@ def feed_fire_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit rows of fire and medical calls that come after others of the same calls are stored: what each call is then, and whether that is new."""
-    rows = feeds.fire_observations(fire_feed(spark, sf_dir)).where("rejected is null")
+    rows = cut_lineage(feeds.fire_observations(fire_feed(spark, sf_dir)).where("rejected is null"))  # read once, as both sides are folded by parts
     number = F.floor(F.col("fetched_us") / 10**9)
     done = stored.merge_stored(stored.fold_records(rows.where(number <= 3)), rows.where(number >= 3))
     return done.select(

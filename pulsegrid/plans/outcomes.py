@@ -46,6 +46,7 @@ def public_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cached_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of two batches: those of the first are in the cache when the second comes, and only what is new is resolved."""
     rows = observations(spark, sf_dir).select("id", "lat", "lng", "neighborhood", feeds.normalize_location(feeds._raw_location(), feeds.VOCABULARY).alias("parsed"))
+    rows = cut_lineage(rows)  # texts are parsed once
     resolve = lambda new: feeds.geo.geocode(new, *feeds.gazetteer(spark))
     empty = spark.createDataFrame([], location_cache.CACHE)
     first = cut_lineage(location_cache.grown(empty, rows.where("id % 4 = 0"), resolve))
