@@ -52,6 +52,7 @@ LANDMARKS = (
 )
 #: Share of a name's mentions that its commonest suffix needs, and corners that make a street one that crosses avenues.
 SUFFIX_SHARE, AVENUE_CORNERS = 0.8, 5
+#: What an ordinal looks like, and what parts two streets.
 _ORDINAL = r"^0*(\d+)(?:ST|ND|RD|TH)$"
 _PARTED = r"\s*(?:\\|/|&|\bAT\b|\bAND\b|\bX\b)\s*"
 

@@ -83,6 +83,7 @@ def incident_states(members: DataFrame) -> DataFrame:
 
 def timeline(members: DataFrame) -> DataFrame:
     """``incident_id, observation_id, us, kind, text``: one entry per kind and member, and one per joining agency."""
+    # fixed values: the kinds and sentences of entries
     rows = incident_states(members)
     agency = agency_label(dispatch_agency(F.col("source")))
     first = F.col("n") == 1

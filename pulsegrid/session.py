@@ -46,6 +46,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return done
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the checkpoint files of frames that :func:`cut_lineage` gave, once nothing that is still to run reads them.
+
+    What was checkpointed from them does not need them: a checkpoint is never made again.
+    """
+    for frame in frames:
+        plan = frame._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            raise ValueError("only a frame as cut_lineage gave it has files of its own")
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _collect(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -54,8 +69,8 @@ def _collect(spark: SparkSession) -> None:
 def release(spark: SparkSession) -> None:
     """Let go of what no frame in use reads any more, the last step's shuffles among it.
 
-    Spark's context cleaner drops the shuffle and checkpoint files of collected
-    frames, but a driver with memory to spare may not collect for hours, and the
+    Spark's context cleaner drops the shuffle files of collected frames (checkpoint
+    files go by :func:`discard`), but a driver with memory to spare may not collect for hours, and the
     last plan is held until the next one has run.  What is dropped may have held
     other frames, so there is a second round once the cleaner has had its time.
     """
