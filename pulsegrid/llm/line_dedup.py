@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.session import cut_lineage, release
+from pulsegrid.session import cut_lineage, discard, release
 
 THRESHOLD = 0.8
 LEAST_WORDS = 1
@@ -131,7 +131,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, rarity: bytes, classes: DataFram
     enough = met >= threshold * (F.size("tokens") + F.size("other_tokens") - met) - 1e-9
     later = F.when(F.col("first_at") > F.col("other_first_at"), F.col("key")).otherwise(F.col("other_key"))
     found = pairs.join(sets, "id").join(other, F.col("other") == F.col("other_id")).where(enough).select(later.alias("key"))
-    return cut_lineage(found.distinct())
+    found = cut_lineage(found.distinct())
+    discard(pairs, named, sets)
+    return found
 
 
 def _listed(classes: DataFrame) -> DataFrame:
@@ -158,13 +160,13 @@ def _stays(side: str) -> Column:
 
 
 def _judged(docs: DataFrame, threshold: float) -> DataFrame:
-    """``key, first_at, gone`` of every class of equal lines; ``gone`` where an earlier class is similar, else null."""
+    """``key, first_at, gone`` of the classes of equal lines that lose a line: ``gone`` where an earlier class is similar, else null."""
     lines, rarity = _lines(docs), _rarity(docs)
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
     found = _ordered(lines.select("key", "at", "line"), rarity)
     found = found.select("key", "at", n.alias("n"), _marks("tokens").alias("marks"), prefix.alias("prefix"))
-    found = found.groupBy("key").agg(F.min("at").alias("first_at"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
+    found = found.groupBy("key").agg(F.min("at").alias("first_at"), (F.count("*") > 1).alias("again"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
     # the order as far as its bits go, never against it; what shares a number is told apart by its key
     step = F.floor(F.log2(F.greatest(F.col("first_at").cast("double"), F.lit(0.0)) + 2) * (1 << 20)).cast("long")
     number = F.shiftleft(step, _HASH_BITS) + F.col("key").bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
@@ -181,15 +183,16 @@ def _judged(docs: DataFrame, threshold: float) -> DataFrame:
     open_ = (F.col("a.id") < F.col("b.id")) & (_stays("b") | (tied & _stays("a")))
     met = listed.alias("a").join(listed.alias("b"), F.col("a.token") == F.col("b.token")).where(open_ & _possible(threshold))
     late = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), docs, rarity, classes, threshold)
-    gone = gone.unionByName(late).distinct().withColumn("gone", F.lit(True))
-    return cut_lineage(classes.select("key", "first_at").join(gone, "key", "left"))
+    all_gone = gone.unionByName(late).distinct().withColumn("gone", F.lit(True))
+    judged = cut_lineage(classes.select("key", "first_at", "again").join(all_gone, "key", "left").where("gone or again").drop("again"))
+    discard(classes, gone, late)
+    return judged
 
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _removed(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """``doc_id, text_key, line_no`` of every line to remove; ``docs``: doc_id, text_key, text."""
-    judged = _judged(docs, threshold)
-    release(docs.sparkSession)
-    placed = _lines(docs).select("doc_id", "text_key", "line_no", "key").join(judged, "key")
+    lines = _lines(docs).select("doc_id", "text_key", "line_no", "key").where(_passes("key", _filter(judged)))
+    placed = lines.join(judged, "key")
     return placed.where(F.col("gone") | (_at() > F.col("first_at"))).select("doc_id", "text_key", "line_no")
 
 
@@ -204,9 +207,12 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), row.alias("row"))
     text = F.col("row").getField(text_col)
-    gone = removed_lines(keyed.where("doc_id is not null").select("doc_id", "text_key", text.alias("text")).where("text is not null"), threshold)
+    texts = keyed.where("doc_id is not null").select("doc_id", "text_key", text.alias("text")).where("text is not null")
+    judged = _judged(texts, threshold)
+    release(docs.sparkSession)
     # a document's line numbers are bounded by its length; kept, so that nothing but them is there when the texts are dealt
-    gone = cut_lineage(gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone")))
+    gone = cut_lineage(_removed(texts, judged).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone")))
+    discard(judged)
     release(docs.sparkSession)
     joined = keyed.join(gone, ["doc_id", "text_key"], "left")
     all_lines = F.split(text, "\n", -1)
