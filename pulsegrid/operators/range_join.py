@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.geo import METERS_A_DEGREE, haversine_meters
@@ -32,6 +32,35 @@ def near_in_time(left: DataFrame, right: DataFrame, back: int, ahead: int, keys:
     return probe.join(build, on).drop("__bin")
 
 
+def counts_elsewhere(rows: DataFrame, id_col: str, differ: tuple[str, ...], back: int, ahead: int) -> DataFrame:
+    """``id, elsewhere``: how many rows within ``[us - back, us + ahead]`` differ in every one of the columns ``differ``.
+
+    No pair is built: a window's rows are a difference of running counts, and
+    those that differ in all columns are all rows, less those equal in one, plus
+    those equal in two, and so on.  Rows are copied once for each set of columns,
+    into bins of time, so the work is in proportion to the rows.  Rows with a
+    null time or column count nowhere; rows that count none are left out.
+    """
+    width = max(1, back + ahead + 1)
+    known = rows.where(" and ".join(f"`{c}` is not null" for c in ("us", *differ))).select(F.col(id_col).alias("id"), "us", *differ)
+    subsets = [[c for i, c in enumerate(differ) if n >> i & 1] for n in range(1 << len(differ))]
+    sets = F.array(*[F.struct(F.lit(n).alias("subset"), F.lit((-1) ** len(s)).alias("sign"), *[(F.col(c) if c in s else F.lit(None).cast(rows.schema[c].dataType)).alias(f"__{c}") for c in differ]) for n, s in enumerate(subsets)])
+    keyed = known.select("id", "us", F.inline(sets))
+    bin_of = lambda v: F.floor(v / F.lit(width)).cast("long")
+    low, high = F.col("us") - back, F.col("us") + ahead
+    # within each bin that the window touches: what comes before it counts against, what comes up to its end for
+    asked = F.explode(F.sequence(bin_of(low), bin_of(high)))
+    ends = keyed.withColumn("bin", asked).withColumn("end", F.explode(F.array(F.lit(0), F.lit(2))))
+    at = F.when(F.col("end") == 0, F.greatest(low, F.col("bin") * width)).otherwise(F.least(high, (F.col("bin") + 1) * width - 1))
+    columns = ["id", "subset", "sign", *[f"__{c}" for c in differ]]
+    queries = ends.select(*columns, "bin", at.alias("t"), "end")
+    data = keyed.select(*columns, bin_of(F.col("us")).alias("bin"), F.col("us").alias("t"), F.lit(1).alias("end"))
+    order = Window.partitionBy("subset", *[f"__{c}" for c in differ], "bin").orderBy("t", "end").rowsBetween(Window.unboundedPreceding, 0)
+    counted = data.unionByName(queries).withColumn("n", F.sum((F.col("end") == 1).cast("long")).over(order))
+    signed = F.col("sign") * F.col("n") * (F.col("end") - 1)  # -1 at the start of a window, 1 at its end, 0 for the rows themselves
+    return counted.groupBy("id").agg(F.sum(signed).alias("elsewhere")).where(F.col("elsewhere") > 0)
+
+
 def near_in_place_and_time(left: DataFrame, right: DataFrame, meters: float, back: int, ahead: int) -> DataFrame:
     """Pairs within ``meters`` and the time window, with ``distance``; rows without a point meet nothing.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import evaluation, registry, scoring, timeline
-from pulsegrid.operators.range_join import MINUTE, near_in_time
+from pulsegrid.operators.range_join import MINUTE, counts_elsewhere, near_in_time
 from pulsegrid.plans import feeds as feed_plans
 from pulsegrid.plans.analytics import DAY, HOUR, NOW, _WITH, conditions
 from pulsegrid.plans.incidents import _SCORED, _candidates
@@ -251,8 +251,7 @@ def apart_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def elsewhere_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every located call, how many of other sources in other areas are within three minutes."""
     rows = observations(spark, sf_dir).where("lat is not null and neighborhood is not null").select("id", "us", "source", "neighborhood")
-    met = near_in_time(rows, rows, 3 * MINUTE, 3 * MINUTE).where("source <> o_source and neighborhood <> o_neighborhood")
-    return met.groupBy("id").agg(F.count("*").alias("elsewhere"))
+    return counts_elsewhere(rows, "id", ("source", "neighborhood"), 3 * MINUTE, 3 * MINUTE)
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:

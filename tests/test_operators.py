@@ -152,3 +152,20 @@ def test_sweep_reaches_incidents_quiet_for_longer_than_four_hours(spark):
     assert {k: x.last_us for k, x in got.items()} == last
     old = [x for x in got.values() if x.last_us < NOW - 240 * 60_000_000]
     assert old and all(x.status == ("resolved" if x.incident_id in closed else "unknown") for x in old)
+
+
+def test_counts_elsewhere_equal_pairs(spark):
+    """Ties, windows over the edges of bins, equal rows, nulls and negative times against all pairs."""
+    import random
+
+    from pulsegrid.operators.range_join import counts_elsewhere
+
+    r = random.Random(4)
+    rows = [(i, r.choice((-40, -7, 0, 3, 7, 14, 15, 29, 30)) + r.choice((0, 0, 100)), r.choice("ab"), r.choice("xyz")) for i in range(160)]
+    rows += [(200, None, "a", "x"), (201, 3, None, "x"), (202, 3, "a", None)]
+    df = spark.createDataFrame(rows, "id long, us long, source string, area string")
+    good = [x for x in rows if None not in x]
+    for back, ahead in ((7, 7), (0, 15), (14, 0), (0, 0)):
+        want = {a[0]: n for a in good if (n := sum(a[1] - back <= b[1] <= a[1] + ahead and a[2] != b[2] and a[3] != b[3] for b in good))}
+        assert {x.id: x.elsewhere for x in counts_elsewhere(df, "id", ("source", "area"), back, ahead).collect()} == want
+    assert counts_elsewhere(df.limit(0), "id", ("source", "area"), 7, 7).isEmpty()
