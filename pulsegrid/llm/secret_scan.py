@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -296,10 +297,11 @@ def scan_secrets(
             for data in byte_texts(batch.column(1)):
                 spans = scanner.spans(data) if data else []
                 if spans and not data.isascii():
-                    at = lambda x, d=data: len(d[:x].decode())
-                else:
-                    at = lambda x: x
-                out.append([{"kind": rules[k].kind, "start": at(s), "end": at(e)} for k, s, e in spans])
+                    # code points begin at every byte that does not continue one
+                    begun = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+                    before = np.concatenate([[0], np.cumsum(begun)])
+                    spans = [(k, int(before[s]), int(before[e])) for k, s, e in spans]
+                out.append([{"kind": rules[k].kind, "start": s, "end": e} for k, s, e in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "found"])
 
     kind = plain.schema["doc_id"].dataType.simpleString()

@@ -481,6 +481,33 @@ def test_counts_of_documents(spark):
     assert token_counts.count_tokens(frame(spark, []), queries.TOKENIZER).count() == 0
 
 
+def test_secret_offsets_in_long_texts_and_odd_tables(spark):
+    """Offsets in code points against plain regular expressions in a long text of many spans, repeated rows, no rows."""
+    one = "ü漢😀 key AKIA" + "A" * 16 + " x token = 'abcdef12' ÿ " + "0123456789abcdef" * 2 + " "
+    rows = frame(spark, [one * 4000, one, one, "", None])
+    began = time.perf_counter()
+    found = {(x.doc_id, i): x.found for i, x in enumerate(secret_scan.scan_secrets(rows).collect())}
+    assert time.perf_counter() - began < 60
+    for (doc_id, _), spans in found.items():
+        text = {0: one * 4000, 1: one, 2: one}.get(doc_id, "")
+        want = [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]{16,}", text)] + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+        assert sorted((s["kind"], s["start"], s["end"]) for s in spans if s["kind"] in ("access", "hex")) == sorted(want)
+        assert sum(s["kind"] == "assign" for s in spans) == text.count("token")
+    assert secret_scan.scan_secrets(frame(spark, [])).count() == 0
+    twice = rows.where("doc_id = 1").unionByName(rows.where("doc_id = 1"))
+    assert secret_scan.scan_secrets(twice).count() == 2
+
+
+def test_urls_of_great_length_and_no_urls(spark):
+    """A url of a million characters, an empty one, null, repeated rows, and no rows."""
+    long = "https://Example.COM/de/" + "a" * 1_000_000 + "?q"
+    schema = "page_id long, url string, html string, host string, rule string"
+    rows = spark.createDataFrame([(1, long, "h", "x", "y"), (2, "", None, None, None), (3, None, None, None, None), (1, long, "h", "x", "y")], schema)
+    found = sorted(((x.page_id, x.host, len(x.path), x.rule, x.verdict) for x in url_filter.filter_urls(rows).collect()), key=repr)
+    assert found == [(1, "example.com", 1_000_004, "example.com/de/", "block")] * 2 + [(2, "", 0, None, "allow"), (3, "", 0, None, "allow")]
+    assert url_filter.filter_urls(spark.createDataFrame([], schema)).count() == 0
+
+
 # ---- 1 html
 def test_main_text_of_held_out_pages(spark):
     """Made pages of other seeds than the training's, and the corpus pages, whose articles are marked."""
