@@ -27,11 +27,15 @@ def build_session(app: str = "pulsegrid", master: str | None = None, partitions:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+#: Spark's own switch to drop what a query shuffled once the query has ended.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
     """Checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
     Only where that setting is absent in local mode, as in tests, a folder is set here.  What
-    was shuffled for it is of no more use then and is released.
+    was shuffled for it is of no more use then and is released, with ``drop_shuffles`` at once.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -40,7 +44,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
-    done = df.checkpoint(eager=True)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true" if drop_shuffles else before)
+    try:
+        done = df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     del df  # or its own shuffles would be held
     _collect(spark)
     return done
