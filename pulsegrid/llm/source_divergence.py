@@ -146,15 +146,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang, source, data in zip(langs, sources, byte_texts(batch.column(2)), strict=True):
-            words = Counter(terms_of(data))
+            words = terms_of(data)
             if words:
                 counts[lang][source].update(words)
-                documents[lang].update(words.keys())
+                documents[lang].update(set(words))
         if sum(len(c) for by_source in counts.values() for c in by_source.values()) > HELD:
             yield from told()
     yield from told()
 
 
+def _lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column, all values of which are read at once."""
+    values, ends = column.flatten(), np.cumsum(column.value_lengths().to_numpy()).tolist()
+    if pa.types.is_integer(values.type):
+        plain = values.to_numpy().tolist()
+    elif pa.types.is_string(values.type):  # few different ones
+        coded = values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        plain = [names[i] for i in coded.indices.to_numpy().tolist()]
+    else:
+        plain = values.to_pylist()
+    return (plain[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+
 def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Ranges of many tries, in the order of language and prefix, as those of one; only what ``least`` documents hold is handed on."""
     kinds = [pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
@@ -162,7 +176,7 @@ def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     def kept() -> Iterator[tuple]:
         now, held = None, Merging()
         for batch in batches:
-            for lang, prefix, *subtree in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for lang, prefix, *subtree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *map(_lists, batch.columns[2:]), strict=True):
                 if (lang, prefix) != now:
                     yield from ((now[0], term, d, list(of), list(of.values())) for term, (d, of) in held.walk(least))
                     now, held = (lang, prefix), Merging()
