@@ -169,3 +169,26 @@ def test_counts_elsewhere_equal_pairs(spark):
         want = {a[0]: n for a in good if (n := sum(a[1] - back <= b[1] <= a[1] + ahead and a[2] != b[2] and a[3] != b[3] for b in good))}
         assert {x.id: x.elsewhere for x in counts_elsewhere(df, "id", ("source", "area"), back, ahead).collect()} == want
     assert counts_elsewhere(df.limit(0), "id", ("source", "area"), 7, 7).isEmpty()
+
+
+def test_checkpoints_are_cut_and_discarded(spark):
+    """A cut frame has files of its own, which go by name; a plain frame has none; Spark's switch is as it was."""
+    import os
+    from urllib.parse import urlparse
+
+    import pytest
+
+    from pulsegrid.session import _DROP_SHUFFLES, cut_lineage, discard
+
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    cut = cut_lineage(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), drop_shuffles=True)
+    assert cut.count() == 7
+    assert spark.conf.get(_DROP_SHUFFLES, "false") == before
+    path = urlparse(cut._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()).path
+    assert os.path.isdir(path)
+    kept = cut_lineage(cut.where("k > 2"))
+    discard(cut)
+    assert not os.path.exists(path)
+    assert kept.count() == 4
+    with pytest.raises(ValueError):
+        discard(spark.range(3))
