@@ -125,7 +125,8 @@ def _similar(pairs: DataFrame, rarity: bytes, classes: DataFrame, threshold: flo
     """``key`` of the later class of each pair of class numbers ``id, other`` whose sets are similar enough."""
     pairs = _kept(pairs.distinct())
     named = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
-    once = classes.select("id", "key", "line", "first_at").join(named, "id", "left_semi")
+    near = classes.select("id", "key", "line", "first_at").where(_passes("id", _filter(named.select(F.col("id").alias("key")))))
+    once = near.join(named, "id", "left_semi")
     sets = _kept(_ordered(once, rarity).select("id", "key", "tokens", "first_at"))
     other = sets.select(*[F.col(c).alias(f"other_{c}") for c in sets.columns])
     met = F.size(F.array_intersect("tokens", "other_tokens"))
@@ -215,7 +216,10 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     gone = _kept(_removed(texts, judged).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone")))
     discard(judged)
     release(docs.sparkSession)
-    joined = keyed.join(gone, ["doc_id", "text_key"], "left")
+    # only documents that lose a line are dealt; nulls never do
+    may = F.coalesce(_passes("doc_id", _filter(gone.select(F.col("doc_id").alias("key")))), F.lit(False))
+    whole = keyed.where(~may).withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
+    joined = keyed.where(may).join(gone, ["doc_id", "text_key"], "left").select(*whole.columns).unionByName(whole)
     all_lines = F.split(text, "\n", -1)
     kept = F.when(F.col("gone").isNull(), text).otherwise(
         F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
