@@ -118,13 +118,13 @@ def merge_incidents(incidents: DataFrame, members: DataFrame, requests: DataFram
     A survivor is resolved only if all that went into it are, at the last of
     their times; else it has the furthest status of those that are not.
     """
-    new = cut_lineage(new_redirects(incidents, requests))
+    new = cut_lineage(new_redirects(incidents, requests), drop_shuffles=True)
     gained = new.select(F.col("into_id").alias("incident_id")).distinct()
     touched = new.select(F.col("from_id").alias("incident_id"), F.col("into_id").alias("__into")).unionByName(gained.withColumn("__into", F.col("incident_id")))
     # members of what is merged, under the survivor, each observation once
     moving = members.join(touched, "incident_id")
     moved = moving.withColumn("incident_id", F.col("__into")).drop("__into").dropDuplicates(["incident_id", "observation_id"])
-    moved = cut_lineage(moved)
+    moved = cut_lineage(moved, drop_shuffles=True)
     still = members.join(touched.select("incident_id"), "incident_id", "left_anti")
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col("status")), F.lit(-1))
     parts = incidents.join(touched, "incident_id").groupBy(F.col("__into").alias("incident_id")).agg(

@@ -86,11 +86,11 @@ class ObservationStore:
 
     def apply(self, rows: DataFrame, batch: int) -> None:
         """Merge mapped ``rows`` as batch number ``batch``; the cursor moves last, once all else is written."""
-        rows = cut_lineage(rows)
+        rows = cut_lineage(rows, drop_shuffles=True)
         bucket = F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
         good = rows.where("rejected is null")
         keys = good.select(*KEY).distinct().withColumn("bucket", bucket)
-        merged = cut_lineage(merge_stored(self.state(batch, keys), good))
+        merged = cut_lineage(merge_stored(self.state(batch, keys), good), drop_shuffles=True)
         self._write(merged.where("outcome in ('created', 'updated')").withColumn("bucket", bucket), "observations", batch, "bucket")
         seen = good.where(F.col("source").isin(*UNIT_SOURCES)).select("us", "source", F.explode("units").alias("unit"), F.col("unit_times"))
         seen = seen.select("us", "source", "unit", F.try_element_at("unit_times", F.col("unit"))["unit_type"].alias("unit_type"))
