@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Returns ``(node, component)``, one row per distinct endpoint.
     """
-    edges = edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null")
+    edges = cut_lineage(edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null"))  # read twice below
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = cut_lineage(nodes.withColumn("component", F.col("node")))
     live = cut_lineage(

@@ -98,6 +98,27 @@ def test_components_fold_as_one_sequence(spark):
     assert {x.observation_id: (x.incident_id, x.decision) for x in whole.itertuples()} == {k: (v.incident_id, v.decision) for k, v in got.items()}
 
 
+def test_correlation_links_runs_of_points_and_slots_of_areas(spark, monkeypatch):
+    import pandas as pd
+
+    r = random.Random(8)
+    rows = []
+    for i in range(900):
+        located = r.random() < 0.8
+        lat = 37.7 + r.randrange(2) * 0.002 if located else None
+        us = 355 * MINUTE + i * 2 * MINUTE // 3  # a slot begins within
+        rows.append((i, us, r.choice(["sf_police_cad", "sf_ems_cad"]), r.choice(["collision", "medical", "theft", "unknown", None]), "x", lat, -122.4 if located else None, r.choice(["A", "B", None]), r.sample(["M1", "M2"], 1)))
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in OBS.split(", ")]).sort_values(["us", "id"]).assign(component=0)
+    whole = pd.concat(fold.Fold().run(iter([frame])))
+    links = []
+    monkeypatch.setattr(fold, "connected_components", lambda edges: links.append(edges.count()) or connected_components(edges))
+    got = fold_of(spark, rows)
+    score = lambda v: None if v is None or v != v else round(v, 9)
+    of = lambda x: (x.incident_id, x.decision, score(x.score), None if pd.isna(x.probable_incident_id) else x.probable_incident_id, list(x.agencies), list(x.units), x.primary_type)
+    assert {x.observation_id: of(x) for x in whole.itertuples()} == {k: of(v) for k, v in got.items()}
+    assert links[0] < 50 and fold.AREA_MOST < scoring.MERGE
+
+
 def test_weights():
     assert scoring.weights_are_valid(scoring.WEIGHTS) and not scoring.weights_are_valid({"a": 0.5})
 
