@@ -42,7 +42,7 @@ def chains(located: DataFrame) -> DataFrame:
     ends = runs.groupBy("run", "lat", "lng", F.floor(F.col("us") / F.lit(BACK * MINUTE)).alias("bin")).agg(F.array_distinct(F.array(F.min("us"), F.max("us"))).alias("ends"))
     ends = ends.select("run", "lat", "lng", F.explode("ends").alias("us"))
     near = near_in_place_and_time(ends, ends, METERS, BACK * MINUTE, 0).where("run <> o_run")
-    parts = connected_components(near.select(F.col("run").alias("a"), F.col("o_run").alias("b")).distinct()).withColumnRenamed("node", "run")
+    parts = connected_components(cut_lineage(near.select(F.col("run").alias("a"), F.col("o_run").alias("b")).distinct())).withColumnRenamed("node", "run")
     return runs.join(parts, "run", "left").withColumn("component", F.coalesce("component", "run")).drop("run")
 
 
