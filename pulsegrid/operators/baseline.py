@@ -38,11 +38,28 @@ def hourly_baseline(calls: DataFrame, at_us: int, weeks: int = WEEKS) -> DataFra
     grid = areas.select("*", F.explode(F.array(*map(F.lit, TYPES))).alias("type")).select("*", hours)
     past = rows.where((F.col("us") >= at_us - weeks * WEEK) & (F.col("us") < at_us))
     by_week = past.groupBy("neighborhood", "type", hour_of_week(F.col("us")).alias("hour_of_week"), F.floor((F.lit(at_us) - 1 - F.col("us")) / WEEK).alias("week")).agg(F.count("*").alias("n"))
-    sums = by_week.groupBy("neighborhood", "type", "hour_of_week").agg(F.sum("n").alias("sum"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     key = ["neighborhood", "type", "hour_of_week"]
-    whole = grid.join(sums, key, "left").fillna(0, ["sum", "squares"])
-    mean = F.col("sum") / weeks
-    return whole.select(*key, mean.alias("expected"), F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / weeks - mean * mean)).alias("deviation"), "enough")
+    last_first = F.array(*[F.coalesce(F.sum(F.when(F.col("week") == w, F.col("n"))), F.lit(0)) for w in range(weeks)])
+    sums = by_week.groupBy(*key).agg(last_first.alias("counts"))
+    whole = grid.join(sums, key, "left").withColumn("counts", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), weeks)))
+    return whole.select(*key, _spread("counts", weeks)["mean"].alias("expected"), _spread("counts", weeks)["deviation"].alias("deviation"), "enough")
+
+
+def _spread(counts: str, n: int) -> dict[str, Column]:
+    """Mean and population deviation of an array of ``n`` counts.
+
+    The deviation is the running one of ``stddev_pop``, over the counts in their
+    order, so that a count that differs from the mean by the deviation alone is
+    judged as SQL judges it, to the last bit.
+    """
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def add(a: Column, x: Column) -> Column:
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("mean"), (a["squares"] + (x - a["mean"]) * (x - mean)).alias("squares"))
+
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return {"mean": total / n, "deviation": F.aggregate(counts, start, add, lambda a: F.sqrt(a["squares"] / n))}
 
 
 def compared(calls: DataFrame, baseline: DataFrame, from_us: int, to_us: int) -> DataFrame:

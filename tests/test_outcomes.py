@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,21 @@ def test_baseline_counts_quiet_hours(spark):
     assert told["B", "fire", 0] == (0.75, 1.299, 0, "not enough history")
 
 
+def test_baseline_deviates_as_sql_does(spark):
+    """Of 1, 1, 0 and 4 calls, the last week first, stddev_pop is a bit less than 1.5, so silence is quieter; in another order it is not."""
+    at, week = 5000 * baseline.WEEK, baseline.WEEK
+    counts = {"A": (1, 1, 0, 4), "B": (4, 0, 1, 1)}
+    calls = [(area, "theft", at - (k + 1) * week) for area, weeks in counts.items() for k, n in enumerate(weeks) for _ in range(n)]
+    df = spark.createDataFrame(calls + [("B", "fire", at - 4 * week)], "neighborhood string, type string, us long")
+    told = baseline.compared(df, baseline.hourly_baseline(df, at), at, at + baseline.HOUR).where("type = 'theft'")
+    con = duckdb.connect()
+    for r in told.collect():
+        values = ", ".join(f"({i}, {n})" for i, n in enumerate(counts[r.neighborhood]))
+        (deviation,) = con.execute(f"select stddev_pop(n order by i) from (values {values}) v(i, n)").fetchone()
+        assert (r.expected, r.deviation, r.observed) == (1.5, deviation, 0)
+        assert r.comparison == {"A": "quieter", "B": "typical"}[r.neighborhood]
+
+
 def test_visibility(spark):
     rows = spark.createDataFrame(
         [("i", 1, 0, "sf_fire_cad", "fire", 0), ("i", 2, 1, "sf_police_cad", "weapon", 1), ("i", 3, 2, "sf_police_cad", "assault", None), ("j", 4, 0, "sf_fire_cad", "fire", 1)],
