@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import fold, ingest, lifecycle, scoring
+from pulsegrid.operators import fold, ingest, lifecycle, near_blocks, scoring
 from pulsegrid.operators.range_join import MINUTE, near_in_place_and_time, near_in_time
 from pulsegrid.plans.analytics import NOW, _WITH
 from pulsegrid.session import table
-from pulsegrid.sources.observations import agency_of, observations
+from pulsegrid.sources.observations import observations
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -33,15 +33,12 @@ def candidates_by_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearby_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other calls are within an hour and 500 m of each located call."""
     rows = observations(spark, sf_dir)
-    met = near_in_place_and_time(rows, rows.select("id", "us", "lat", "lng"), 500.0, 60 * MINUTE, 60 * MINUTE).where("id <> o_id")
-    return met.groupBy("id").agg(F.count("*").alias("near"))
+    return near_blocks.count_near(rows, 500.0, 60 * MINUTE, 60 * MINUTE)
 
 
 def other_agency_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir)
-    met = near_in_place_and_time(rows, rows.select("id", "us", "lat", "lng", "source"), 450.0, 30 * MINUTE, 30 * MINUTE)
-    met = met.where(agency_of(F.col("source")) != agency_of(F.col("o_source")))
-    return met.groupBy("id").agg(F.count_distinct("o_source").alias("agencies"))
+    return near_blocks.sources_near(rows, 450.0, 30 * MINUTE, 30 * MINUTE).groupBy("id").agg(F.count("*").alias("agencies"))
 
 
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +48,7 @@ def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decide_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best candidate of every call, and what would be decided."""
-    best = scoring.best_candidate(scoring.score_pairs(_candidates(observations(spark, sf_dir))))
+    best = near_blocks.best_of_other_sources(observations(spark, sf_dir))
     return best.select("id", F.col("o_id").alias("other"), F.round("score", 6).alias("score"), scoring.decision(F.col("score")).alias("decision"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import evaluation, registry, scoring, timeline
+from pulsegrid.operators import evaluation, near_blocks, registry, scoring, timeline
 from pulsegrid.operators.range_join import MINUTE, counts_elsewhere, near_in_time
 from pulsegrid.plans import feeds as feed_plans
 from pulsegrid.plans.analytics import DAY, HOUR, NOW, _WITH, conditions
@@ -81,7 +81,7 @@ def incident_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = scoring.best_candidate(scoring.score_pairs(_candidates(observations(spark, sf_dir))))
+    best = near_blocks.best_of_other_sources(observations(spark, sf_dir))
     return best.select("id", F.col("o_id").alias("other"), "score", scoring.decision(F.col("score")).alias("decision"))
 
 
