@@ -44,8 +44,9 @@ def parse_local(text: Column) -> Column:
     """
     trimmed = F.trim(text)
     as_utc = F.unix_micros(F.try_to_timestamp(F.replace(trimmed, F.lit("T"), F.lit(" "))))
-    once = as_utc - local_offset(as_utc)
-    return F.when(trimmed.rlike(_NAIVE), as_utc - local_offset(once)).otherwise(F.unix_micros(trimmed.try_cast("timestamp")))
+    # an element of an array, as the text would be read again wherever the instant is named
+    naive = F.get(F.transform(F.array(as_utc), lambda u: u - local_offset(u - local_offset(u))), F.lit(0))
+    return F.when(trimmed.rlike(_NAIVE), naive).otherwise(F.unix_micros(trimmed.try_cast("timestamp")))
 
 
 def naive_local(us: Column) -> Column:

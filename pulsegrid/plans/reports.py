@@ -53,7 +53,7 @@ def gazetteer_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def historical_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archived police records of three days, with what the archive's checks refuse and why, and whether they are new."""
     record = "cad_number string, id string, received_datetime string"
-    raw = feed_plans.police_feed(spark, sf_dir).select("payload", "fetched_us", F.from_json("payload", record).alias("r"))
+    raw = feed_plans.police_feed(spark, sf_dir).select("payload", "fetched_us", F.explode(F.array(F.from_json("payload", record))).alias("r"))
     asked = renormalize.in_range(raw, NOW - 5 * DAY, NOW - 2 * DAY, "fetched_us")
     checked = asked.withColumn("reason", quarantine_reason(F.col("r.cad_number"), F.col("r.id"), F.col("r.received_datetime")))
     good = feeds.police_observations(checked.where("reason is null")).where("rejected is null").select("source_record_id")

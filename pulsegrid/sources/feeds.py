@@ -68,7 +68,8 @@ CATEGORY_TYPES = {
 
 def _record(feed: DataFrame, fields: list[str], extra: str = "") -> DataFrame:
     schema = ", ".join(f"{f} string" for f in fields) + extra
-    return feed.select("payload", "fetched_us", F.from_json("payload", schema).alias("r"))
+    # exploded, as a record that is only selected would be read again for every field and filter
+    return feed.select("payload", "fetched_us", F.explode(F.array(F.from_json("payload", schema))).alias("r"))
 
 
 def _field(name: str) -> Column:

@@ -50,3 +50,12 @@ def test_digest_of_a_quiet_area(spark):
     areas = spark.createDataFrame([("A",), ("B",)], "neighborhood string")
     found = {r.neighborhood: (r.incidents, r.open, r.latest, r.gravest, r.by_type, r.by_agency) for r in reporting.activity_digest(incidents, areas, 0, 10).collect()}
     assert found == {"A": (2, 1, "i", "j", "fire=2", "fire=2"), "B": (0, 0, None, None, "", "")}
+
+
+def test_a_record_is_read_once(spark):
+    """Neither a filter nor the fields make a record's JSON be parsed again."""
+    from pulsegrid.plans import catalogue
+
+    for name, most in {"quarantined": 1, "feed_fire_calls": 1, "historical_range": 4}.items():  # the archive is read for what it takes and for what it refuses, by two schemas each
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") <= most, name
