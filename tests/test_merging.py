@@ -1,8 +1,11 @@
 """Merging with redirects, late binding and re-normalization by hand cases."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import late_binding, merging, renormalize
+from pulsegrid.operators import late_binding, merging, near_blocks, renormalize
 from pulsegrid.operators.range_join import MINUTE
 
 MEMBERS = "incident_id string, observation_id long, us long, source string, type string, severity string, units array<string>"
@@ -139,3 +142,34 @@ def test_circles_end_the_jumping(spark, monkeypatch):
     want = {3 * c + i: 3 * c for c in range(1330) for i in (1, 2)} | {5000 + i: 0 for i in range(9)} | {-10: 0, -11: -12}
     assert ends == want
     assert len(rounds) <= 8
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 200_000])
+def test_late_binding_is_that_of_all_pairs(spark, monkeypatch, rows_at_once):
+    """Ties, long incidents, some that end before they begin or without an end, unknown types, places that are missing; no join is built."""
+    monkeypatch.setattr(near_blocks, "ROWS", rows_at_once)
+    r, hour = random.Random(5), late_binding.HOUR
+    corners, areas = [f"c{n}" for n in range(9)], [f"N{n}" for n in range(4)]
+    kinds = ["fire", "medical", "theft", "collision", "unknown", None]
+    incidents, articles = [], []
+    for n in range(260):
+        first = r.choice([r.randrange(0, 900) * hour, r.randrange(0, 900 * hour)])
+        last = first + r.choice([0, 1, 5 * hour, 300 * hour, 500 * hour, -2 * hour])
+        incidents.append((f"i{n}", first, last if n % 30 else None, r.choice([None, *corners]), r.choice([None, *areas]), r.choice(kinds), r.choice([[], ["fire"], ["fire", "police"], None])))
+        at = r.choice([first, last, first - hour, first + 14 * late_binding.DAY, r.randrange(0, 1000) * hour]) + r.choice([0, 0, 1, -1])
+        articles.append((n, at, r.choice([None, *corners]), r.choice([None, *areas]), r.choice(kinds), r.choice(["fire", "police", None])))
+    articles = spark.createDataFrame(articles, "article_id long, us long, corner string, neighborhood string, type string, agency string")
+    incidents = spark.createDataFrame(incidents, "incident_id string, first_us long, last_us long, corner string, neighborhood string, primary_type string, agencies array<string>")
+    may = [x for x in late_binding.late_candidates(articles, incidents).collect() if x.score >= late_binding.POSSIBLE]
+    for_article, for_incident = {}, {}
+    for x in may:
+        for best, of, other in ((for_article, x.article_id, x.incident_id), (for_incident, x.incident_id, x.article_id)):
+            best[of] = min(best.get(of, (9, 0, other)), (-x.score, x.gap_us, other))
+    want = {}
+    for x in may:
+        if for_article[x.article_id][2] == x.incident_id and for_incident[x.incident_id][2] == x.article_id:
+            sure = x.score >= late_binding.CONFIRMED and x.at_corner and (x.gap_us <= late_binding.CONSISTENT or x.named)
+            want[x.article_id, x.incident_id] = (x.score, "confirmed" if sure else "possible", x.us)
+    done = late_binding.attach(articles, incidents)
+    assert len(want) > 30 and {(x.article_id, x.incident_id): (x.score, x.verdict, x.enriched_us) for x in done.collect()} == want
+    assert "Join" not in done._jdf.queryExecution().executedPlan().toString()
