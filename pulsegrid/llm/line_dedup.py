@@ -20,6 +20,8 @@ look for further earlier ones.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ LEAST_WORDS = 1
 CENTRE_TOKENS = 2
 #: Classes of a list up to which all its pairs are as cheap as a first pass.
 LONG_LIST = 64
+#: Parts in which the sets of candidate pairs are met.
+SLICES = 4
 #: Slots of the frequency table, the top bits of a token's hash: 256 KB whatever the input.
 SLOT_BITS = 18
 #: Characters of the class filter, 6 slots each: 170 KB whatever the input.
@@ -117,22 +121,32 @@ def _passes(key: str, known: bytes) -> Column:
     return F.call_function("getbit", bits, (slot % 6).cast("int")) == 1
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A checkpoint, beside which nothing that was shuffled for it stays on disk."""
+    return cut_lineage(df, drop_shuffles=True)
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, rarity: bytes, classes: DataFrame, threshold: float) -> DataFrame:
-    """``key`` of the later class of each pair of class numbers ``id, other`` whose sets are similar enough."""
-    pairs = cut_lineage(pairs.distinct())
+    """``key`` of the later class of each pair of class numbers ``id, other`` whose sets are similar enough; ``pairs`` is a checkpoint, and goes."""
     named = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
-    named = cut_lineage(classes.select("id", "key", "first_at").join(named, "id", "left_semi"))
+    named = _kept(classes.select("id", "key", "first_at").join(named, "id", "left_semi"))
     # only documents that a class stands in first are split
     there = docs.where(_passes("doc_id", _filter(named.select(F.floor(F.col("first_at") / F.lit(1 << 31)).cast("long").alias("key")))))
     once = _lines(there).select("key", "line").where(_passes("key", _filter(named))).dropDuplicates(["key"])
-    sets = cut_lineage(_ordered(once.join(named, "key"), rarity).select("id", "key", "tokens", "first_at"))
+    sets = _kept(_ordered(once.join(named, "key"), rarity).select("id", "key", "tokens", "first_at"))
+    discard(named)
     other = sets.select(*[F.col(c).alias(f"other_{c}") for c in sets.columns])
     met = F.size(F.array_intersect("tokens", "other_tokens"))
     enough = met >= threshold * (F.size("tokens") + F.size("other_tokens") - met) - 1e-9
     later = F.when(F.col("first_at") > F.col("other_first_at"), F.col("key")).otherwise(F.col("other_key"))
-    found = pairs.join(sets, "id").join(other, F.col("other") == F.col("other_id")).where(enough).select(later.alias("key"))
-    found = cut_lineage(found.distinct())
-    discard(pairs, named, sets)
+    # sets are dealt to pairs by and by, so that only a part of them lies on disk once more
+    slices = []
+    for n in range(SLICES):
+        part = [df.where(F.pmod(F.xxhash64("id"), F.lit(SLICES)) == n) for df in (pairs, sets)]
+        found = part[0].join(part[1], "id").join(other, F.col("other") == F.col("other_id")).where(enough).select(later.alias("key"))
+        slices.append(_kept(found.distinct()))
+    found = _kept(functools.reduce(DataFrame.unionByName, slices).distinct())
+    discard(pairs, sets, *slices)
     return found
 
 
@@ -170,22 +184,25 @@ def _judged(docs: DataFrame, threshold: float) -> DataFrame:
     # the order as far as its bits go, never against it; what shares a number is told apart by its key
     step = F.floor(F.log2(F.greatest(F.col("first_at").cast("double"), F.lit(0.0)) + 2) * (1 << 20)).cast("long")
     number = F.shiftleft(step, _HASH_BITS) + F.col("key").bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
-    classes = cut_lineage(found.withColumn("id", number))
+    classes = _kept(found.withColumn("id", number))
     # the earliest class of the long lists of the rarest tokens
     near = _listed(classes.withColumn("prefix", F.slice("prefix", 1, CENTRE_TOKENS)).withColumn("gone", F.lit(False)))
     centre = near.groupBy("token").agg(F.min(F.struct("id", "marks", "packed")).alias("c"), F.count("*").alias("size"))
     centre = centre.where(F.col("size") > LONG_LIST).select("token", "c.*")
     met = near.alias("b").join(centre.alias("a"), "token").where((F.col("a.id") < F.col("b.id")) & _possible(threshold))
-    gone = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), docs, rarity, classes, threshold)
+    gone = _similar(_kept(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()), docs, rarity, classes, threshold)
     # what is not yet gone looks through all its lists for earlier ones
     listed = _listed(classes.join(gone.withColumn("gone", F.lit(True)), "key", "left"))
     tied = F.shiftright("a.id", _HASH_BITS) == F.shiftright("b.id", _HASH_BITS)
     open_ = (F.col("a.id") < F.col("b.id")) & (_stays("b") | (tied & _stays("a")))
     met = listed.alias("a").join(listed.alias("b"), F.col("a.token") == F.col("b.token")).where(open_ & _possible(threshold))
-    late = _similar(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")), docs, rarity, classes, threshold)
+    pairs = _kept(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct())
+    slim = _kept(classes.select("id", "key", "first_at", "again"))
+    discard(classes)
+    late = _similar(pairs, docs, rarity, slim, threshold)
     all_gone = gone.unionByName(late).distinct().withColumn("gone", F.lit(True))
-    judged = cut_lineage(classes.select("key", "first_at", "again").join(all_gone, "key", "left").where("gone or again").drop("again"))
-    discard(classes, gone, late)
+    judged = _kept(slim.select("key", "first_at", "again").join(all_gone, "key", "left").where("gone or again").drop("again"))
+    discard(slim, gone, late)
     return judged
 
 
@@ -211,7 +228,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     judged = _judged(texts, threshold)
     release(docs.sparkSession)
     # a document's line numbers are bounded by its length; kept, so that nothing but them is there when the texts are dealt
-    gone = cut_lineage(_removed(texts, judged).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone")))
+    gone = _kept(_removed(texts, judged).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone")))
     discard(judged)
     release(docs.sparkSession)
     joined = keyed.join(gone, ["doc_id", "text_key"], "left")

@@ -225,6 +225,19 @@ def test_long_lines_about_the_threshold_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_lines_met_in_parts_keep_no_shuffles(spark, monkeypatch):
+    """However many parts the sets are met in, the result is the same, and what was shuffled for a checkpoint goes with it."""
+    dropped, cut = [], line_dedup.cut_lineage
+    monkeypatch.setattr(line_dedup, "cut_lineage", lambda df, drop_shuffles=False: dropped.append(drop_shuffles) or cut(df, drop_shuffles))
+    r = random.Random(26)
+    texts = ["\n".join(" ".join(["a", "b", "c", "d", *r.choices("efghij", k=3)]) for _ in range(3)) for _ in range(20)]
+    for parts in (1, 3):
+        monkeypatch.setattr(line_dedup, "SLICES", parts)
+        got = {x.doc_id: x.row.text for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == removed(texts)
+    assert len(dropped) > 10 and all(dropped)
+
+
 # ---- 6 packing
 def test_packing_places_every_id_once(spark):
     path = queries.TOKENIZER
