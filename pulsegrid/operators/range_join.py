@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.geo import METERS_A_DEGREE, haversine_meters
 
 MINUTE = 60_000_000
+#: Windows that a bin of running counts is wide; few then reach over its edge.
+BIN_WINDOWS = 10
 
 
 def _around(value: Column, less: float, more: float, width: float) -> Column:
@@ -41,23 +43,22 @@ def counts_elsewhere(rows: DataFrame, id_col: str, differ: tuple[str, ...], back
     into bins of time, so the work is in proportion to the rows.  Rows with a
     null time or column count nowhere; rows that count none are left out.
     """
-    width = max(1, back + ahead + 1)
+    width = BIN_WINDOWS * max(1, back + ahead + 1)
     known = rows.where(" and ".join(f"`{c}` is not null" for c in ("us", *differ))).select(F.col(id_col).alias("id"), "us", *differ)
     subsets = [[c for i, c in enumerate(differ) if n >> i & 1] for n in range(1 << len(differ))]
-    sets = F.array(*[F.struct(F.lit(n).alias("subset"), F.lit((-1) ** len(s)).alias("sign"), *[(F.col(c) if c in s else F.lit(None).cast(rows.schema[c].dataType)).alias(f"__{c}") for c in differ]) for n, s in enumerate(subsets)])
-    keyed = known.select("id", "us", F.inline(sets))
+    sets = F.array(*[F.struct(F.lit(n).alias("subset"), *[(F.col(c) if c in s else F.lit(None).cast(rows.schema[c].dataType)).alias(f"__{c}") for c in differ]) for n, s in enumerate(subsets)])
     bin_of = lambda v: F.floor(v / F.lit(width)).cast("long")
-    low, high = F.col("us") - back, F.col("us") + ahead
-    # within each bin that the window touches: what comes before it counts against, what comes up to its end for
-    asked = F.explode(F.sequence(bin_of(low), bin_of(high)))
-    ends = keyed.withColumn("bin", asked).withColumn("end", F.explode(F.array(F.lit(0), F.lit(2))))
-    at = F.when(F.col("end") == 0, F.greatest(low, F.col("bin") * width)).otherwise(F.least(high, (F.col("bin") + 1) * width - 1))
-    columns = ["id", "subset", "sign", *[f"__{c}" for c in differ]]
-    queries = ends.select(*columns, "bin", at.alias("t"), "end")
-    data = keyed.select(*columns, bin_of(F.col("us")).alias("bin"), F.col("us").alias("t"), F.lit(1).alias("end"))
+    low, high, bins = F.col("us") - back, F.col("us") + ahead, F.sequence(bin_of(F.col("us") - back), bin_of(F.col("us") + ahead))
+    # in its first bin, what comes before the window counts against; in each, what comes up to its end counts for
+    place = lambda bin_, t, end: F.struct(bin_.alias("bin"), t.alias("t"), F.lit(end).alias("end"))
+    ends = F.transform(bins, lambda b: place(b, F.least(high, (b + 1) * width - 1), 2))
+    dealt = known.select("id", *differ, F.inline(F.concat(F.array(place(bin_of(F.col("us")), F.col("us"), 1), place(bin_of(low), low, 0)), ends))).repartition("bin")
+    # sets are told apart within a task, so that a row's counts meet there
+    keyed = dealt.select("id", "bin", "t", "end", F.inline(sets))
     order = Window.partitionBy("subset", *[f"__{c}" for c in differ], "bin").orderBy("t", "end").rowsBetween(Window.unboundedPreceding, 0)
-    counted = data.unionByName(queries).withColumn("n", F.sum((F.col("end") == 1).cast("long")).over(order))
-    signed = F.col("sign") * F.col("n") * (F.col("end") - 1)  # -1 at the start of a window, 1 at its end, 0 for the rows themselves
+    counted = keyed.withColumn("n", F.sum((F.col("end") == 1).cast("long")).over(order)).where("end <> 1")
+    sign = F.element_at(F.array(*[F.lit((-1) ** len(s)) for s in subsets]), F.col("subset") + 1)
+    signed = sign * F.col("n") * (F.col("end") - 1)  # -1 at the start of a window, 1 at its end
     return counted.groupBy("id").agg(F.sum(signed).alias("elsewhere")).where(F.col("elsewhere") > 0)
 
 

@@ -213,3 +213,23 @@ def test_checkpoints_are_cut_and_discarded(spark):
     assert kept.count() == 4
     with pytest.raises(ValueError):
         discard(spark.range(3))
+
+
+def test_counts_elsewhere_deal_rows_once(spark):
+    """Rows are dealt by bin before they are copied for each set of columns, and meet again by id alone."""
+    from pulsegrid.operators.range_join import counts_elsewhere
+
+    df = spark.createDataFrame([(1, 3, "a", "x"), (2, 4, "b", "y")], "id long, us long, source string, area string")
+    plan = counts_elsewhere(df, "id", ("source", "area"), 7, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bin" in plan and "hashpartitioning(id" in plan and plan.count("Exchange ") == 2
+
+
+def test_questions_look_for_each_phrase_once(spark):
+    """Area and category are elements of an array, so that what names them again does not read the text again."""
+    from pulsegrid.operators import questions
+
+    said = spark.createDataFrame([("shots fired in the mission, shots fired",), ("offices",)], "q string")
+    column = questions.parse(F.col("q"))
+    assert str(column._jc.toString()).count("shots fired") <= 3
+    got = [(x.p.category, x.p.area) for x in said.select(column.alias("p")).collect()]
+    assert got == [("shootings and weapon calls", "Mission"), (None, None)]
