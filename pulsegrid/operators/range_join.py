@@ -52,7 +52,9 @@ def counts_elsewhere(rows: DataFrame, id_col: str, differ: tuple[str, ...], back
     # in its first bin, what comes before the window counts against; in each, what comes up to its end counts for
     place = lambda bin_, t, end: F.struct(bin_.alias("bin"), t.alias("t"), F.lit(end).alias("end"))
     ends = F.transform(bins, lambda b: place(b, F.least(high, (b + 1) * width - 1), 2))
-    dealt = known.select("id", *differ, F.inline(F.concat(F.array(place(bin_of(F.col("us")), F.col("us"), 1), place(bin_of(low), low, 0)), ends))).repartition("bin")
+    # a number that is told is not made smaller for rows that grow by the sets once they are dealt
+    parts = len(subsets) * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = known.select("id", *differ, F.inline(F.concat(F.array(place(bin_of(F.col("us")), F.col("us"), 1), place(bin_of(low), low, 0)), ends))).repartition(parts, "bin")
     # sets are told apart within a task, so that a row's counts meet there
     keyed = dealt.select("id", "bin", "t", "end", F.inline(sets))
     order = Window.partitionBy("subset", *[f"__{c}" for c in differ], "bin").orderBy("t", "end").rowsBetween(Window.unboundedPreceding, 0)
