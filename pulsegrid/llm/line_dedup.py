@@ -9,42 +9,42 @@ common line is one row.  Tokens are ordered by rarity: how often the slot of a
 token's hash is used in the whole corpus, then the hash.  Sets that similar share
 a token among the first n - ceil(t * n) + 1, so classes meet on these alone.  The
 first token that both share leaves enough tokens after it in either set, which
-the places tell; sizes and 64 marks of the tokens bound the overlap as well, and
-only what passes all of them has its sets read.
+the places tell; sizes and 64 or 128 marks of the tokens bound the overlap as well,
+and only what passes all of them has its sets read.
 
-Groups of near copies are not expanded into pairs: a first pass over the
-CENTRE_TOKENS rarest tokens compares each class of a list of over LONG_LIST
-classes with the earliest of them, and only classes that this does not remove
-look for further earlier ones.
+Groups of near copies are not expanded into pairs: similar sets mostly share the
+least and the largest hash of their rarer halves, and a first pass compares each
+class with the earliest that shares such an extreme with it.  Only classes that
+this does not remove look for further earlier ones.
+
+Tables of fixed size, of rarities and filters, are scalar subqueries, as literals
+would stand in every plan that the driver holds or logs.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.session import cut_lineage, discard, release
 
 THRESHOLD = 0.8
 LEAST_WORDS = 1
-#: Rarest tokens whose lists are compared with their earliest class first.
-CENTRE_TOKENS = 2
-#: Classes of a list up to which all its pairs are as cheap as a first pass.
-LONG_LIST = 64
+#: Tokens above which a set has 128 marks, as 64 tell longer sets less and less apart.
+WIDE = 80
 #: Parts in which the sets of candidate pairs are met.
-SLICES = 4
+SLICES = 1
 #: Slots of the frequency table, the top bits of a token's hash: 256 KB whatever the input.
 SLOT_BITS = 18
-#: Characters of the class filter, 6 slots each: 170 KB whatever the input.
-FILTER_CHARS = 174_763
+#: Longs of the class filter: 128 KB whatever the input.
+FILTER_WORDS = 1 << 14
 #: Mark of a class that is gone, above the places of its tokens.
 _GONE = 1 << 31
 #: Low bits of a class's number, from the hash of its text; above them is its place in the order, in steps of 2 ** -20.
 _HASH_BITS = 36
-_SPACE = r"[\x20\x09-\x0D]"
-_ENOUGH = rf"^{_SPACE}*(?:[^\x20\x09-\x0D]+{_SPACE}+){{{LEAST_WORDS - 1}}}[^\x20\x09-\x0D]"
+_SPACES = " \t\n\x0b\x0c\r"
 
 
 def _words(text: Column) -> Column:
@@ -57,11 +57,6 @@ def _slot(token: Column) -> Column:
     return F.shiftrightunsigned(token, 64 - SLOT_BITS).cast("int")
 
 
-def _byte(table: bytes, at: Column) -> Column:
-    """The value, below 128, of a byte of a constant table."""
-    return F.ascii(F.substring(F.lit(table), at + 1, F.lit(1)).cast("string"))
-
-
 def _at() -> Column:
     """The place of a line in the order of all lines."""
     return (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line_no")).cast("decimal(38,0)")
@@ -70,55 +65,61 @@ def _at() -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, line_no, line, key`` of the lines that are judged; ``at`` orders them."""
     split = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return split.where(F.col("line").rlike(_ENOUGH)).select(
+    return split.where(F.btrim("line", F.lit(_SPACES)) != "").select(
         "doc_id", "text_key", "line_no", "line", _at().alias("at"), F.xxhash64("line").alias("key")
     )
 
 
-def _rarity(docs: DataFrame) -> bytes:
-    """For every slot the logarithm of its use in all texts, in quarters, from 1 on; the driver gets a table of fixed size.
+def _table(values: DataFrame, size: int, empty: int, kind: str) -> Column:
+    """An array of ``size`` numbers, ``value`` of each row at its ``at`` and ``empty`` elsewhere, as a scalar subquery."""
+    rest = values.sparkSession.range(size).select(F.col("id").cast("int").alias("at"), F.lit(empty).cast("long").alias("value"))
+    every = values.select("at", F.col("value").cast("long").alias("value")).unionByName(rest).groupBy("at").agg(F.bit_or("value").alias("value"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "value")))
+    return _kept(every.agg(F.transform(listed, lambda x: x["value"].cast(kind)).alias("values"))).scalar()
+
+
+def _rarity(docs: DataFrame) -> Column:
+    """For every slot the logarithm of its use in all texts, in quarters, from 1 on, as an array of fixed size.
 
     It only orders tokens, so letter case and rare white space need not be told apart here.
     """
     words = docs.select(F.explode(F.split("text", " ", -1)).alias("w")).where("w <> ''")
-    used = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
-    level = F.least(F.lit(126), F.floor(4 * F.log2(F.col("count") + 1)) + 1).cast("int")
-    packed = F.col("slot") * 128 + level
-    out = bytearray(b"\x01" * (1 << SLOT_BITS))
-    for row in used.groupBy(F.shiftright("slot", 10)).agg(F.collect_list(packed).alias("packed")).select("packed").collect():
-        for value in row["packed"]:
-            out[value >> 7] = value & 127
-    return bytes(out)
+    used = words.groupBy(_slot(F.xxhash64("w")).alias("at")).count()
+    level = F.least(F.lit(126), F.floor(4 * F.log2(F.col("count") + 1)) + 1)
+    return _table(used.select("at", level.alias("value")), 1 << SLOT_BITS, 0, "tinyint")
 
 
-def _ordered(lines: DataFrame, rarity: bytes) -> DataFrame:
+def _ordered(lines: DataFrame, rarity: Column) -> DataFrame:
     """Adds ``tokens``: the distinct tokens, rarest first, as longs of rarity and hash."""
-    hashed = F.transform(F.array_remove(_words(F.col("line")), ""), lambda w: F.xxhash64(w))
-    packed = lambda t: F.shiftleft(_byte(rarity, _slot(t)).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
-    return lines.withColumn("tokens", F.sort_array(F.transform(F.array_distinct(hashed), packed)))
+    hashed = F.array_distinct(F.transform(F.array_remove(_words(F.col("line")), ""), lambda w: F.xxhash64(w)))
+    packed = lambda t, levels: F.shiftleft(F.get(levels, _slot(t)).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))
+    # a subquery may not stand in a higher-order function; named once, the array of references is never made a row's own
+    lines = lines.withColumn("hashed", hashed).withColumn("levels", F.array_repeat(rarity, F.size("hashed")))
+    return lines.withColumn("tokens", F.sort_array(F.zip_with("hashed", "levels", packed))).drop("hashed", "levels")
 
 
-def _marks(tokens: str) -> Column:
+def _marks(tokens: Column) -> Column:
     """64 bits, one of which each token turns over, so that more bits than sets differ in tokens never differ."""
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _filter(keys: DataFrame) -> bytes:
-    """Six bits of the longs in ``key`` a byte, for a test before an exact join; full at many keys, and still right."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(FILTER_CHARS * 6))
-    bits = keys.select((slot / 6).cast("int").alias("at"), (slot % 6).cast("int").alias("bit")).groupBy("at").agg(
-        F.bit_or(F.expr("shiftleft(1, bit)")).alias("bits")
+def _wide(tokens: Column) -> Column:
+    """The marks of every other token, those without bit 6, of a set of over WIDE tokens, else 0; with the marks of all these are 128."""
+    return F.when(F.size(tokens) > WIDE, _marks(F.filter(tokens, lambda t: t.bitwiseAND(F.lit(64)) == 0))).otherwise(F.lit(0).cast("long"))
+
+
+def _filter(keys: DataFrame) -> Column:
+    """A bit for each long in ``key``, for a test before an exact join; full at many keys, and still right."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(FILTER_WORDS * 64))
+    bits = keys.select(F.shiftright(slot, 6).cast("int").alias("at"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("at").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("value")
     )
-    out = bytearray(FILTER_CHARS)
-    for row in bits.collect():
-        out[row["at"]] = row["bits"]
-    return bytes(out)
+    return _table(bits, FILTER_WORDS, 0, "long")
 
 
-def _passes(key: str, known: bytes) -> Column:
-    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_CHARS * 6))
-    bits = _byte(known, (slot / 6).cast("int"))
-    return F.call_function("getbit", bits, (slot % 6).cast("int")) == 1
+def _passes(key: str, known: Column) -> Column:
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
+    return F.call_function("getbit", F.get(known, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def _kept(df: DataFrame) -> DataFrame:
     return cut_lineage(df, drop_shuffles=True)
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, rarity: bytes, classes: DataFrame, threshold: float) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, rarity: Column, classes: DataFrame, threshold: float) -> DataFrame:
     """``key`` of the later class of each pair of class numbers ``id, other`` whose sets are similar enough; ``pairs`` is a checkpoint, and goes."""
     named = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
     named = _kept(classes.select("id", "key", "first_at").join(named, "id", "left_semi"))
@@ -153,11 +154,17 @@ def _similar(pairs: DataFrame, docs: DataFrame, rarity: bytes, classes: DataFram
 def _listed(classes: DataFrame) -> DataFrame:
     """A row for each prefix token of a class; ``packed`` holds the set's size, whether the class is gone, and the token's place."""
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.when(F.col("gone"), F.lit(_GONE)).otherwise(F.lit(0)) + F.col("pos")
-    spread = classes.select("*", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "marks", packed.alias("packed"))
+    spread = classes.select("*", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "marks", "wide", packed.alias("packed"))
     # told here, these need not be inferred for one side of a join alone
     return spread.where(" and ".join(f"{c} is not null" for c in spread.columns))
 
 
+def _extremes(tokens: str) -> Column:
+    """The least and the largest hash of the rarer half of the tokens: similar sets mostly share one."""
+    half = F.transform(F.slice(tokens, 1, F.ceil(F.size(tokens) / 2).cast("int")), lambda t: F.shiftleft(t, 8))
+    return F.struct(F.array_min(half).alias("least"), F.array_max(half).alias("largest"))
+
+
 def _possible(threshold: float) -> Column:
     """Whether sizes, places and marks of ``a`` and ``b`` leave them similar, where the token is the first that both share."""
     n, m = (F.shiftright(f"{x}.packed", 32) for x in "ab")
@@ -165,8 +172,11 @@ def _possible(threshold: float) -> Column:
     sizes = F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
     overlap = threshold / (1 + threshold) * (n + m) - 1e-9  # of similar sets of these sizes
     # marks differ by tokens of one side alone, of which there may be few
-    apart = F.bit_count(F.col("a.marks").bitwiseXOR(F.col("b.marks"))) <= (1 - threshold) / (1 + threshold) * (n + m) + 1e-9
-    return sizes & (F.least(n - at, m - other_at) >= overlap) & apart
+    may_differ = (1 - threshold) / (1 + threshold) * (n + m) + 1e-9
+    all_, some = (F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}")) for x in ("marks", "wide"))
+    apart = F.bit_count(all_) <= may_differ
+    wide = (F.least(n, m) <= WIDE) | (F.bit_count(some) + F.bit_count(all_.bitwiseXOR(some)) <= may_differ)
+    return sizes & (F.least(n - at, m - other_at) >= overlap) & apart & wide
 
 
 def _stays(side: str) -> Column:
@@ -179,17 +189,18 @@ def _judged(docs: DataFrame, threshold: float) -> DataFrame:
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
     found = _ordered(lines.select("key", "at", "line"), rarity)
-    found = found.select("key", "at", n.alias("n"), _marks("tokens").alias("marks"), prefix.alias("prefix"))
-    found = found.groupBy("key").agg(F.min("at").alias("first_at"), (F.count("*") > 1).alias("again"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
+    told = {"n": n, "marks": _marks(F.col("tokens")), "wide": _wide(F.col("tokens")), "prefix": prefix, "ends": _extremes("tokens")}
+    found = found.select("key", "at", *[c.alias(name) for name, c in told.items()])
+    found = found.groupBy("key").agg(F.min("at").alias("first_at"), (F.count("*") > 1).alias("again"), *[F.first(c).alias(c) for c in told])
     # the order as far as its bits go, never against it; what shares a number is told apart by its key
     step = F.floor(F.log2(F.greatest(F.col("first_at").cast("double"), F.lit(0.0)) + 2) * (1 << 20)).cast("long")
     number = F.shiftleft(step, _HASH_BITS) + F.col("key").bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
     classes = _kept(found.withColumn("id", number))
-    # the earliest class of the long lists of the rarest tokens
-    near = _listed(classes.withColumn("prefix", F.slice("prefix", 1, CENTRE_TOKENS)).withColumn("gone", F.lit(False)))
-    centre = near.groupBy("token").agg(F.min(F.struct("id", "marks", "packed")).alias("c"), F.count("*").alias("size"))
-    centre = centre.where(F.col("size") > LONG_LIST).select("token", "c.*")
-    met = near.alias("b").join(centre.alias("a"), "token").where((F.col("a.id") < F.col("b.id")) & _possible(threshold))
+    # the earliest of the classes that share an extreme
+    row = F.struct("id", "marks", "wide", F.shiftleft(F.col("n").cast("long"), 32).alias("packed"))
+    ends = classes.select(F.posexplode(F.array("ends.least", "ends.largest")).alias("which", "end"), row.alias("b"))
+    near = ends.withColumn("a", F.first("b").over(Window.partitionBy("which", "end").orderBy("b.id")))
+    met = near.where((F.col("a.id") < F.col("b.id")) & _possible(threshold))
     gone = _similar(_kept(met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()), docs, rarity, classes, threshold)
     # what is not yet gone looks through all its lists for earlier ones
     listed = _listed(classes.join(gone.withColumn("gone", F.lit(True)), "key", "left"))

@@ -238,6 +238,32 @@ def test_lines_met_in_parts_keep_no_shuffles(spark, monkeypatch):
     assert len(dropped) > 10 and all(dropped)
 
 
+def test_unlike_long_lines_are_not_paired(spark, monkeypatch):
+    """Sets of well over 64 tokens that share a rare one are told apart by their marks; a near copy among them is found."""
+    paired, similar = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, *rest: paired.append(pairs.count()) or similar(pairs, *rest))
+    r = random.Random(36)
+    lines = [r.sample(range(3000), 150) for _ in range(120)]
+    lines.append(lines[7][:-9] + [5000, 5001])
+    texts = [" ".join(f"w{k}" for k in line) for line in lines]
+    got = {x.doc_id: x.row.text for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == removed(texts) and got[120] == ""
+    assert 1 <= sum(paired) < 30
+
+
+def test_near_copies_meet_their_first_and_plans_hold_no_tables(spark, monkeypatch):
+    """A first pass over the extremes leaves few of the pairs of a group of near copies, and no plan spells a table out."""
+    paired, plans, similar, cut = [], [], line_dedup._similar, line_dedup.cut_lineage
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, *rest: paired.append(pairs.count()) or similar(pairs, *rest))
+    monkeypatch.setattr(line_dedup, "cut_lineage", lambda df, **named: plans.append(len(df._jdf.queryExecution().toString())) or cut(df, **named))
+    r = random.Random(46)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(f"new{r.random()}" if k in edits else w for k, w in enumerate(base)) for edits in (r.sample(range(60), 3) for _ in range(50))]
+    got = {x.doc_id: x.row.text for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == removed(texts) == [texts[0], *[""] * 49]
+    assert sum(paired) < 50 * 49 / 2 / 4 and max(plans) < 200_000
+
+
 # ---- 6 packing
 def test_packing_places_every_id_once(spark):
     path = queries.TOKENIZER
