@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.session import cut_lineage
@@ -46,3 +46,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             labels.join(moved, "component", "left").select("node", F.coalesce("t", "component").alias("component"))
         )
     raise RuntimeError("components did not settle")
+
+
+def connected_stars(edges: DataFrame) -> DataFrame:
+    """As :func:`connected_components`, for edges that mostly are stars around their least node.
+
+    Every node goes with its least neighbour, if that is less.  What else there
+    is to join are the lesser neighbours of one node, so the rounds are over
+    these alone, and not over all nodes.  ``edges`` is read once.
+    """
+    found = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    mine = Window.partitionBy("a").orderBy("b")
+    marked = cut_lineage(found.select("a", "b", F.first("b").over(mine).alias("m"), F.row_number().over(mine).alias("n")), drop_shuffles=True)
+    tree, low = marked.where("n = 1").select("a", "m"), cut_lineage(marked.select("b").distinct(), drop_shuffles=True)
+    inner = low.join(tree.withColumnRenamed("a", "b"), "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    links = marked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(inner).distinct()
+    ends = connected_components(cut_lineage(links, drop_shuffles=True)).select(F.col("node").alias("m"), "component")
+    outer = tree.join(low.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("a").alias("node"), "m")
+    nodes = outer.unionByName(low.select(F.col("b").alias("node"), F.col("b").alias("m")))
+    return nodes.join(ends, "m", "left").select("node", F.coalesce("component", "m").alias("component"))

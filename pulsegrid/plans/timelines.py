@@ -20,12 +20,16 @@ from pulsegrid.sources import feeds
 from pulsegrid.sources.observations import DISPATCH_SOURCES, observations
 
 
+def incident_of_call() -> Column:
+    """The incident of an observation: its user's day."""
+    return F.concat_ws("-", "user_id", F.floor(F.col("us") / DAY))
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.floor(F.col("us") / DAY)
     severity = F.element_at(F.array(F.lit(None).cast("string"), F.lit("low"), F.lit("high"), F.lit("critical")), (F.col("k") % 4 + 1).cast("int"))
     rows = observations(spark, sf_dir)
     return rows.select(
-        F.concat_ws("-", "user_id", day).alias("incident_id"), F.col("id").alias("observation_id"), "us", "source", "type", severity.alias("severity"), "units",
+        incident_of_call().alias("incident_id"), F.col("id").alias("observation_id"), "us", "source", "type", severity.alias("severity"), "units",
         F.when(F.col("k") % 3 == 0, F.concat(F.lit("L"), F.col("user_id") % 12)).alias("location"), "neighborhood", "k",
     )
 

@@ -173,3 +173,51 @@ def test_late_binding_is_that_of_all_pairs(spark, monkeypatch, rows_at_once):
     done = late_binding.attach(articles, incidents)
     assert len(want) > 30 and {(x.article_id, x.incident_id): (x.score, x.verdict, x.enriched_us) for x in done.collect()} == want
     assert "Join" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_those_of_all_pairs_at_ties_and_repeated_ids(spark):
+    """Calls of one moment at every source, ids that come twice in other places, and no more rows than incidents, where links of calls were several times as many."""
+    from pulsegrid.operators import scoring
+    from pulsegrid.operators.components import connected_components
+    from pulsegrid.operators.range_join import near_in_place_and_time
+
+    r = random.Random(8)
+    rows = []
+    for n in range(420):
+        at, kind, lat = r.randrange(0, 16 * 60) * 3 * MINUTE, r.choice(["theft", "medical", "collision"]), r.choice([37.7, 37.7009, 37.73])
+        for c in range(3):
+            i = 3 * n + c
+            rows.append((i if n % 50 else 3 * (n // 2) + c, f"u{i}" if i % 3 else f"u{i - 3 * (n % 2)}", at, ("sf_police_cad", "sf_fire_cad", "sf_ems_cad")[c], kind, r.choice(["x", "594", None]), lat, r.choice([-122.4, -122.4008]), None, []))
+    calls = spark.createDataFrame(rows, "id long, incident_id string, us long, source string, type string, raw_type string, lat double, lng double, neighborhood string, units array<string>").cache()
+    pairs = scoring.score_pairs(near_in_place_and_time(calls, calls, scoring.METERS, scoring.BACK * MINUTE, scoring.AHEAD * MINUTE).where("source <> o_source"))
+    own = calls.select(F.col("id").alias("x"), "incident_id")
+    scores = pairs.select(F.col("id").alias("observation_id"), F.explode(F.array("id", "o_id")).alias("x"), "score").join(own, "x")
+    sets = lambda edges: {x.node: x.component for x in connected_components(edges).collect()}
+    new = merging.linked_requests(calls)
+    want = sets(merging.merge_requests(scores))
+    assert sets(new) == want and len(set(want.values())) > 20
+    point = calls.where("lat = 37.73 and lng = -122.4 and us < 24 * 3600000000L")
+    assert 0 < merging.linked_requests(point).count() <= point.select("incident_id").distinct().count()
+
+
+def test_no_redirects_are_followed_before_they_are_asked_for(spark, monkeypatch):
+    members = members_of(spark)
+    incidents = incidents_of(spark, members)
+    follow = merging.follow
+    monkeypatch.setattr(merging, "follow", None)
+    done = merging.merge_incidents(incidents, members, spark.createDataFrame([("c", "b"), ("b", "a")], "a string, b string"))
+    assert by_id(done.incidents, "merged_into_id")["c"] == ("a",)
+    monkeypatch.setattr(merging, "follow", follow)
+    assert sorted((r.from_id, r.into_id) for r in done.redirects.collect()) == [("b", "a"), ("c", "a")]
+
+
+def test_stars_join_what_any_edges_join(spark):
+    """Random edges, stars, chains, loops, repeats and nulls; of stars only what is less than another's node goes through rounds."""
+    from pulsegrid.operators import components
+
+    r = random.Random(6)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(1000 + i, 900) for i in range(50)] + [(900, 800), (2000, 2001), (2001, 2002), (2002, 2003), (7, 7), (None, 3), (3, None), (1001, 900)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    told = lambda found: sorted((x.node, x.component) for x in found.collect())
+    assert told(components.connected_stars(df)) == told(components.connected_components(df.where("a <> b")))
+    assert components.connected_stars(df.where("a > 5000")).isEmpty()
