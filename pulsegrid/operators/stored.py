@@ -31,9 +31,17 @@ def fold_records(rows: DataFrame, turn: str | None = None) -> DataFrame:
     Rows without a record id are left out.  Values that add up are folded by
     key, never listed by record, so a record with very many rows is no large one.
     """
-    earlier = [F.col(turn)] if turn else []
-    order = F.struct(*earlier, F.col("fetched_us"), F.coalesce(F.get("units", F.lit(0)), F.lit("")))
-    dealt = rows.where("source is not null and source_record_id is not null").withColumn("__order", order)
+    return _folded(rows, turn).select(*COLUMNS)
+
+
+def _folded(rows: DataFrame, turn: str | None = None) -> DataFrame:
+    """As :func:`fold_records`, with the last ``__turn`` a record has a row of; the result is dealt by record."""
+    known = rows.where("source is not null and source_record_id is not null").withColumn("__turn", F.col(turn) if turn else F.lit(0))
+    # all that follows reads what is shuffled here: once, whole and not exploded.  Inlined, as else each reader would have its own columns and rows shuffled
+    rest = [c for c in (*COLUMNS, "__turn") if c not in KEY]
+    dealt = known.select(*KEY, *rest).repartition(*KEY).select(*KEY, F.inline(F.array(F.struct(*rest, F.col("source").isin(*UNIT_SOURCES).alias("__adds")))))
+    order = F.struct("__turn", "fetched_us", F.coalesce(F.get("units", F.lit(0)), F.lit("")))
+    dealt = dealt.withColumn("__order", order)
     at = F.col("__order")
     adds = F.col("source").isin(*UNIT_SOURCES)
     first = lambda c, there=None: F.min_by(c, at if there is None else F.when(there, at))
@@ -46,9 +54,9 @@ def fold_records(rows: DataFrame, turn: str | None = None) -> DataFrame:
         first(F.col("id")).alias("id"), F.when(adds, F.min("us")).otherwise(last(F.col("us"))).alias("us"), F.max("fetched_us").alias("fetched_us"), F.max("published_us").alias("published_us"),
         F.when(adds, first(F.col("raw_type"), F.col("raw_type").isNotNull())).otherwise(last(F.col("raw_type"))).alias("raw_type"), first(F.col("type"), F.col("type").isNotNull()).alias("type"),
         *[chosen(c) for c in ("agency", "subtype", "priority", "sensitive", "confidence")], first(place, known).alias("place"), last(point, F.col("lat").isNotNull()).alias("point"),
-        *[last(F.col(c), F.col(c).isNotNull()).alias(c) for c in FILLED], last(F.col("metadata")).alias("last_metadata"), last(F.col("units")).alias("last_units"),
+        *[last(F.col(c), F.col(c).isNotNull()).alias(c) for c in FILLED], last(F.col("metadata")).alias("last_metadata"), last(F.col("units")).alias("last_units"), F.max("__turn").alias("__turn"),
     )
-    many = dealt.where(adds)
+    many = dealt.where("__adds")
     pairs = many.select(*KEY, "__order", F.explode("metadata")).groupBy(*KEY, "key").agg(F.max_by("value", "__order").alias("value"))
     facts = pairs.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("facts"))
     seen = many.select(*KEY, "__order", F.explode("units").alias("unit"), F.col("unit_times"))
@@ -64,7 +72,7 @@ def fold_records(rows: DataFrame, turn: str | None = None) -> DataFrame:
     out = {c: F.col(c) for c in COLUMNS} | {c: F.when(adds, F.col(f"place.{c}")).otherwise(F.col(c)) for c in FILLED}
     out |= {c: F.when(adds, F.col(f"place.{c}")).otherwise(F.col(f"point.{c}")) for c in ("lat", "lng")}
     out |= {"units": listed, "metadata": F.when(adds, F.map_concat(bare, count)).otherwise(F.col("last_metadata"))}
-    return joined.select(*[out[c].alias(c) for c in COLUMNS])
+    return joined.select(*[out[c].alias(c) for c in COLUMNS], "__turn")
 
 
 def _same(name: str) -> Column:
@@ -87,13 +95,12 @@ def merge_stored(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     both = stored.select(*COLUMNS).withColumn("__turn", F.lit(0)).unionByName(incoming.select(*COLUMNS).withColumn("__turn", F.lit(1)))
     old = stored.select(*KEY, *[F.col(c).alias(f"s_{c}") for c in COLUMNS if c not in KEY], F.lit(True).alias("s_"))
-    came = incoming.select(*KEY).distinct().withColumn("n_", F.lit(True))
-    joined = fold_records(both, "__turn").join(old, KEY, "left").join(came, KEY, "left")
+    joined = _folded(both, "__turn").join(old, KEY, "left")
     same = F.lit(True)
     for c in COLUMNS:
         if c not in (*KEY, "id", "fetched_us", "published_us", "type"):
             same &= _same(c)
-    outcome = F.when(F.col("s_").isNull(), "created").when(F.col("n_").isNull(), "untouched").when(same, "unchanged").otherwise("updated")
+    outcome = F.when(F.col("s_").isNull(), "created").when(F.col("__turn") == 0, "untouched").when(same, "unchanged").otherwise("updated")
     told = joined.withColumn("outcome", outcome)
     stays = F.col("outcome").isin("unchanged", "untouched")
     return told.select(*KEY, *[F.when(stays, F.col(f"s_{c}")).otherwise(F.col(c)).alias(c) for c in COLUMNS if c not in KEY], "outcome")

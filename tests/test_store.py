@@ -132,3 +132,12 @@ def test_stale_stream_equals_transitions(spark, tmp_path, batches):
         swept = last.select("incident_id", lifecycle.stale(F.when(F.col("closed"), "resolved").otherwise("active"), F.col("type"), F.col("us"), F.lit(clock)).alias("s")).where("s = 'unknown'")
         said = {r[0] for r in found if r[2] <= clock and not any(x[0] == r[0] and r[1] < x[1] <= clock for x in rows)}
         assert {r.incident_id for r in swept.collect()} == said
+
+
+def test_rows_of_records_are_shuffled_once(spark):
+    """Whatever is folded of a record is folded from one shuffle of its rows, which no reader narrows for itself."""
+    done = stored.fold_records(feeds.fire_observations(spark.createDataFrame(ROWS, FEED)).where("rejected is null"))
+    assert "ENSURE_REQUIREMENTS" not in done._jdf.queryExecution().executedPlan().toString()
+    assert len(done.collect()) == 4
+    final = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(set(map(str.strip, (x for x in final.splitlines() if "Exchange hashpartitioning" in x and "Reused" not in x)))) == 1
